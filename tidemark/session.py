@@ -19,6 +19,7 @@ _DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # streaming state lives off-heap; the reference's GC pressure came from on-heap state
     "spark.sql.streaming.stateStore.providerClass":

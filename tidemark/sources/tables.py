@@ -62,10 +62,9 @@ def _filler(width: int) -> Column:
     return F.lit(("abcdefghijklmnopqrstuvwxyz" * 2)[:n])
 
 
-def _tonnage(value: Column) -> dict[str, Column]:
-    """Split ``round(value*100)`` octets into the four octet columns (their sum
-    is the total); packets are octets / 100 per column."""
-    o = F.round(value * 100).cast("bigint")
+def _tonnage(o: Column) -> dict[str, Column]:
+    """Split the total octets ``o`` into the four octet columns (their sum is
+    the total); packets are octets / 100 per column."""
     parts = {
         "uplinkoctets": floor_div(o, 3),
         "uplinkdropoctets": floor_div(o, 10),
@@ -80,8 +79,17 @@ def _tonnage(value: Column) -> dict[str, Column]:
     return {k: v.cast("string") for k, v in out.items()}
 
 
-def _records(events: DataFrame, types: tuple, columns, special: dict) -> DataFrame:
+def _base(events: DataFrame, types: tuple) -> DataFrame:
+    """The per-event values every record column is built from, computed once
+    (a separate projection keeps Catalyst from inlining them into each use)."""
     ev = events.filter(F.col("event_type").isin(*types))
+    return ev.select("event_id", "user_id",
+                     compressed_micros(F.col("ts")).alias("_ct"),
+                     F.round(F.col("value") * 100).cast("bigint").alias("_o"))
+
+
+def _records(events: DataFrame, types: tuple, columns, special: dict) -> DataFrame:
+    ev = _base(events, types)
     cols = []
     for name, width in columns:
         c = special.get(name, _filler(width))
@@ -90,7 +98,7 @@ def _records(events: DataFrame, types: tuple, columns, special: dict) -> DataFra
 
 
 def _common(prefix_load_ts_fmt: str) -> dict[str, Column]:
-    ct = compressed_micros(F.col("ts"))
+    ct = F.col("_ct")
     eid = F.col("event_id")
     arrival = ct + F.pmod(eid * ARRIVAL_MULTIPLIER, F.lit(ARRIVAL_SPREAD_SECONDS)) * 1_000_000
     d = {
@@ -98,7 +106,7 @@ def _common(prefix_load_ts_fmt: str) -> dict[str, Column]:
         "eventtime": _eventtime_text(ct, eid),
         "sessionid": F.lpad(F.col("user_id").cast("string"), 8, "0"),
     }
-    d.update(_tonnage(F.col("value")))
+    d.update(_tonnage(F.col("_o")))
     return d
 
 
