@@ -78,10 +78,10 @@ def elapsed_seconds(later, earlier, allowance: int = 0) -> Column:
 
 
 def floor_div(c, n: int) -> Column:
-    """Exact floor division of a LONG by a positive constant (no rounding
-    through DOUBLE for large microsecond values)."""
-    c = _c(c)
-    return ((c - F.pmod(c, F.lit(n))) / F.lit(n)).cast("bigint")
+    """Exact integer division of a non-negative LONG (epoch microseconds,
+    counts) by a positive constant: SQL ``div``, no rounding through DOUBLE,
+    and the argument is referenced once, so nested uses stay small."""
+    return F.call_function("div", _c(c), F.lit(n))
 
 
 def to_ntz(c) -> Column:

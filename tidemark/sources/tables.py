@@ -58,8 +58,7 @@ def _eventtime_text(ct_us: Column, event_id: Column) -> Column:
 
 
 def _filler(width: int) -> Column:
-    n = max(1, width // 2)
-    return F.lit(("abcdefghijklmnopqrstuvwxyz" * 2)[:n])
+    return F.lit(_filler_text(width))
 
 
 def _tonnage(o: Column) -> dict[str, Column]:
@@ -97,6 +96,30 @@ def _records(events: DataFrame, types: tuple, columns, special: dict) -> DataFra
     return ev.select(*cols)
 
 
+def _filler_text(width: int) -> str:
+    return ("abcdefghijklmnopqrstuvwxyz" * 2)[:max(1, width // 2)]
+
+
+def _lines(events: DataFrame, types: tuple, columns, special: dict, sep: str = ","
+           ) -> DataFrame:
+    """The same records as delimited text, built with runs of constant filler
+    columns merged into single literals (a short expression keeps the whole
+    stage inside generated code)."""
+    ev = _base(events, types)
+    parts, run = [], []
+    for name, width in columns:
+        if name in special:
+            if run:
+                parts.append(F.lit(sep.join(run)))
+                run = []
+            parts.append(special[name])
+        else:
+            run.append(_filler_text(width))
+    if run:
+        parts.append(F.lit(sep.join(run)))
+    return ev.select(F.concat_ws(sep, *parts).alias("value"))
+
+
 def _common(prefix_load_ts_fmt: str) -> dict[str, Column]:
     ct = F.col("_ct")
     eid = F.col("event_id")
@@ -110,19 +133,35 @@ def _common(prefix_load_ts_fmt: str) -> dict[str, Column]:
     return d
 
 
-def flow_records(events: DataFrame) -> DataFrame:
-    """72 string columns per flow event, in record order."""
+def _flow_special() -> dict[str, Column]:
     special = _common("yyyy-MM-dd HH:mm:ss.SSS")
     special["flowid"] = F.col("event_id").cast("string")
-    return _records(events, FLOW_TYPES, FLOWS_COLUMNS, special)
+    return special
 
 
-def session_records(events: DataFrame) -> DataFrame:
-    """102 string columns per session event; ``ecgieci`` is the cell."""
+def _session_special() -> dict[str, Column]:
     special = _common("yyyy-MM-dd HH:mm:ss")
     special["ecgieci"] = (F.lit(CELL_BASE) + F.pmod(F.col("event_id"), F.lit(CELL_COUNT))
                           ).cast("string")
-    return _records(events, SESSION_TYPES, SESSIONS_COLUMNS, special)
+    return special
+
+
+def flow_records(events: DataFrame) -> DataFrame:
+    """72 string columns per flow event, in record order."""
+    return _records(events, FLOW_TYPES, FLOWS_COLUMNS, _flow_special())
+
+
+def session_records(events: DataFrame) -> DataFrame:
+    """102 string columns per session event; ``ecgieci`` is the cell."""
+    return _records(events, SESSION_TYPES, SESSIONS_COLUMNS, _session_special())
+
+
+def flow_lines(events: DataFrame, sep: str = ",") -> DataFrame:
+    return _lines(events, FLOW_TYPES, FLOWS_COLUMNS, _flow_special(), sep)
+
+
+def session_lines(events: DataFrame, sep: str = ",") -> DataFrame:
+    return _lines(events, SESSION_TYPES, SESSIONS_COLUMNS, _session_special(), sep)
 
 
 def as_lines(records: DataFrame, sep: str = ",") -> DataFrame:
@@ -134,10 +173,10 @@ def as_lines(records: DataFrame, sep: str = ",") -> DataFrame:
 def flows_from_events(spark: SparkSession, sf_dir: str, parse: bool = True) -> DataFrame:
     """Flows records of the ``events`` table.  With ``parse`` the records go
     through text and the CSV parser, as file input would."""
-    rec = flow_records(table(spark, sf_dir, "events"))
-    return parse_lines(as_lines(rec), flows_schema()) if parse else rec
+    ev = table(spark, sf_dir, "events")
+    return parse_lines(flow_lines(ev), flows_schema()) if parse else flow_records(ev)
 
 
 def sessions_from_events(spark: SparkSession, sf_dir: str, parse: bool = True) -> DataFrame:
-    rec = session_records(table(spark, sf_dir, "events"))
-    return parse_lines(as_lines(rec), sessions_schema()) if parse else rec
+    ev = table(spark, sf_dir, "events")
+    return parse_lines(session_lines(ev), sessions_schema()) if parse else session_records(ev)
