@@ -17,6 +17,17 @@ identical results and differ in how they scale:
     chunk).  Frames are exact; a hot key is split across ``span / C`` tasks and
     the copy overhead is ``preceding / C``.
 
+``two_level`` (dense frames: many rows per frame, e.g. per cell)
+    Spark's sliding frame re-aggregates its whole buffer each time the frame
+    moves, O(rows x frame rows).  Here time is cut into buckets of w/60:
+    rows are first reduced per (keys, time) (ties share a frame), then each
+    frame is the union of three disjoint parts - the rows of its own bucket
+    up to t (a running aggregate), the whole buckets in between (a frame over
+    bucket rows, at most 59 of them), and the rows of the bucket w back from
+    t at or after t - w (a suffix aggregate read by a probe row placed at
+    t - w).  Every step is linear or runs over buckets; partitions are
+    (keys, bucket), so a hot key spreads over its buckets.
+
 ``bucketed`` (default for frames over a floored time)
     When the order key is ``date_trunc(unit, t)`` every row of a bucket shares
     one frame: reduce to one partial aggregate per ``(keys, bucket)``, run the
@@ -88,6 +99,10 @@ def range_frame(df: DataFrame, keys: list[str], order: str, aggs: dict, precedin
         return df.select("*", *_window_aggs(df, w, aggs))
     if strategy == "chunked":
         return _chunked(df, keys, okey, aggs, p, g, chunk)
+    if strategy == "two_level":
+        if floor or g or p < 60 or p % 60:
+            raise ValueError("two_level needs a row frame [t - w, t] with w divisible by 60")
+        return _two_level(df, keys, order, aggs, p, p // 60)
     raise ValueError(f"unknown strategy {strategy!r}")
 
 
@@ -180,3 +195,85 @@ def _bucketed(df, keys, order, aggs, p, g, floor):
         if kind == "count":
             out = out.withColumn(alias, F.coalesce(F.col(alias), F.lit(0)).cast("bigint"))
     return out.drop("_bucket")
+
+
+# -- two-level plan -----------------------------------------------------------
+
+def _nsum(*cols: Column) -> Column:
+    """Sum ignoring NULLs; NULL only when every part is NULL (SQL SUM)."""
+    all_null = None
+    total = None
+    for c in cols:
+        all_null = c.isNull() if all_null is None else all_null & c.isNull()
+        z = F.coalesce(c, F.lit(0))
+        total = z if total is None else total + z
+    return F.when(all_null, F.lit(None)).otherwise(total)
+
+
+def _combine_parts(kind: str, cols: list[Column]) -> Column:
+    if kind == "min":
+        return F.least(*cols)
+    if kind == "max":
+        return F.greatest(*cols)
+    if kind == "sum":
+        return _nsum(*cols)
+    return sum((F.coalesce(c, F.lit(0)) for c in cols[1:]), F.coalesce(cols[0], F.lit(0)))
+
+
+def _two_level(df, keys, order, aggs, p, bucket):
+    parts, merge = _partials(aggs)
+    pnames = [c for _, (_, cols) in merge.items() for c in cols]
+    pkind = {}
+    for alias, (kind, cols) in merge.items():
+        if kind == "avg":
+            pkind[cols[0]], pkind[cols[1]] = "sum", "count"
+        else:
+            pkind[cols[0]] = kind
+    k = p // bucket
+    rows = df.withColumn("_t", F.unix_micros(F.col(order)))
+    ties = rows.groupBy(*keys, "_t").agg(*parts).withColumn("_b", floor_div(F.col("_t"), bucket))
+
+    # data rows and, for each, a probe row at t - w in bucket b - k
+    data = ties.select(*keys, "_t", "_b", F.lit(0).alias("_probe"),
+                       F.col("_t").alias("_origin"), *pnames)
+    probes = ties.select(*keys, (F.col("_t") - F.lit(p)).alias("_t"),
+                         (F.col("_b") - F.lit(k)).alias("_b"), F.lit(1).alias("_probe"),
+                         F.col("_t").alias("_origin"),
+                         *[F.lit(None).cast(ties.schema[c].dataType).alias(c) for c in pnames])
+    u = data.unionByName(probes)
+    fwd = Window.partitionBy(*keys, "_b").orderBy("_t", "_probe").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    bwd = Window.partitionBy(*keys, "_b").orderBy(F.col("_t").desc(), "_probe").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    run = {"min": F.min, "max": F.max, "sum": F.sum, "count": F.sum}
+    u = u.select(*keys, "_b", "_probe", "_origin",
+                 *[run[pkind[c]](c).over(fwd).alias(f"_up_{c}") for c in pnames],
+                 *[run[pkind[c]](c).over(bwd).alias(f"_lo_{c}") for c in pnames])
+    upper = u.filter(F.col("_probe") == 0).select(*keys, F.col("_origin").alias("_t"), "_b",
+                                                  *[f"_up_{c}" for c in pnames])
+    lower = u.filter(F.col("_probe") == 1).select(*keys, F.col("_origin").alias("_t"),
+                                                  *[f"_lo_{c}" for c in pnames])
+    res = upper.join(lower, [*keys, "_t"], "left")
+    if k > 1:
+        per_bucket = ties.groupBy(*keys, "_b").agg(
+            *[run[pkind[c]](c).alias(c) for c in pnames])
+        w = Window.partitionBy(*keys).orderBy("_b").rangeBetween(-(k - 1), -1)
+        mid = per_bucket.select(*keys, "_b", *[run[pkind[c]](c).over(w).alias(f"_mid_{c}")
+                                               for c in pnames])
+        res = res.join(mid, [*keys, "_b"], "left")
+    else:
+        for c in pnames:
+            res = res.withColumn(f"_mid_{c}", F.lit(None).cast(ties.schema[c].dataType))
+    combined = {c: _combine_parts(pkind[c], [F.col(f"_up_{c}"), F.col(f"_mid_{c}"),
+                                            F.col(f"_lo_{c}")]) for c in pnames}
+    outs = []
+    for alias, (kind, cols) in merge.items():
+        if kind == "avg":
+            e = combined[cols[0]] / combined[cols[1]]
+        elif kind == "count":
+            e = combined[cols[0]].cast("bigint")
+        else:
+            e = combined[cols[0]]
+        outs.append(e.alias(alias))
+    frames = res.select(*keys, "_t", *outs)
+    return rows.join(frames, [*keys, "_t"], "inner").drop("_t")

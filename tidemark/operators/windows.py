@@ -30,7 +30,11 @@ def agg_view(projection: DataFrame, minutes: int = 60, **plan) -> DataFrame:
 
 
 def join_n_agg_view(joined: DataFrame, minutes: int = 60, **plan) -> DataFrame:
-    """The same statistics per cell over a join view's rows."""
+    """The same statistics per cell over a join view's rows.
+
+    A cell's frame holds every flow of every session in it for an hour, so
+    the frames are dense: the two-level plan is the default here."""
+    plan.setdefault("strategy", "two_level")
     out = range_frame(joined, ["cellid"], "eventtime", OCTET_STATS,
                       minutes * MICROS["minute"], **plan)
     return out.select("cellid", "octets", "eventtime", *STAT_COLUMNS)
