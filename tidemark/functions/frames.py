@@ -184,7 +184,8 @@ def _bucketed(df, keys, order, aggs, p, g, floor):
     else:
         # fan each bucket out to the buckets whose frame holds it; never one task
         lo, hi = -(-g // unit), p // unit   # offsets (in buckets) that can see it
-        x = per_bucket.withColumn("_k", F.explode(F.sequence(F.lit(lo), F.lit(hi))))
+        x = per_bucket.withColumn("_k", F.explode(F.sequence(F.lit(lo).cast("bigint"),
+                                                             F.lit(hi).cast("bigint"))))
         x = x.withColumn("_target", F.timestamp_micros(F.unix_micros("_bucket")
                                                        + F.col("_k") * unit))
         frames = x.groupBy("_target").agg(*_merged(merge)).withColumnRenamed("_target",
