@@ -35,6 +35,12 @@ identical results and differ in how they scale:
     volume), and join the frame results back to the rows on ``(keys, bucket)``.
     Without keys the bucket frame is computed by fanning each bucket out to the
     buckets whose frames contain it, so nothing runs in one task.
+
+The bucketed and two-level plans read their input twice (partials, then the
+join back).  When the input is itself a join, Spark evaluates it twice; an
+explicit repartition does not help, because column pruning gives the two
+branches different projections and the exchange is not reused.  Persist the
+input when it is expensive and reused.
 """
 
 from __future__ import annotations
