@@ -68,7 +68,8 @@ def _batch_inputs(spark, base):
 
 
 @pytest.mark.parametrize("name", ["agg_view_5m", "join_view_forward", "join_view_backward",
-                                  "session_join_view", "join_n_agg_view"])
+                                  "session_join_view", "join_n_agg_view", "offset_frame",
+                                  "join_n_agg_view2"])
 def test_stream_equals_batch(spark, dirs, name, tmp_path):
     d = _copy(spark, dirs, name)
     bf, bs = _batch_inputs(spark, dirs)
@@ -83,6 +84,10 @@ def test_stream_equals_batch(spark, dirs, name, tmp_path):
             return ops.join_view_backward(f, s)
         if name == "session_join_view":
             return ops.session_join_view(f, s)
+        if name == "offset_frame":
+            return ops.stream_offset_over(f, "sessionid")
+        if name == "join_n_agg_view2":
+            return ops.join_n_agg_view2(ops.join_view_backward(f, s))
         return ops.join_n_agg_view(ops.join_view_backward(f, s))
 
     if name == "agg_view_5m":
@@ -93,6 +98,12 @@ def test_stream_equals_batch(spark, dirs, name, tmp_path):
         batch = joins.join_view_backward(bf, bs)
     elif name == "session_join_view":
         batch = joins.session_join_view(bf, bs)
+    elif name == "offset_frame":
+        batch = windows.range_frame(bf, ["sessionid"], "eventtime", windows.OCTET_STATS,
+                                    3600 * 10**6, 60 * 10**6, floor="minute").select(
+            "sessionid", "octets", "eventtime", *windows.STAT_COLUMNS)
+    elif name == "join_n_agg_view2":
+        batch = windows.join_n_agg_view2(joins.join_view_backward(bf, bs))
     else:
         batch = windows.join_n_agg_view(joins.join_view_backward(bf, bs))
     got = bounded.run_bounded(spark, build, _flush(d), out=str(tmp_path / "out"),

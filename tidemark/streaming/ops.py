@@ -103,6 +103,43 @@ def stream_over(df: DataFrame, key: str, time: str = "eventtime", value: str = "
     return g.select(key, value, time, *STATS)
 
 
+def stream_offset_over(df: DataFrame, key: str, time: str = "eventtime",
+                       value: str = "octets", preceding=60 * MICROS["minute"],
+                       unit: str = "minute", delay: str = DEFAULT_DELAY) -> DataFrame:
+    """Offset frame on a stream: ordered by ``date_trunc(unit, time)``, from
+    ``preceding`` before the row's bucket up to (not including) that bucket.
+    A left outer join keeps rows whose frame is empty (count 0, NULL stats).
+
+    The join needs a plain range on the two time columns to evict state
+    (``r.t`` in ``[l.t - preceding - unit, l.t]``); the exact bucket bounds
+    are further predicates."""
+    p, u = micros(preceding), MICROS[unit]
+    cur = as_rowtime(with_row_id(df.select(key, time, value)), time, delay)
+    frame = as_rowtime(df.select(F.col(key).alias("_fk"), F.col(time).alias("_ft"),
+                                 F.col(value).alias("_fv")), "_ft", delay)
+    lb = F.date_trunc(unit, F.col(time))
+    cond = ((F.col(key) == F.col("_fk"))
+            & (F.col("_ft") >= F.col(time) - _interval(p + u)) & (F.col("_ft") <= F.col(time))
+            & (F.col("_ft") >= lb - _interval(p)) & (F.col("_ft") < lb))
+    j = cur.join(frame, cond, "leftOuter")
+    g = j.groupBy(time, "_rid", key, value).agg(*[f(F.col("_fv")).alias(n)
+                                                  for n, f in STATS.items()])
+    return g.select(key, value, time, *STATS)
+
+
+def flows_agg_step_1(ingested: DataFrame, delay: str = DEFAULT_DELAY) -> DataFrame:
+    """Per session, the 60..1-minute offset frame on the minute of each row."""
+    out = stream_offset_over(ingested.withColumnRenamed("rowtime", "_rowtime")
+                             .select("sessionid", F.col("_rowtime").alias("eventtime"),
+                                     "octets"), "sessionid", delay=delay)
+    return out.select("sessionid", "eventtime", *STATS)
+
+
+def join_n_agg_view2(joined: DataFrame, delay: str = DEFAULT_DELAY) -> DataFrame:
+    out = stream_offset_over(joined, "cellid", delay=delay)
+    return out.select("cellid", "octets", "eventtime", *STATS)
+
+
 def agg_view(projection: DataFrame, minutes: int = 60, delay: str = DEFAULT_DELAY
              ) -> DataFrame:
     return stream_over(projection, "sessionid", preceding=minutes * MICROS["minute"],
