@@ -40,3 +40,39 @@ def test_stream_throughput_meter(spark, tmpdir_path):
     q.stop()
     got = spark.sql("select sum(recs_per_sec) from meter_t").first()[0]
     assert got == flow_records(ev).count()
+
+
+def test_stream_rate_equals_batch_meter(spark, tmpdir_path):
+    """With the record load time as arrival, the streamed per-second table plus
+    its read-time running columns equal the batch meters."""
+    from tidemark.operators import meters
+    from tidemark.streaming import bounded
+
+    ev = table(spark, SF, "events")
+    write_rotated(flow_records(ev).orderBy("load_ts").coalesce(1), tmpdir_path + "/in", 150)
+
+    def with_arrival(df):
+        return projection.projection_view(
+            df.withColumn("arrival", F.col("load_ts").cast("timestamp")), keep=("arrival",))
+
+    def build():
+        f = with_arrival(csv.read_flows(spark, tmpdir_path + "/in", stream=True,
+                                        max_files_per_trigger=1))
+        return ops.stream_rate(f, arrival="arrival")
+
+    from tidemark.sources.schemas import FLOWS_COLUMNS
+    sentinel = bounded.sentinel_line(FLOWS_COLUMNS, {
+        "load_ts": bounded.SENTINEL_TIME, "eventtime": bounded.SENTINEL_TIME,
+        "sessionid": bounded.SENTINEL_KEY})
+    per_second = bounded.run_bounded(spark, build, {tmpdir_path + "/in": sentinel},
+                                     out=tmpdir_path + "/out", checkpoint=tmpdir_path + "/ckpt",
+                                     drop=F.year("rowtime") >= 2999)
+    got = ops.finish_rate(per_second)
+    batch_in = with_arrival(csv.read_flows(spark, tmpdir_path + "/in")
+                            .filter(F.col("sessionid") != bounded.SENTINEL_KEY))
+    want = meters.data_rate(batch_in).join(
+        meters.running_avg_rps(batch_in).withColumnRenamed("second", "rowtime"),
+        ["rowtime", "rps"])
+    cols = ["rowtime", "rps", "cumulative_rows", "rowtime_low", "rowtime_high", "avg_rps"]
+    assert sorted(map(tuple, got.select(*cols).collect())) == \
+        sorted(map(tuple, want.select(*cols).collect()))

@@ -168,3 +168,33 @@ def throughput_meter(df: DataFrame, eventtime: str = "eventtime", delay: str = "
         F.count(F.lit(1)).alias("recs_per_sec"), F.max(eventtime).alias("max_event_time"))
     return g.select(F.col("window.start").alias("clocktime"), "recs_per_sec",
                     "max_event_time")
+
+
+def stream_rate(df: DataFrame, eventtime: str = "eventtime", arrival: str | None = None,
+                delay: str = "0 seconds") -> DataFrame:
+    """Per arrival second: rows, lowest and highest event time (the stateful
+    half of the per-second meters).  ``arrival`` defaults to processing time
+    (``current_timestamp()``, fixed per micro-batch).  Running columns are
+    added when the sink table is read, see :func:`finish_rate`."""
+    col = arrival or "_arrival"
+    x = df if arrival else df.withColumn("_arrival", F.current_timestamp())
+    x = as_rowtime(x, col, delay)
+    g = x.groupBy(F.window(col, "1 second")).agg(
+        F.count(F.lit(1)).alias("rps"), F.min(eventtime).alias("rowtime_low"),
+        F.max(eventtime).alias("rowtime_high"))
+    return g.select(F.col("window.start").alias("rowtime"), "rps", "rowtime_low",
+                    "rowtime_high")
+
+
+def finish_rate(per_second: DataFrame, digits: int | None = 4) -> DataFrame:
+    """Cumulative rows and the running average of per-second rates over a
+    stream's per-second table (a batch step: append mode cannot carry a
+    global running sum)."""
+    from ..functions.prefix import prefix_aggregate
+    run = prefix_aggregate(per_second, "rowtime", {"cumulative_rows": ("sum", "rps"),
+                                                   "_n": ("count", "*")})
+    avg = F.col("cumulative_rows") / F.col("_n")
+    if digits is not None:
+        avg = F.round(avg, digits)
+    return run.select("rowtime", "rps", "cumulative_rows", "rowtime_low", "rowtime_high",
+                      avg.alias("avg_rps"))
