@@ -111,3 +111,34 @@ def test_stream_equals_batch(spark, dirs, name, tmp_path):
     cols = batch.columns
     assert _rows(got, cols) == _rows(batch, cols)
     assert batch.count() > 0
+
+
+def test_late_rows_stream_keeps_what_batch_keeps(spark, tmp_path):
+    """Arrival order with up to 49 s of delay against a 30 s bound: the
+    stream's watermark advances per micro-batch, so it never drops a row the
+    batch reorder keeps (it may keep some the batch drops)."""
+    from tidemark.operators import late
+
+    d = str(tmp_path / "in")
+    ev = table(spark, SF, "events")
+    write_rotated(flow_records(ev).orderBy("load_ts", F.col("flowid").cast("int")).coalesce(1),
+                  d, 100)
+
+    def build():
+        f = projection.projection_view(csv.read_flows(spark, d, stream=True,
+                                                      max_files_per_trigger=1))
+        return ops.agg_view(ops.t_sort(f), 5)
+
+    got = bounded.run_bounded(spark, build, {d: bounded.default_flush(
+        FLOWS_COLUMNS, numeric=tuple(TONNAGE))}, out=str(tmp_path / "out"),
+        checkpoint=str(tmp_path / "ckpt"))
+    src = csv.read_flows(spark, d).filter(F.col("sessionid") != bounded.SENTINEL_KEY)
+    p = projection.projection_view(src.withColumn("arrival", F.col("load_ts").cast("timestamp"))
+                                   .withColumn("flowid", F.col("flowid").cast("bigint")),
+                                   keep=("arrival", "flowid"))
+    kept = late.t_sort(p, tiebreak=["flowid"], sort=False)
+    cols = ["sessionid", "eventtime", "octets"]
+    stream_rows = _rows(got, cols)
+    batch_rows = _rows(kept, cols)
+    assert not (batch_rows - stream_rows)
+    assert late.late_rows(p, tiebreak=["flowid"]).count() > 0
