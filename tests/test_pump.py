@@ -66,7 +66,7 @@ def test_stream_rate_equals_batch_meter(spark, tmpdir_path):
         "sessionid": bounded.SENTINEL_KEY})
     per_second = bounded.run_bounded(spark, build, {tmpdir_path + "/in": sentinel},
                                      out=tmpdir_path + "/out", checkpoint=tmpdir_path + "/ckpt",
-                                     drop=F.year("rowtime") >= 2999)
+                                     drop=F.year("rowtime") >= 2200)
     got = ops.finish_rate(per_second)
     batch_in = with_arrival(csv.read_flows(spark, tmpdir_path + "/in")
                             .filter(F.col("sessionid") != bounded.SENTINEL_KEY))

@@ -12,7 +12,7 @@ from tidemark.sources import csv
 from tidemark.sources.schemas import FLOWS_COLUMNS, SESSIONS_COLUMNS, TONNAGE
 from tidemark.sources.sinks import write_rotated
 from tidemark.sources.tables import flow_records, session_records, table
-from tidemark.streaming import bounded, ops
+from tidemark.streaming import bounded, ops, stateful
 
 SF = "/root/testdata/sf0.001"
 
@@ -69,7 +69,8 @@ def _batch_inputs(spark, base):
 
 @pytest.mark.parametrize("name", ["agg_view_5m", "join_view_forward", "join_view_backward",
                                   "session_join_view", "join_n_agg_view", "offset_frame",
-                                  "join_n_agg_view2"])
+                                  "join_n_agg_view2", "agg_view_5m_state",
+                                  "agg_view_5m_state_salted", "join_n_agg_view_state"])
 def test_stream_equals_batch(spark, dirs, name, tmp_path):
     d = _copy(spark, dirs, name)
     bf, bs = _batch_inputs(spark, dirs)
@@ -78,6 +79,12 @@ def test_stream_equals_batch(spark, dirs, name, tmp_path):
         f, s = _stream_inputs(spark, d)
         if name == "agg_view_5m":
             return ops.agg_view(f, 5)
+        if name == "agg_view_5m_state":
+            return stateful.agg_view(f, 5)
+        if name == "agg_view_5m_state_salted":
+            return stateful.agg_view(f, 5, salts=3)
+        if name == "join_n_agg_view_state":
+            return stateful.join_n_agg_view(ops.join_view_backward(f, s))
         if name == "join_view_forward":
             return ops.join_view_forward(f, s)
         if name == "join_view_backward":
@@ -90,7 +97,7 @@ def test_stream_equals_batch(spark, dirs, name, tmp_path):
             return ops.join_n_agg_view2(ops.join_view_backward(f, s))
         return ops.join_n_agg_view(ops.join_view_backward(f, s))
 
-    if name == "agg_view_5m":
+    if name.startswith("agg_view_5m"):
         batch = windows.agg_view(bf, 5)
     elif name == "join_view_forward":
         batch = joins.join_view_forward(bf, bs)
@@ -104,7 +111,7 @@ def test_stream_equals_batch(spark, dirs, name, tmp_path):
             "sessionid", "octets", "eventtime", *windows.STAT_COLUMNS)
     elif name == "join_n_agg_view2":
         batch = windows.join_n_agg_view2(joins.join_view_backward(bf, bs))
-    else:
+    else:   # join_n_agg_view, plain or stateful
         batch = windows.join_n_agg_view(joins.join_view_backward(bf, bs))
     got = bounded.run_bounded(spark, build, _flush(d), out=str(tmp_path / "out"),
                               checkpoint=str(tmp_path / "ckpt"))

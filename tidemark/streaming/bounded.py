@@ -20,7 +20,8 @@ from pyspark.sql.streaming import StreamingQuery
 from ..session import scratch_path
 
 SENTINEL_KEY = "~flush~"
-SENTINEL_TIME = "2999-12-31 00:00:00.000"
+# within the range pandas can hold (operators in Python see it too)
+SENTINEL_TIME = "2200-01-01 00:00:00.000"
 
 
 def sentinel_line(columns: list[tuple[str, int]], values: dict[str, str], sep: str = ","

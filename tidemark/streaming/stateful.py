@@ -1,0 +1,166 @@
+"""A per-key incremental RANGE-frame operator for streams.
+
+The self-join form in :mod:`.ops` produces one join row per frame member,
+so its cost grows with frame density.  This operator keeps, per key, the rows
+of the last ``preceding`` (plus rows not yet emitted) in Spark-managed state
+(``applyInPandasWithState``), and emits a row once the watermark has passed
+its time - after that no row at or before it can still arrive.  Frames are
+read off the key's time-sorted buffer: sums and counts by prefix sums, minima
+and maxima by a sparse table, all vectorised with numpy.
+
+Rows with equal times are peers and share a frame.  A key can be split into
+``salts`` groups: every group holds the key's whole buffer (frame members are
+copied to each) but emits only its share of the rows, trading memory for
+parallelism on a hot key.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupStateTimeout
+
+from ..functions.frames import MICROS, micros
+from .ops import DEFAULT_DELAY, as_rowtime
+
+_I64_MAX = np.iinfo(np.int64).max
+_I64_MIN = np.iinfo(np.int64).min
+
+STATE_SCHEMA = "ts array<bigint>, vs array<bigint>, nulls array<boolean>, done array<boolean>"
+
+
+def _range_extreme(v: np.ndarray, lo: np.ndarray, hi: np.ndarray, fn) -> np.ndarray:
+    """fn (np.minimum / np.maximum) of v[lo:hi] for each pair, hi > lo."""
+    n = len(v)
+    table = [v]
+    k = 1
+    while (1 << k) <= n:
+        prev = table[-1]
+        half = 1 << (k - 1)
+        table.append(fn(prev[:-half], prev[half:]))
+        k += 1
+    length = hi - lo
+    lev = np.floor(np.log2(length)).astype(np.int64)
+    out = np.empty(len(lo), dtype=v.dtype)
+    for level in np.unique(lev):
+        m = lev == level
+        t = table[level]
+        out[m] = fn(t[lo[m]], t[hi[m] - (1 << level)])
+    return out
+
+
+def _frames(ts, vs, nulls, ready_idx, p):
+    """min, max, sum, count over [t - p, t] (peers included) for rows ready_idx."""
+    t = ts[ready_idx]
+    lo = np.searchsorted(ts, t - p, side="left")
+    hi = np.searchsorted(ts, t, side="right")
+    valid = ~nulls
+    vz = np.where(valid, vs, 0)
+    csum = np.concatenate([[0], np.cumsum(vz)])
+    ccnt = np.concatenate([[0], np.cumsum(valid.astype(np.int64))])
+    s = csum[hi] - csum[lo]
+    c = ccnt[hi] - ccnt[lo]
+    mn = _range_extreme(np.where(valid, vs, _I64_MAX), lo, hi, np.minimum)
+    mx = _range_extreme(np.where(valid, vs, _I64_MIN), lo, hi, np.maximum)
+    return mn, mx, s, c
+
+
+def _make_fn(key: str, value: str, time: str, p: int, salts: int, out_cols: list[str]):
+    def fn(grp, pdfs, state):
+        if state.exists:
+            ts0, vs0, nl0, dn0 = state.get
+            ts, vs = np.asarray(ts0, dtype=np.int64), np.asarray(vs0, dtype=np.int64)
+            nulls, done = np.asarray(nl0, dtype=bool), np.asarray(dn0, dtype=bool)
+        else:
+            ts = vs = np.empty(0, dtype=np.int64)
+            nulls = done = np.empty(0, dtype=bool)
+        own_new = []
+        for pdf in pdfs:
+            t_new = pd.to_datetime(pdf[time]).astype("datetime64[us]").astype(np.int64)
+            v = pdf[value]
+            n = v.isna().to_numpy()
+            ts = np.concatenate([ts, t_new.to_numpy()])
+            vs = np.concatenate([vs, v.fillna(0).astype(np.int64).to_numpy()])
+            nulls = np.concatenate([nulls, n])
+            # rows of another salt are frame members only: already "done" here
+            own = pdf["_own"].to_numpy(dtype=bool)
+            done = np.concatenate([done, ~own])
+            own_new.append(own)
+        order = np.argsort(ts, kind="stable")
+        ts, vs, nulls, done = ts[order], vs[order], nulls[order], done[order]
+        wm = state.getCurrentWatermarkMs() * 1000
+        ready = np.nonzero((~done) & (ts < wm))[0]
+        out = None
+        if len(ready):
+            mn, mx, s, c = _frames(ts, vs, nulls, ready, p)
+            has = c > 0
+            out = pd.DataFrame({
+                key: [grp[0]] * len(ready),
+                value: pd.array(np.where(nulls[ready], None, vs[ready]), dtype="Int64"),
+                time: pd.to_datetime(ts[ready], unit="us"),
+                "minOctets": pd.array(np.where(has, mn, None), dtype="Int64"),
+                "maxOctets": pd.array(np.where(has, mx, None), dtype="Int64"),
+                "sumOctets": pd.array(np.where(has, s, None), dtype="Int64"),
+                "countOctets": c.astype(np.int64),
+            })[out_cols]
+            done[ready] = True
+        # rows older than wm - p can be in no future frame
+        keep = ts >= wm - p
+        ts, vs, nulls, done = ts[keep], vs[keep], nulls[keep], done[keep]
+        if len(ts) == 0:
+            state.remove()
+        else:
+            state.update((ts.tolist(), vs.tolist(), nulls.tolist(), done.tolist()))
+            pending = ts[~done]
+            # wake up when the watermark passes the oldest pending row, or
+            # when the whole buffer has aged out
+            nxt = pending.min() if len(pending) else ts.max() + p
+            state.setTimeoutTimestamp(int(nxt // 1000) + 1)
+        if out is not None:
+            yield out
+    return fn
+
+
+def stream_over_state(df: DataFrame, key: str, time: str = "eventtime", value: str = "octets",
+                      preceding=60 * MICROS["minute"], delay: str = DEFAULT_DELAY,
+                      salts: int = 1) -> DataFrame:
+    """min/max/sum/count of ``value`` over ``[time - preceding, time]`` per
+    ``key`` on a stream (append mode), one output row per input row."""
+    p = micros(preceding)
+    x = as_rowtime(df.select(key, time, value), time, delay)
+    if salts > 1:
+        mine = F.pmod(F.xxhash64(key, time, value, F.expr("uuid()")), F.lit(salts))
+        x = x.withColumn("_mine", mine).withColumn("_salt", F.explode(F.sequence(
+            F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
+        x = x.withColumn("_own", F.col("_salt") == F.col("_mine")).drop("_mine")
+    else:
+        x = x.withColumn("_salt", F.lit(0).cast("bigint")).withColumn("_own", F.lit(True))
+    fields = {f.name: f.dataType for f in df.schema.fields}
+    out_schema = T.StructType([
+        T.StructField(key, fields[key]), T.StructField(value, T.LongType()),
+        T.StructField(time, T.TimestampType()),
+        T.StructField("minOctets", T.LongType()), T.StructField("maxOctets", T.LongType()),
+        T.StructField("sumOctets", T.LongType()), T.StructField("countOctets", T.LongType()),
+    ])
+    fn = _make_fn(key, value, time, p, salts, [f.name for f in out_schema.fields])
+    return x.groupBy(key, "_salt").applyInPandasWithState(
+        fn, out_schema, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def agg_view(projection: DataFrame, minutes: int = 60, delay: str = DEFAULT_DELAY,
+             salts: int = 1) -> DataFrame:
+    out = stream_over_state(projection, "sessionid", preceding=minutes * MICROS["minute"],
+                            delay=delay, salts=salts)
+    return out.select("sessionid", "octets", "eventtime", "minOctets", "maxOctets",
+                      "sumOctets", "countOctets")
+
+
+def join_n_agg_view(joined: DataFrame, minutes: int = 60, delay: str = DEFAULT_DELAY,
+                    salts: int = 1) -> DataFrame:
+    out = stream_over_state(joined, "cellid", preceding=minutes * MICROS["minute"],
+                            delay=delay, salts=salts)
+    return out.select("cellid", "octets", "eventtime", "minOctets", "maxOctets",
+                      "sumOctets", "countOctets")
