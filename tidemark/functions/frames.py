@@ -240,27 +240,31 @@ def _two_level(df, keys, order, aggs, p, bucket):
     rows = df.withColumn("_t", F.unix_micros(F.col(order)))
     ties = rows.groupBy(*keys, "_t").agg(*parts).withColumn("_b", floor_div(F.col("_t"), bucket))
 
-    # data rows and, for each, a probe row at t - w in bucket b - k
-    data = ties.select(*keys, "_t", "_b", F.lit(0).alias("_probe"),
-                       F.col("_t").alias("_origin"), *pnames)
-    probes = ties.select(*keys, (F.col("_t") - F.lit(p)).alias("_t"),
-                         (F.col("_b") - F.lit(k)).alias("_b"), F.lit(1).alias("_probe"),
-                         F.col("_t").alias("_origin"),
-                         *[F.lit(None).cast(ties.schema[c].dataType).alias(c) for c in pnames])
-    u = data.unionByName(probes)
-    fwd = Window.partitionBy(*keys, "_b").orderBy("_t", "_probe").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    bwd = Window.partitionBy(*keys, "_b").orderBy(F.col("_t").desc(), "_probe").rowsBetween(
+    # each reduced row twice: as itself (kind 0) and as a "far" copy moved one
+    # frame width forward (kind 2, time + w, bucket + k).  In partition
+    # (keys, bucket) a row then finds, in one pass, the rows of its bucket up to
+    # it (ascending running aggregate over kind 0 values) and the far rows at or
+    # after it - i.e. the rows of bucket b - k at or after t - w (descending
+    # running aggregate over kind 2 values).
+    kinds = F.explode(F.array(F.lit(0), F.lit(2)))
+    x = ties.withColumn("_kind", kinds)
+    far = F.col("_kind") == 2
+    x = x.select(*keys,
+                 F.when(far, F.col("_t") + F.lit(p)).otherwise(F.col("_t")).alias("_tt"),
+                 F.when(far, F.col("_b") + F.lit(k)).otherwise(F.col("_b")).alias("_b"),
+                 "_kind", "_t",
+                 *[F.when(~far, F.col(c)).alias(f"_u_{c}") for c in pnames],
+                 *[F.when(far, F.col(c)).alias(f"_f_{c}") for c in pnames])
+    fwd = Window.partitionBy(*keys, "_b").orderBy("_tt", "_kind").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
+    bwd = Window.partitionBy(*keys, "_b").orderBy(F.col("_tt").desc(), F.col("_kind").desc()
+                                                  ).rowsBetween(Window.unboundedPreceding,
+                                                                Window.currentRow)
     run = {"min": F.min, "max": F.max, "sum": F.sum, "count": F.sum}
-    u = u.select(*keys, "_b", "_probe", "_origin",
-                 *[run[pkind[c]](c).over(fwd).alias(f"_up_{c}") for c in pnames],
-                 *[run[pkind[c]](c).over(bwd).alias(f"_lo_{c}") for c in pnames])
-    upper = u.filter(F.col("_probe") == 0).select(*keys, F.col("_origin").alias("_t"), "_b",
-                                                  *[f"_up_{c}" for c in pnames])
-    lower = u.filter(F.col("_probe") == 1).select(*keys, F.col("_origin").alias("_t"),
-                                                  *[f"_lo_{c}" for c in pnames])
-    res = upper.join(lower, [*keys, "_t"], "left")
+    u = x.select(*keys, "_b", "_kind", "_t",
+                 *[run[pkind[c]](f"_u_{c}").over(fwd).alias(f"_up_{c}") for c in pnames],
+                 *[run[pkind[c]](f"_f_{c}").over(bwd).alias(f"_lo_{c}") for c in pnames])
+    res = u.filter(F.col("_kind") == 0).drop("_kind")
     if k > 1:
         per_bucket = ties.groupBy(*keys, "_b").agg(
             *[run[pkind[c]](c).alias(c) for c in pnames])
