@@ -13,8 +13,9 @@ Three workloads at the scale factor of ``$BENCH_SF_DIR``:
   675k flow and 150k session records).  Rows per second are reported per view
   as the upstream benchmark reports them (flow records in / seconds).
 
-Each query runs to completion into the no-op sink (full execution, nothing
-collected).  ``value`` is the sum of all timed queries.
+Each batch query runs to completion into the no-op sink (full execution,
+nothing collected), twice; the better time is reported.  Streaming runs once.
+``value`` is the sum of all timed queries.
 """
 
 from __future__ import annotations
@@ -39,10 +40,16 @@ EVENTS_VIEWS = ["projection_view", "agg_view", "join_view_backward", "session_jo
                 "join_n_agg_view_backward", "join_n_agg_view2", "flows_agg_step_2"]
 
 
-def run(df) -> float:
-    t = time.perf_counter()
-    df.write.format("noop").mode("overwrite").save()
-    return time.perf_counter() - t
+def run(df, repeat: int = 2) -> float:
+    """Best of ``repeat`` full executions (the first pays code generation and
+    JIT warm-up, which a long-running job amortises)."""
+    best = None
+    for _ in range(repeat):
+        t = time.perf_counter()
+        df.write.format("noop").mode("overwrite").save()
+        dt = time.perf_counter() - t
+        best = dt if best is None else min(best, dt)
+    return best
 
 
 def main():
@@ -60,7 +67,7 @@ def main():
     rps: dict[str, float] = {}
 
     # warm-up (JIT, first-query planning), not timed
-    run(catalog.query("projection_view")(spark, sf_dir))
+    run(catalog.query("projection_view")(spark, sf_dir), 1)
 
     qs = catalog.queries()
     for name in EVENTS_VIEWS:
