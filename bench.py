@@ -34,7 +34,7 @@ from tidemark.session import build_session  # noqa: E402
 from tidemark.sources import csv, generator  # noqa: E402
 from tidemark.sources.schemas import FLOWS_COLUMNS, TONNAGE  # noqa: E402
 from tidemark.sources.sinks import write_rotated  # noqa: E402
-from tidemark.streaming import bounded, ops  # noqa: E402
+from tidemark.streaming import bounded, stateful  # noqa: E402
 
 EVENTS_VIEWS = ["projection_view", "agg_view", "join_view_backward", "session_join_view",
                 "join_n_agg_view_backward", "join_n_agg_view2", "flows_agg_step_2"]
@@ -103,7 +103,8 @@ def main():
     # flush included; output rows must equal input rows
     write_rotated(generator.gen_flows(spark, minutes * 60).orderBy("eventtime").coalesce(1),
                   base + "/flows_ordered", 100_000)
-    streams = {"projection_view": lambda f: f, "agg_view": lambda f: ops.agg_view(f, 60)}
+    streams = {"projection_view": lambda f: f,
+               "agg_view": lambda f: stateful.agg_view(f, 60)}
     for name, fn in streams.items():
         src = os.path.join(scratch, "stream-" + name)
         os.makedirs(src)

@@ -70,7 +70,8 @@ def _batch_inputs(spark, base):
 @pytest.mark.parametrize("name", ["agg_view_5m", "join_view_forward", "join_view_backward",
                                   "session_join_view", "join_n_agg_view", "offset_frame",
                                   "join_n_agg_view2", "agg_view_5m_state",
-                                  "agg_view_5m_state_salted", "join_n_agg_view_state"])
+                                  "agg_view_5m_state_salted", "agg_view_5m_state_per_key",
+                                  "join_n_agg_view_state"])
 def test_stream_equals_batch(spark, dirs, name, tmp_path):
     d = _copy(spark, dirs, name)
     bf, bs = _batch_inputs(spark, dirs)
@@ -83,6 +84,8 @@ def test_stream_equals_batch(spark, dirs, name, tmp_path):
             return stateful.agg_view(f, 5)
         if name == "agg_view_5m_state_salted":
             return stateful.agg_view(f, 5, salts=3)
+        if name == "agg_view_5m_state_per_key":
+            return stateful.agg_view(f, 5, groups=None)
         if name == "join_n_agg_view_state":
             return stateful.join_n_agg_view(ops.join_view_backward(f, s))
         if name == "join_view_forward":

@@ -1,7 +1,8 @@
 """A per-key incremental RANGE-frame operator for streams.
 
 The self-join form in :mod:`.ops` produces one join row per frame member,
-so its cost grows with frame density.  This operator keeps, per key, the rows
+so its cost grows with frame density.  This operator keeps, per hash group
+of keys, the rows
 of the last ``preceding`` (plus rows not yet emitted) in Spark-managed state
 (``applyInPandasWithState``), and emits a row once the watermark has passed
 its time - after that no row at or before it can still arrive.  Frames are
@@ -16,6 +17,8 @@ parallelism on a hot key.
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -29,7 +32,8 @@ from .ops import DEFAULT_DELAY, as_rowtime
 _I64_MAX = np.iinfo(np.int64).max
 _I64_MIN = np.iinfo(np.int64).min
 
-STATE_SCHEMA = "ts array<bigint>, vs array<bigint>, nulls array<boolean>, done array<boolean>"
+# the buffer of a group, packed: keys as a JSON list, numpy arrays as bytes
+STATE_SCHEMA = "ks string, ts binary, vs binary, nulls binary, done binary"
 
 
 def _range_extreme(v: np.ndarray, lo: np.ndarray, hi: np.ndarray, fn) -> np.ndarray:
@@ -53,7 +57,8 @@ def _range_extreme(v: np.ndarray, lo: np.ndarray, hi: np.ndarray, fn) -> np.ndar
 
 
 def _frames(ts, vs, nulls, ready_idx, p):
-    """min, max, sum, count over [t - p, t] (peers included) for rows ready_idx."""
+    """min, max, sum, count over [t - p, t] (peers included) for rows ready_idx
+    of a buffer sorted by ``ts`` (keys already separated in ``ts``)."""
     t = ts[ready_idx]
     lo = np.searchsorted(ts, t - p, side="left")
     hi = np.searchsorted(ts, t, side="right")
@@ -68,52 +73,62 @@ def _frames(ts, vs, nulls, ready_idx, p):
     return mn, mx, s, c
 
 
-def _make_fn(key: str, value: str, time: str, p: int, salts: int, out_cols: list[str]):
+def _make_fn(key: str, value: str, time: str, p: int, out_cols: list[str]):
     def fn(grp, pdfs, state):
         if state.exists:
-            ts0, vs0, nl0, dn0 = state.get
-            ts, vs = np.asarray(ts0, dtype=np.int64), np.asarray(vs0, dtype=np.int64)
-            nulls, done = np.asarray(nl0, dtype=bool), np.asarray(dn0, dtype=bool)
+            ks0, ts0, vs0, nl0, dn0 = state.get
+            ks = np.asarray(json.loads(ks0), dtype=object)
+            ts = np.frombuffer(bytes(ts0), dtype=np.int64).copy()
+            vs = np.frombuffer(bytes(vs0), dtype=np.int64).copy()
+            nulls = np.frombuffer(bytes(nl0), dtype=bool).copy()
+            done = np.frombuffer(bytes(dn0), dtype=bool).copy()
         else:
+            ks = np.empty(0, dtype=object)
             ts = vs = np.empty(0, dtype=np.int64)
             nulls = done = np.empty(0, dtype=bool)
-        own_new = []
         for pdf in pdfs:
             t_new = pd.to_datetime(pdf[time]).astype("datetime64[us]").astype(np.int64)
             v = pdf[value]
-            n = v.isna().to_numpy()
+            ks = np.concatenate([ks, pdf[key].astype(object).to_numpy()])
             ts = np.concatenate([ts, t_new.to_numpy()])
             vs = np.concatenate([vs, v.fillna(0).astype(np.int64).to_numpy()])
-            nulls = np.concatenate([nulls, n])
+            nulls = np.concatenate([nulls, v.isna().to_numpy()])
             # rows of another salt are frame members only: already "done" here
-            own = pdf["_own"].to_numpy(dtype=bool)
-            done = np.concatenate([done, ~own])
-            own_new.append(own)
-        order = np.argsort(ts, kind="stable")
-        ts, vs, nulls, done = ts[order], vs[order], nulls[order], done[order]
+            done = np.concatenate([done, ~pdf["_own"].to_numpy(dtype=bool)])
         wm = state.getCurrentWatermarkMs() * 1000
-        ready = np.nonzero((~done) & (ts < wm))[0]
         out = None
-        if len(ready):
-            mn, mx, s, c = _frames(ts, vs, nulls, ready, p)
-            has = c > 0
-            out = pd.DataFrame({
-                key: [grp[0]] * len(ready),
-                value: pd.array(np.where(nulls[ready], None, vs[ready]), dtype="Int64"),
-                time: pd.to_datetime(ts[ready], unit="us"),
-                "minOctets": pd.array(np.where(has, mn, None), dtype="Int64"),
-                "maxOctets": pd.array(np.where(has, mx, None), dtype="Int64"),
-                "sumOctets": pd.array(np.where(has, s, None), dtype="Int64"),
-                "countOctets": c.astype(np.int64),
-            })[out_cols]
-            done[ready] = True
-        # rows older than wm - p can be in no future frame
-        keep = ts >= wm - p
-        ts, vs, nulls, done = ts[keep], vs[keep], nulls[keep], done[keep]
+        if len(ts):
+            # separate the keys on one time axis: key code * span + (t - t0),
+            # with span wider than the buffer plus a frame
+            codes, uniq = pd.factorize(ks, sort=False)
+            t0 = ts.min()
+            span = int(ts.max() - t0) + p + 1
+            axis = codes.astype(np.int64) * span + (ts - t0)
+            order = np.argsort(axis, kind="stable")
+            ks, ts, vs, nulls, done, axis = (ks[order], ts[order], vs[order], nulls[order],
+                                              done[order], axis[order])
+            ready = np.nonzero((~done) & (ts < wm))[0]
+            if len(ready):
+                mn, mx, s, c = _frames(axis, vs, nulls, ready, p)
+                has = c > 0
+                out = pd.DataFrame({
+                    key: ks[ready],
+                    value: pd.array(np.where(nulls[ready], None, vs[ready]), dtype="Int64"),
+                    time: pd.to_datetime(ts[ready], unit="us"),
+                    "minOctets": pd.array(np.where(has, mn, None), dtype="Int64"),
+                    "maxOctets": pd.array(np.where(has, mx, None), dtype="Int64"),
+                    "sumOctets": pd.array(np.where(has, s, None), dtype="Int64"),
+                    "countOctets": c.astype(np.int64),
+                })[out_cols]
+                done[ready] = True
+            # rows older than wm - p can be in no future frame
+            keep = ts >= wm - p
+            ks, ts, vs, nulls, done = ks[keep], ts[keep], vs[keep], nulls[keep], done[keep]
         if len(ts) == 0:
             state.remove()
         else:
-            state.update((ts.tolist(), vs.tolist(), nulls.tolist(), done.tolist()))
+            state.update((json.dumps(ks.tolist()), ts.tobytes(), vs.tobytes(), nulls.tobytes(),
+                          done.tobytes()))
             pending = ts[~done]
             # wake up when the watermark passes the oldest pending row, or
             # when the whole buffer has aged out
@@ -126,11 +141,18 @@ def _make_fn(key: str, value: str, time: str, p: int, salts: int, out_cols: list
 
 def stream_over_state(df: DataFrame, key: str, time: str = "eventtime", value: str = "octets",
                       preceding=60 * MICROS["minute"], delay: str = DEFAULT_DELAY,
-                      salts: int = 1) -> DataFrame:
+                      groups: int | None = 64, salts: int = 1) -> DataFrame:
     """min/max/sum/count of ``value`` over ``[time - preceding, time]`` per
-    ``key`` on a stream (append mode), one output row per input row."""
+    ``key`` on a stream (append mode), one output row per input row.
+
+    Keys are processed in ``groups`` hash groups (one state and one Python
+    call per group and batch, vectorised over its keys); ``groups=None``
+    keeps one group per key.  ``salts`` splits each group further: frame
+    members are copied to every salt, each salt emits only its own rows."""
     p = micros(preceding)
     x = as_rowtime(df.select(key, time, value), time, delay)
+    gkey = (F.pmod(F.xxhash64(key), F.lit(groups)) if groups else F.col(key).cast("string"))
+    x = x.withColumn("_g", gkey.cast("string"))
     if salts > 1:
         mine = F.pmod(F.xxhash64(key, time, value, F.expr("uuid()")), F.lit(salts))
         x = x.withColumn("_mine", mine).withColumn("_salt", F.explode(F.sequence(
@@ -145,22 +167,22 @@ def stream_over_state(df: DataFrame, key: str, time: str = "eventtime", value: s
         T.StructField("minOctets", T.LongType()), T.StructField("maxOctets", T.LongType()),
         T.StructField("sumOctets", T.LongType()), T.StructField("countOctets", T.LongType()),
     ])
-    fn = _make_fn(key, value, time, p, salts, [f.name for f in out_schema.fields])
-    return x.groupBy(key, "_salt").applyInPandasWithState(
+    fn = _make_fn(key, value, time, p, [f.name for f in out_schema.fields])
+    return x.groupBy("_g", "_salt").applyInPandasWithState(
         fn, out_schema, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def agg_view(projection: DataFrame, minutes: int = 60, delay: str = DEFAULT_DELAY,
-             salts: int = 1) -> DataFrame:
+             groups: int | None = 64, salts: int = 1) -> DataFrame:
     out = stream_over_state(projection, "sessionid", preceding=minutes * MICROS["minute"],
-                            delay=delay, salts=salts)
+                            delay=delay, groups=groups, salts=salts)
     return out.select("sessionid", "octets", "eventtime", "minOctets", "maxOctets",
                       "sumOctets", "countOctets")
 
 
 def join_n_agg_view(joined: DataFrame, minutes: int = 60, delay: str = DEFAULT_DELAY,
-                    salts: int = 1) -> DataFrame:
+                    groups: int | None = 64, salts: int = 1) -> DataFrame:
     out = stream_over_state(joined, "cellid", preceding=minutes * MICROS["minute"],
-                            delay=delay, salts=salts)
+                            delay=delay, groups=groups, salts=salts)
     return out.select("cellid", "octets", "eventtime", "minOctets", "maxOctets",
                       "sumOctets", "countOctets")
