@@ -82,18 +82,21 @@ def latest_join(flows: DataFrame, sessions: DataFrame, key: str = "sessionid",
     t = micros(timeout)
     c = micros(chunk) if chunk else max(4 * t, MICROS["day"])
     fcols = flows.columns
+    # flows stay in their own chunk; session rows are also copied into the
+    # following chunks one timeout can reach
     f = flows.select(*fcols, F.lit(None).cast("string").alias("_val"),
-                     F.lit(True).alias("_is_flow"))
+                     F.lit(True).alias("_is_flow"),
+                     F.unix_micros(F.col(time)).alias("_us"))
+    f = f.withColumn("_chunk", floor_div(F.col("_us"), c)).withColumn("_own", F.lit(True))
     s_extra = [F.lit(None).cast(flows.schema[x].dataType).alias(x)
                for x in fcols if x not in (key, time)]
     s = sessions.select(F.col(key), F.col(time), *s_extra,
                         F.col(value).cast("string").alias("_val"),
-                        F.lit(False).alias("_is_flow"))
-    u = f.unionByName(s.select(*fcols, "_val", "_is_flow"))
-    u = u.withColumn("_us", F.unix_micros(F.col(time)))
-    # flows stay in their own chunk; sessions are also copied forward one timeout
-    reach = F.when(F.col("_is_flow"), F.lit(0)).otherwise(F.lit(t))
-    x = lookback_chunks(u, F.col("_us"), reach, c)
+                        F.lit(False).alias("_is_flow"),
+                        F.unix_micros(F.col(time)).alias("_us"))
+    s = lookback_chunks(s, F.col("_us"), t, c)
+    cols = [*fcols, "_val", "_is_flow", "_us", "_chunk", "_own"]
+    x = f.select(*cols).unionByName(s.select(*cols))
     w = (Window.partitionBy(key, "_chunk").orderBy("_us")
          .rangeBetween(Window.unboundedPreceding, Window.currentRow))
     latest = F.max(F.when(~F.col("_is_flow"), F.struct(F.col("_us").alias("t"),
