@@ -37,12 +37,12 @@ def default_flush(columns: list[tuple[str, int]], key: str = "sessionid",
     return sentinel_line(columns, vals)
 
 
-def _write_text(path: str, name: str, text: str) -> None:
-    os.makedirs(path, exist_ok=True)
-    tmp = os.path.join(path, "." + name + ".tmp")
-    with open(tmp, "w") as fh:
-        fh.write(text + "\n")
-    os.replace(tmp, os.path.join(path, name))   # atomic: the source never sees a partial file
+def _write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Append one text file holding ``text`` to the source folder, through
+    Spark's committer (works on any cluster file system; the file appears
+    whole, and the marker files it writes are hidden from file sources)."""
+    (spark.createDataFrame([(text,)], "value string").coalesce(1)
+     .write.mode("append").text(path))
 
 
 def _run(stream: DataFrame, out: str, checkpoint: str) -> None:
@@ -67,8 +67,8 @@ def run_bounded(spark: SparkSession, build: Callable[[], DataFrame], flush: dict
     out = out or scratch_path(spark, f"bounded-{os.getpid()}-{id(build)}/out")
     checkpoint = checkpoint or out.rstrip("/") + "-checkpoint"
     _run(build(), out, checkpoint)
-    for i, (src, line) in enumerate(flush.items()):
-        _write_text(src, f"zz-flush-{i}.csv", line)
+    for src, line in flush.items():
+        _write_text(spark, src, line)
     _run(build(), out, checkpoint)
     result = spark.read.parquet(out)
     if drop is None and "sessionid" in result.columns:
