@@ -19,14 +19,16 @@ identical results and differ in how they scale:
 
 ``two_level`` (dense frames: many rows per frame, e.g. per cell)
     Spark's sliding frame re-aggregates its whole buffer each time the frame
-    moves, O(rows x frame rows).  Here time is cut into buckets of w/60:
-    rows are first reduced per (keys, time) (ties share a frame), then each
-    frame is the union of three disjoint parts - the rows of its own bucket
-    up to t (a running aggregate), the whole buckets in between (a frame over
-    bucket rows, at most 59 of them), and the rows of the bucket w back from
-    t at or after t - w (a suffix aggregate read by a probe row placed at
-    t - w).  Every step is linear or runs over buckets; partitions are
-    (keys, bucket), so a hot key spreads over its buckets.
+    moves, O(rows x frame rows).  Here time is cut into buckets of w/60 and
+    each frame is the union of three disjoint parts: the rows of its own
+    bucket up to t (a running aggregate), the whole buckets in between (a
+    frame over bucket rows, at most 59 of them), and the rows of the bucket
+    w back from t at or after t - w (a running aggregate in descending time
+    over narrow copies of those rows moved forward by w into the row's own
+    bucket).  Both running aggregates come from one window pass over
+    partitions (keys, bucket), so every row gets its partials in place and
+    only the small bucket table is joined in.  Every step is linear or runs
+    over buckets; a hot key spreads over its buckets.
 
 ``bucketed`` (default for frames over a floored time)
     When the order key is ``date_trunc(unit, t)`` every row of a bucket shares
@@ -36,8 +38,8 @@ identical results and differ in how they scale:
     Without keys the bucket frame is computed by fanning each bucket out to the
     buckets whose frames contain it, so nothing runs in one task.
 
-The bucketed and two-level plans read their input twice (partials, then the
-join back).  When the input is itself a join, Spark evaluates it twice; an
+The bucketed and two-level plans read their input twice (the bucket table
+and the rows).  When the input is itself a join, Spark evaluates it twice; an
 explicit repartition does not help, because column pruning gives the two
 branches different projections and the exchange is not reused.  Persist the
 input when it is expensive and reused.
@@ -236,55 +238,62 @@ def _two_level(df, keys, order, aggs, p, bucket):
             pkind[cols[0]], pkind[cols[1]] = "sum", "count"
         else:
             pkind[cols[0]] = kind
+    # the per-row value behind each partial (count: 1 for a non-NULL value)
+    pvalue = {}
+    for alias, (kind, col) in aggs.items():
+        if kind in ("min", "max", "sum"):
+            pvalue[f"_p_{alias}"] = F.col(col)
+        elif kind == "count":
+            pvalue[f"_p_{alias}"] = (F.lit(1) if col == "*" else
+                                     F.when(F.col(col).isNotNull(), F.lit(1)).otherwise(F.lit(0)))
+        else:  # avg
+            pvalue[f"_ps_{alias}"] = F.col(col)
+            pvalue[f"_pn_{alias}"] = F.when(F.col(col).isNotNull(), F.lit(1)).otherwise(F.lit(0))
     k = p // bucket
-    rows = df.withColumn("_t", F.unix_micros(F.col(order)))
-    ties = rows.groupBy(*keys, "_t").agg(*parts).withColumn("_b", floor_div(F.col("_t"), bucket))
-
-    # each reduced row twice: as itself (kind 0) and as a "far" copy moved one
-    # frame width forward (kind 2, time + w, bucket + k).  In partition
-    # (keys, bucket) a row then finds, in one pass, the rows of its bucket up to
-    # it (ascending running aggregate over kind 0 values) and the far rows at or
-    # after it - i.e. the rows of bucket b - k at or after t - w (descending
-    # running aggregate over kind 2 values).
-    kinds = F.explode(F.array(F.lit(0), F.lit(2)))
-    x = ties.withColumn("_kind", kinds)
+    cols = df.columns
+    rows = (df.withColumn("_t", F.unix_micros(F.col(order)))
+              .withColumn("_b", floor_div(F.col("_t"), bucket)))
+    # every row once as itself (kind 0, all columns) and once as a narrow "far"
+    # copy moved one frame width forward (kind 2: time + w, bucket + k).  In
+    # partition (keys, bucket) a row then finds, in one pass and with its
+    # peers, the rows of its bucket up to it (ascending RANGE aggregate of kind
+    # 0 values) and the far copies at or after it - the rows of bucket b - k at
+    # or after t - w (descending RANGE aggregate of kind 2 values).
+    x = rows.withColumn("_kind", F.explode(F.array(F.lit(0), F.lit(2))))
     far = F.col("_kind") == 2
-    x = x.select(*keys,
+    x = x.select(*[F.when(~far, F.col(c)).alias(c) for c in cols if c not in keys], *keys,
+                 "_kind",
                  F.when(far, F.col("_t") + F.lit(p)).otherwise(F.col("_t")).alias("_tt"),
                  F.when(far, F.col("_b") + F.lit(k)).otherwise(F.col("_b")).alias("_b"),
-                 "_kind", "_t",
-                 *[F.when(~far, F.col(c)).alias(f"_u_{c}") for c in pnames],
-                 *[F.when(far, F.col(c)).alias(f"_f_{c}") for c in pnames])
-    fwd = Window.partitionBy(*keys, "_b").orderBy("_tt", "_kind").rowsBetween(
+                 *[F.when(~far, e).alias(f"_u_{c}") for c, e in pvalue.items()],
+                 *[F.when(far, e).alias(f"_f_{c}") for c, e in pvalue.items()])
+    fwd = Window.partitionBy(*keys, "_b").orderBy("_tt").rangeBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    bwd = Window.partitionBy(*keys, "_b").orderBy(F.col("_tt").desc()).rangeBetween(
         Window.unboundedPreceding, Window.currentRow)
-    bwd = Window.partitionBy(*keys, "_b").orderBy(F.col("_tt").desc(), F.col("_kind").desc()
-                                                  ).rowsBetween(Window.unboundedPreceding,
-                                                                Window.currentRow)
     run = {"min": F.min, "max": F.max, "sum": F.sum, "count": F.sum}
-    u = x.select(*keys, "_b", "_kind", "_t",
+    u = x.select(*cols, *[c for c in keys if c not in cols], "_b", "_kind",
                  *[run[pkind[c]](f"_u_{c}").over(fwd).alias(f"_up_{c}") for c in pnames],
                  *[run[pkind[c]](f"_f_{c}").over(bwd).alias(f"_lo_{c}") for c in pnames])
     res = u.filter(F.col("_kind") == 0).drop("_kind")
     if k > 1:
-        per_bucket = ties.groupBy(*keys, "_b").agg(
-            *[run[pkind[c]](c).alias(c) for c in pnames])
+        per_bucket = rows.groupBy(*keys, "_b").agg(*parts)
         w = Window.partitionBy(*keys).orderBy("_b").rangeBetween(-(k - 1), -1)
         mid = per_bucket.select(*keys, "_b", *[run[pkind[c]](c).over(w).alias(f"_mid_{c}")
                                                for c in pnames])
         res = res.join(mid, [*keys, "_b"], "left")
     else:
         for c in pnames:
-            res = res.withColumn(f"_mid_{c}", F.lit(None).cast(ties.schema[c].dataType))
+            res = res.withColumn(f"_mid_{c}", F.lit(None).cast("bigint"))
     combined = {c: _combine_parts(pkind[c], [F.col(f"_up_{c}"), F.col(f"_mid_{c}"),
                                             F.col(f"_lo_{c}")]) for c in pnames}
     outs = []
-    for alias, (kind, cols) in merge.items():
+    for alias, (kind, cols_) in merge.items():
         if kind == "avg":
-            e = combined[cols[0]] / combined[cols[1]]
+            e = combined[cols_[0]] / combined[cols_[1]]
         elif kind == "count":
-            e = combined[cols[0]].cast("bigint")
+            e = combined[cols_[0]].cast("bigint")
         else:
-            e = combined[cols[0]]
+            e = combined[cols_[0]]
         outs.append(e.alias(alias))
-    frames = res.select(*keys, "_t", *outs)
-    return rows.join(frames, [*keys, "_t"], "inner").drop("_t")
+    return res.select(*cols, *outs)
