@@ -76,3 +76,20 @@ def test_stream_rate_equals_batch_meter(spark, tmpdir_path):
     cols = ["rowtime", "rps", "cumulative_rows", "rowtime_low", "rowtime_high", "avg_rps"]
     assert sorted(map(tuple, got.select(*cols).collect())) == \
         sorted(map(tuple, want.select(*cols).collect()))
+
+
+def test_ordered_stream_sink(spark, tmpdir_path):
+    from tidemark.sources.sinks import write_ordered_stream
+    ev = table(spark, SF, "events")
+    write_rotated(flow_records(ev).repartition(3), tmpdir_path + "/in", 120)
+    p = projection.projection_view(csv.read_flows(spark, tmpdir_path + "/in", stream=True,
+                                                  max_files_per_trigger=2))
+    q = write_ordered_stream(ops.t_sort(p), tmpdir_path + "/out", tmpdir_path + "/ckpt")
+    q.awaitTermination()
+    out = spark.read.parquet(tmpdir_path + "/out")
+    assert out.count() == flow_records(ev).count()
+    # within each batch's output the rows are in event-time order
+    for b in [r[0] for r in out.select("batch").distinct().collect()]:
+        part = spark.read.parquet(f"{tmpdir_path}/out/batch={b:012d}")
+        times = [r.eventtime for r in part.collect()]
+        assert times == sorted(times)
