@@ -152,3 +152,26 @@ def test_late_rows_stream_keeps_what_batch_keeps(spark, tmp_path):
     batch_rows = _rows(kept, cols)
     assert not (batch_rows - stream_rows)
     assert late.late_rows(p, tiebreak=["flowid"]).count() > 0
+
+
+def test_late_row_metric_and_ntz_rowtime(spark, tmp_path):
+    """Rows behind the watermark are counted by the query's metrics, and an
+    NTZ event-time column is accepted as row time."""
+    d = str(tmp_path / "in")
+    rows = ["k,2022-01-01 00:10:00", "k,2022-01-01 00:20:00"]
+    late = ["k,2022-01-01 00:00:00", "k,2022-01-01 00:19:00"]
+    import os
+    os.makedirs(d)
+    with open(d + "/a.csv", "w") as fh:
+        fh.write("\n".join(rows) + "\n")
+    src = (spark.readStream.schema("k string, t timestamp_ntz").option("maxFilesPerTrigger", 1)
+           .csv(d))
+    agg = ops.as_rowtime(src, "t", "5 minutes").groupBy("k", F.window("t", "1 minute")).count()
+    q = (agg.writeStream.format("memory").queryName("late_t").outputMode("append")
+         .option("checkpointLocation", str(tmp_path / "ck")).start())
+    q.processAllAvailable()
+    with open(d + "/b.csv", "w") as fh:      # 20 and 1 minutes behind the newest row
+        fh.write("\n".join(late) + "\n")
+    q.processAllAvailable()
+    q.stop()
+    assert ops.late_row_count(q) == 1        # 00:00 is behind 00:15; 00:19 is not

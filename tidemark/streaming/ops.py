@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.frames import MICROS, micros
 
@@ -31,11 +32,25 @@ def as_rowtime(df: DataFrame, col: str = "eventtime", delay: str = DEFAULT_DELAY
     """Declare ``col`` the event time of the stream, late by at most ``delay``
     (kept as it is when an upstream operator already carries one: chained
     stateful operators inherit the watermark)."""
-    if "spark.watermarkDelayMs" in df.schema[col].metadata:
+    field = df.schema[col]
+    if "spark.watermarkDelayMs" in field.metadata:
         return df
+    if isinstance(field.dataType, T.TimestampNTZType):
+        # watermarks need TIMESTAMP; zone-less input is read as session-zone time
+        df = df.withColumn(col, F.col(col).cast("timestamp"))
     return df.withWatermark(col, delay)
 
 
+def late_row_count(query) -> int:
+    """Rows a streaming query's stateful operators dropped as late (behind the
+    watermark), summed over its recorded progress."""
+    total = 0
+    for p in query.recentProgress:
+        for op in p.get("stateOperators", []):
+            total += int(op.get("numRowsDroppedByWatermark", 0))
+    return total
+
+
 def with_row_id(df: DataFrame) -> DataFrame:
     return df.withColumn("_rid", F.expr("uuid()"))
 
