@@ -60,6 +60,9 @@ def run_bounded(spark: SparkSession, build: Callable[[], DataFrame], flush: dict
     """Run ``build()`` (a streaming DataFrame over file sources) to the end of
     its input, flush, and return the complete output as a batch DataFrame.
 
+    Sources that are a streaming sink's output (named streams) must be read
+    with :func:`read_named_stream` and flushed with :func:`flush_named_stream`.
+
     ``flush`` maps each source directory to the sentinel record to append to
     it; ``drop`` filters the sentinel's own output rows (default: rows whose
     ``sessionid`` is the sentinel key).  Output and checkpoint default to
@@ -76,3 +79,24 @@ def run_bounded(spark: SparkSession, build: Callable[[], DataFrame], flush: dict
     if drop is None and "cellid" in result.columns:
         drop = F.col("cellid") == SENTINEL_KEY
     return result.filter(~drop) if drop is not None else result
+
+
+def flush_folder(path: str) -> str:
+    """The side folder holding the flush record of a named stream."""
+    return path.rstrip("/") + "_flush"
+
+
+def read_named_stream(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A named stream (the output folder of a streaming file sink) plus its
+    flush side folder.  Readers list a sink's folder through its metadata log,
+    so a record written there by anything but that sink is never seen; the
+    flush record of a bounded run goes to :func:`flush_folder` instead."""
+    side = flush_folder(path)
+    spark.createDataFrame([], schema).write.mode("append").parquet(side)
+    return (spark.readStream.schema(schema).parquet(path)
+            .unionByName(spark.readStream.schema(schema).parquet(side)))
+
+
+def flush_named_stream(records: DataFrame, path: str) -> None:
+    """Append sentinel records to a named stream's flush side folder."""
+    records.write.mode("append").parquet(flush_folder(path))

@@ -213,3 +213,13 @@ def finish_rate(per_second: DataFrame, digits: int | None = 4) -> DataFrame:
         avg = F.round(avg, digits)
     return run.select("rowtime", "rps", "cumulative_rows", "rowtime_low", "rowtime_high",
                       avg.alias("avg_rps"))
+
+
+def flows_agg_step_2(agg: DataFrame, sessions: DataFrame, minutes: int = 5,
+                     delay: str = DEFAULT_DELAY) -> DataFrame:
+    """Sharded catalog, second job: offset-frame statistics per session joined
+    to that session's rows of the preceding ``minutes`` (both streams)."""
+    j = stream_interval_join(agg, sessions, "sessionid", "eventtime", 0,
+                             minutes * MICROS["minute"], ["cellid"], delay)
+    return j.select("sessionid", "eventtime", "cellid", "minOctets", "maxOctets",
+                    "sumOctets", "countOctets")
