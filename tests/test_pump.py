@@ -102,7 +102,6 @@ def test_sharded_dataflow_stream_equals_batch(spark, tmpdir_path):
     from collections import Counter
 
     from tidemark.operators import joins, windows
-    from tidemark.sources.schemas import SESSIONS_COLUMNS
     from tidemark.sources.tables import session_records
     from tidemark.streaming import bounded
 

@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 from ..functions.frames import MICROS, lookback_chunks, micros
 from ..functions.scalars import floor_div
 
-FIVE_MINUTES = 5 * MICROS["minute"]
 ONE_HOUR = MICROS["hour"]
 
 
