@@ -89,3 +89,17 @@ def test_generator(spark):
     assert bursts.filter("n > 1").count() == 0      # one session per burst
     late = generator.gen_sessions(spark, 2, lateness_secs=60)
     assert late.filter(F.col("eventtime") < "2022-01-01 00:00:00").count() > 0
+
+
+def test_generator_profile(spark):
+    """Share of flow-carrying sessions (hash % 101 < 70) and the mean of the
+    exponential lateness (lateness / 6)."""
+    fs = generator.flow_sessions(spark).count()
+    assert abs(fs / generator.DEFAULT_SESSIONS - 70 / 101) < 0.01
+    late = generator.gen_sessions(spark, 20, lateness_secs=60)
+    on_time = generator.gen_sessions(spark, 20)
+
+    def mean_ms(df):
+        return df.select(F.avg(F.unix_millis(F.col("eventtime").cast("timestamp")))).first()[0]
+    # the same rows, each moved back by its lateness: compare mean event times
+    assert abs((mean_ms(on_time) - mean_ms(late)) / 1000 - 60 / 6) < 1.0

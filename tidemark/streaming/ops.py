@@ -173,16 +173,22 @@ def t_sort(df: DataFrame, time: str = "eventtime", bound: str = DEFAULT_DELAY) -
     return df.withWatermark(time, bound)
 
 
-def throughput_meter(df: DataFrame, eventtime: str = "eventtime", delay: str = "0 seconds"
-                     ) -> DataFrame:
+def throughput_meter(df: DataFrame, eventtime: str = "eventtime", delay: str = "0 seconds",
+                     start=None) -> DataFrame:
     """Rows per 1-second window of processing time (``current_timestamp()`` is
     fixed per micro-batch in Spark, so a batch's rows share one second) and
-    the latest event time seen in it."""
+    the latest event time seen in it; with ``start`` (the test's start time)
+    also the elapsed seconds less the start-up allowance, as in batch."""
+    from ..functions.scalars import elapsed_seconds
+    from ..operators.meters import STARTUP_ALLOWANCE_SECONDS
     x = df.withColumn("_arrival", F.current_timestamp()).withWatermark("_arrival", delay)
     g = x.groupBy(F.window("_arrival", "1 second")).agg(
         F.count(F.lit(1)).alias("recs_per_sec"), F.max(eventtime).alias("max_event_time"))
-    return g.select(F.col("window.start").alias("clocktime"), "recs_per_sec",
-                    "max_event_time")
+    out = g.select(F.col("window.start").alias("clocktime"), "recs_per_sec", "max_event_time")
+    if start is not None:
+        out = out.withColumn("testsecs", elapsed_seconds(
+            "clocktime", F.lit(start).cast("timestamp"), STARTUP_ALLOWANCE_SECONDS))
+    return out
 
 
 def stream_rate(df: DataFrame, eventtime: str = "eventtime", arrival: str | None = None,
