@@ -94,3 +94,19 @@ def test_testwindow_golden(spark):
         et, c1, mn, mx, mnc, mxc, cnt = line.split(",")
         want.append((et + ".000", c1, mn + ".000", mx + ".000", mnc, mxc, int(cnt)))
     assert got == sorted(want)
+
+
+def test_floor_div_and_frames_before_1970(spark):
+    from tidemark.functions.scalars import floor_div
+    vals = [-61, -60, -59, -1, 0, 1, 59, 60, 10**15 + 7]
+    df = spark.createDataFrame([(v,) for v in vals], "v long")
+    got = [r[0] for r in df.select(floor_div("v", 60)).collect()]
+    assert got == [v // 60 for v in vals]
+    rows = [("k", f"1969-12-31 23:{m:02d}:{s:02d}", m * 60 + s) for m in range(50, 60)
+            for s in (0, 30)] + [("k", f"1970-01-01 00:{m:02d}:15", m) for m in range(10)]
+    df = spark.createDataFrame(rows, "sessionid string, eventtime string, octets bigint") \
+        .withColumn("eventtime", F.col("eventtime").cast("timestamp"))
+    for minutes in (1, 5):
+        base = windows.agg_view(df, minutes, strategy="window")
+        for strategy in ("chunked", "two_level"):
+            assert _rows(windows.agg_view(df, minutes, strategy=strategy)) == _rows(base)

@@ -78,10 +78,13 @@ def elapsed_seconds(later, earlier, allowance: int = 0) -> Column:
 
 
 def floor_div(c, n: int) -> Column:
-    """Exact integer division of a non-negative LONG (epoch microseconds,
-    counts) by a positive constant: SQL ``div``, no rounding through DOUBLE,
-    and the argument is referenced once, so nested uses stay small."""
-    return F.call_function("div", _c(c), F.lit(n))
+    """Floor division of a LONG by a positive constant, exact (no DOUBLE) and
+    correct for negative values (times before 1970): the argument is shifted
+    by a large multiple of ``n`` so SQL ``div`` (which truncates) sees a
+    positive number.  The argument is referenced once, so nested uses stay
+    small in generated code."""
+    k = (2 ** 62 // n) * n
+    return F.call_function("div", _c(c) + F.lit(k), F.lit(n)) - F.lit(k // n)
 
 
 def to_ntz(c) -> Column:
