@@ -110,3 +110,14 @@ def test_floor_div_and_frames_before_1970(spark):
         base = windows.agg_view(df, minutes, strategy="window")
         for strategy in ("chunked", "two_level"):
             assert _rows(windows.agg_view(df, minutes, strategy=strategy)) == _rows(base)
+
+
+def test_null_event_times_are_kept(spark):
+    rows = [("k", "2022-01-01 00:00:00", 1), ("k", None, 2), ("k", None, 3),
+            ("k", "2022-01-01 00:30:00", 4), ("j", None, 5)]
+    df = spark.createDataFrame(rows, "sessionid string, eventtime string, octets bigint") \
+        .withColumn("eventtime", F.col("eventtime").cast("timestamp"))
+    base = windows.agg_view(df, 60, strategy="window")
+    assert base.count() == 5
+    for strategy in ("chunked", "two_level"):
+        assert _rows(windows.agg_view(df, 60, strategy=strategy)) == _rows(base)

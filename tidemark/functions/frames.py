@@ -126,9 +126,11 @@ def lookback_chunks(df: DataFrame, okey: Column, lookback_us, chunk_us: int,
     reach = F.lit(lookback_us) if isinstance(lookback_us, int) else lookback_us
     first = floor_div(okey, chunk_us)
     last = floor_div(okey + reach, chunk_us)
+    # explode_outer and a null-safe test keep rows whose time is NULL (one
+    # NULL chunk, as a window keeps them as one peer group)
     return (df.withColumn("_first", first)
-              .withColumn(chunk_col, F.explode(F.sequence(F.col("_first"), last)))
-              .withColumn(own_col, F.col(chunk_col) == F.col("_first"))
+              .withColumn(chunk_col, F.explode_outer(F.sequence(F.col("_first"), last)))
+              .withColumn(own_col, F.col(chunk_col).eqNullSafe(F.col("_first")))
               .drop("_first"))
 
 
@@ -260,6 +262,8 @@ def _two_level(df, keys, order, aggs, p, bucket):
     # 0 values) and the far copies at or after it - the rows of bucket b - k at
     # or after t - w (descending RANGE aggregate of kind 2 values).
     x = rows.withColumn("_kind", F.explode(F.array(F.lit(0), F.lit(2))))
+    # rows with a NULL time are one peer group of their own: no far copies
+    x = x.filter((F.col("_kind") == 0) | F.col("_t").isNotNull())
     far = F.col("_kind") == 2
     x = x.select(*[F.when(~far, F.col(c)).alias(c) for c in cols if c not in keys], *keys,
                  "_kind",
@@ -281,7 +285,8 @@ def _two_level(df, keys, order, aggs, p, bucket):
         w = Window.partitionBy(*keys).orderBy("_b").rangeBetween(-(k - 1), -1)
         mid = per_bucket.select(*keys, "_b", *[run[pkind[c]](c).over(w).alias(f"_mid_{c}")
                                                for c in pnames])
-        res = res.join(mid, [*keys, "_b"], "left")
+        # join on non-NULL buckets only: NULL-time rows have no whole buckets
+        res = res.join(mid.filter(F.col("_b").isNotNull()), [*keys, "_b"], "left")
     else:
         for c in pnames:
             res = res.withColumn(f"_mid_{c}", F.lit(None).cast("bigint"))
