@@ -86,3 +86,16 @@ def test_scan_pruning_and_pushdown(spark, tmpdir_path):
         spark.conf.unset("spark.sql.maxMetadataStringLength")
     read = plan.split("ReadSchema: struct<")[1].split(">")[0]
     assert len(read.split(",")) == 10
+
+
+def test_no_query_pairs_everything(spark):
+    """No registered query plans a cartesian product or a nested-loop join."""
+    import __spark_entry__ as E
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for name, q in E.queries().items():
+            plan = _plan(q(spark, "/root/testdata/sf0.001"))
+            assert "CartesianProduct" not in plan, name
+            assert "NestedLoopJoin" not in plan, name
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
