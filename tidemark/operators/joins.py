@@ -8,10 +8,10 @@ reaches, so the join key is ``(key, bucket)`` and only near pairs are compared.
 
 ``latest_join`` is an as-of join with a timeout: each flow takes the latest
 session row of its key at or before it, if that row is at most ``timeout``
-old.  It needs no pairs at all: both inputs are unioned and a running maximum
-of ``(time, cellid)`` over session rows is carried in time order, per
-``(key, time chunk)`` with a one-timeout look-back, so a hot key is split by
-time too.
+old.  It needs no pairs at all: both inputs are unioned and, in (time,
+sessions first, cell) order, the last session row seen is carried to each
+flow (an incremental ``last(..., ignorenulls)``), per ``(key, time chunk)``
+with a one-timeout look-back, so a hot key is split by time too.
 """
 
 from __future__ import annotations
@@ -96,10 +96,13 @@ def latest_join(flows: DataFrame, sessions: DataFrame, key: str = "sessionid",
     s = lookback_chunks(s, F.col("_us"), t, c)
     cols = [*fcols, "_val", "_is_flow", "_us", "_chunk", "_own"]
     x = f.select(*cols).unionByName(s.select(*cols))
-    w = (Window.partitionBy(key, "_chunk").orderBy("_us")
-         .rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    latest = F.max(F.when(~F.col("_is_flow"), F.struct(F.col("_us").alias("t"),
-                                                        F.col("_val").alias("v")))).over(w)
+    # in (time, sessions before flows, cell) order the last session row at or
+    # before a flow is the latest one, the largest cell among equal times
+    w = (Window.partitionBy(key, "_chunk").orderBy("_us", "_is_flow", "_val")
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    latest = F.last(F.when(~F.col("_is_flow"), F.struct(F.col("_us").alias("t"),
+                                                         F.col("_val").alias("v"))),
+                    ignorenulls=True).over(w)
     y = x.withColumn("_latest", latest).filter(F.col("_is_flow") & F.col("_own"))
     y = y.filter(F.col("_latest").isNotNull() & (F.col("_us") - F.col("_latest.t") <= t))
     return y.select(*fcols, F.col("_latest.v").alias(value))
