@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import crf_quality, itq, line_chunks, mixing, pii, sigtree, suffix_contam, toxicity, warc
+from . import crf_quality, itq, line_chunks, mixing, pii, prefix_doubling, sigtree, suffix_contam, toxicity, warc
 from .staging import documents, prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,11 +52,15 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(documents(prepare(spark), sf_dir))
 
 
+def op10_prefix_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_doubling.report(documents(prepare(spark), sf_dir))
+
+
 def queries() -> dict[str, Query]:
     from corpus_pipeline import run
 
     ops = [op1_warc, op2_itq, op3_signature_trees, op4_suffix_arrays, op5_mixing, op6_toxicity,
-           op7_line_chunks, op8_crf_quality, op9_pii]
+           op7_line_chunks, op8_crf_quality, op9_pii, op10_prefix_doubling]
     return {f.__name__: f for f in ops} | {"pipeline": run}
 
 
