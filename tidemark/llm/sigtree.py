@@ -20,9 +20,10 @@ checked on the sets themselves, unless earlier links joined them.
 Groups come in two rounds, with connected components in between: the two
 smallest hashes of each document, then all groups that still hold more than one
 component.  Groups of more than ``BLOCK`` documents are dealt with in blocks.
-In the second round documents outside a large group's main component visit all
-blocks, and a document visits a large group only if the pairs it could have
-there are not found in a small one (see ``HOT_SHARED``).
+In the second round large groups are parted by size range first; documents
+outside a part's main component visit all its blocks, and a document visits a
+large group only if the pairs it could have there are not found in a small one
+(see ``HOT_SHARED``).
 
 Defined results: null, empty and blank texts have no shingles and link with
 nothing (also rows without an id); rows that share a doc_id each have the component
@@ -32,6 +33,7 @@ doc_id and text are read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -196,7 +198,7 @@ def _first_groups(reps: DataFrame, block: int) -> DataFrame:
 
 def _other_groups(reps: DataFrame, block: int) -> DataFrame:
     full = F.size("sketch") >= SKETCH
-    tokens = reps.select("doc", "comp", full.alias("full"), F.explode("sketch").alias("token"))
+    tokens = reps.select("doc", "comp", "n", full.alias("full"), F.explode("sketch").alias("token"))
     sizes = tokens.groupBy("token").agg(
         F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"),
         F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("who")).where("c > 1 AND lo < hi")
@@ -206,9 +208,13 @@ def _other_groups(reps: DataFrame, block: int) -> DataFrame:
     small = tokens.join(small, "token").select("token", "doc", "comp", F.lit(-1).cast("long").alias("main"), F.lit(1).cast("long").alias("nb"))
     # a pair without a common small group shares HOT_SHARED large ones: one of them is left after HOT_SHARED - 1 are skipped
     large = tokens.join(sizes.where(F.col("c") > block).select("token"), "token") \
-        .groupBy("doc", "comp", "full").agg(F.sort_array(F.collect_set("token")).alias("hot"))
+        .groupBy("doc", "comp", "n", "full").agg(F.sort_array(F.collect_set("token")).alias("hot"))
     count = F.when(F.col("full"), F.size("hot") - (HOT_SHARED - 1)).otherwise(F.size("hot"))
-    large = staged(large.where(count > 0).select("doc", "comp", F.explode(F.slice("hot", F.lit(1), count)).alias("token")), "large-groups")
+    large = large.where(count > 0).select("doc", "comp", "n", F.explode(F.slice("hot", F.lit(1), count)).alias("token"))
+    # linked sets differ in size by PART / OF at most: in steps a little longer than that they are neighbours
+    step = F.floor(F.log("n") / (math.log(PART / OF) * 1.0001))
+    large = large.select("doc", "comp", F.explode(F.array(F.xxhash64("token", step), F.xxhash64("token", step + 1))).alias("token"))
+    large = staged(large, "large-groups")
     main = large.groupBy("token", "comp").agg(F.count("*").alias("m")).groupBy("token").agg(
         F.max_by("comp", F.struct("m", "comp")).alias("main"), F.ceil(F.sum("m") / block).alias("nb"))
     large = large.join(main, "token").select("token", "doc", "comp", "main", "nb")
