@@ -4,11 +4,11 @@ A document's set holds the hashes of its distinct five-word shingles.  Two
 documents link when their sets' Jaccard similarity is 0.75 or more.  Documents
 with equal sets are one from the start.
 
-Candidates meet in groups: documents that share one of their smallest shingle
-hashes.  A pair at similarity s shares a hash among the ``floor((1-s)n)+1``
-smallest for certain; of these at most ``SKETCH`` are used, which a linked pair
-misses with probability (1-s)^SKETCH, 5e-20, far below that of a collision of
-the hashes themselves.
+Candidates meet in groups: documents that share one of their ``SKETCH``
+smallest shingle hashes.  Of the SKETCH smallest hashes of a linked pair's union
+each is shared with probability 0.75 or more, so a pair misses all groups with
+probability 0.25^SKETCH, 5e-20, far below that of a collision of the hashes
+themselves; sets of fewer hashes are compared whole.
 
 Inside a group a signature tree finds the links: leaves are documents ordered
 by size, inner nodes hold the OR of the token bitmaps below them, their size
@@ -52,8 +52,8 @@ PART, OF = 100, 75
 SKETCH = 32
 BLOCK = 512
 FANOUT = 8
-#: a linked pair with full sketches shares this many hashes but for 3e-12 of the pairs at the threshold
-HOT_SHARED = 6
+#: linked pairs share this many hashes, but for 4e-9 of the pairs at the threshold
+HOT_SHARED = 9
 PAIRS_AT_ONCE = 1 << 14
 
 
@@ -66,7 +66,7 @@ def _sketches(words: int):
                 with np.errstate(over="ignore"):
                     d1 = [int(grams.mix(s).sum(dtype=np.uint64).view(np.int64)) for s in sets]
                     d2 = [int(np.bitwise_xor.reduce(grams.mix(s * np.uint64(grams.STEP)), initial=np.uint64(0)).view(np.int64)) for s in sets]
-                small = [s[:min(SKETCH, len(s) * (PART - OF) // PART + 1)].view(np.int64) for s in sets]
+                small = [s[:SKETCH].view(np.int64) for s in sets]
                 ends = np.concatenate(([0], np.cumsum([len(s) for s in small])))
                 flat = np.concatenate([*small, np.zeros(0, np.int64)])
                 yield pa.RecordBatch.from_arrays(
@@ -197,8 +197,7 @@ def _first_groups(reps: DataFrame, block: int) -> DataFrame:
 
 
 def _other_groups(reps: DataFrame, block: int) -> DataFrame:
-    full = F.size("sketch") >= SKETCH
-    tokens = reps.select("doc", "comp", "n", full.alias("full"), F.explode("sketch").alias("token"))
+    tokens = reps.select("doc", "comp", "n", F.explode("sketch").alias("token"))
     sizes = tokens.groupBy("token").agg(
         F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"),
         F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("who")).where("c > 1 AND lo < hi")
@@ -206,10 +205,11 @@ def _other_groups(reps: DataFrame, block: int) -> DataFrame:
     # groups of the same documents are one
     small = sizes.where(F.col("c") <= block).groupBy("c", "who").agg(F.min("token").alias("token")).select("token")
     small = tokens.join(small, "token").select("token", "doc", "comp", F.lit(-1).cast("long").alias("main"), F.lit(1).cast("long").alias("nb"))
-    # a pair without a common small group shares HOT_SHARED large ones: one of them is left after HOT_SHARED - 1 are skipped
+    # a pair without a common small group shares HOT_SHARED large ones (sets of few hashes: what similarity asks
+    # for): one of them is left if each document skips its last ones, one fewer than that
     large = tokens.join(sizes.where(F.col("c") > block).select("token"), "token") \
-        .groupBy("doc", "comp", "n", "full").agg(F.sort_array(F.collect_set("token")).alias("hot"))
-    count = F.when(F.col("full"), F.size("hot") - (HOT_SHARED - 1)).otherwise(F.size("hot"))
+        .groupBy("doc", "comp", "n").agg(F.sort_array(F.collect_set("token")).alias("hot"))
+    count = F.size("hot") - F.least(F.lit(HOT_SHARED), F.ceil(F.col("n") * OF / PART).cast("int")) + 1
     large = large.where(count > 0).select("doc", "comp", "n", F.explode(F.slice("hot", F.lit(1), count)).alias("token"))
     # linked sets differ in size by PART / OF at most: in steps a little longer than that they are neighbours
     step = F.floor(F.log("n") / (math.log(PART / OF) * 1.0001))
