@@ -39,6 +39,7 @@ def _chunked(df: DataFrame) -> DataFrame:
     df = _held(df, _lines=F.split("text", "\n", -1))
     df = _held(df, _rolling=F.transform("_lines", lambda x, i: F.xxhash64(at("_lines", i - 1), x)))
     # line numbers from 0 that end a chunk: local minima of the rolling hash, and the last line
+    columns = df.columns[:-1]
     df = _held(df, _ends=F.filter(F.sequence(F.lit(0), F.size("_lines") - 1), lambda i: (i == F.size("_lines") - 1) | (
         (i >= 1) & (at("_rolling", i) < at("_rolling", i - 1)) & (at("_rolling", i) <= at("_rolling", i + 1)))))
 
@@ -46,18 +47,25 @@ def _chunked(df: DataFrame) -> DataFrame:
         start = F.when(k == 0, 0).otherwise(at("_ends", k - 1) + 1)
         return F.struct(k.alias("no"), (e - start + 1).alias("n_lines"),
                         F.array_join(F.slice("_lines", start + 1, e - start + 1), "\n").alias("body"))
-    return _held(df, _chunks=F.transform("_ends", chunk))
+    return _held(df.select(*columns, "_ends"), _chunks=F.transform("_ends", chunk))
 
 
 def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """``(doc_id, nos)``: chunk numbers to remove from each document."""
-    rows = _chunked(docs.select("doc_id", "text").where(F.col("text").contains("\n")))
-    listed = rows.select("doc_id", F.filter("_chunks", lambda c: c["n_lines"] >= 2).alias("c"))
-    keys = listed.select("doc_id", F.explode(F.transform("c", lambda c: F.xxhash64(c["body"]))).alias("h"))
-    again = staged(keys.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "chunk-hashes")
-    texts = listed.select("doc_id", F.explode("c").alias("c")) \
-        .select("doc_id", "c.no", F.col("c.body").alias("body"), F.xxhash64("c.body").alias("h"))
-    texts = staged(texts.join(again, "h", "left_semi"), "chunks")
+    """``(doc_id, nos)``: chunk numbers to remove from each document.
+
+    Hashes alone find the chunks that may be repeated; only the texts of
+    documents that hold one are shuffled, and only such chunks are compared.
+    """
+    lines = docs.select("doc_id", "text").where(F.col("text").contains("\n") & F.col("doc_id").isNotNull())
+    chunks = _chunked(lines).select("doc_id", F.filter("_chunks", lambda c: c["n_lines"] >= 2).alias("c"))
+    keys = staged(chunks.select("doc_id", F.explode(F.transform("c", lambda c: F.struct(
+        c["no"].alias("no"), F.xxhash64(c["body"]).alias("h")))).alias("k")).select("doc_id", "k.no", "k.h"), "chunk-hashes")
+    again = keys.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    asked = staged(keys.join(again, "h").groupBy("doc_id").agg(F.collect_set("no").alias("asked")), "asked")
+    texts = lines.join(asked.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "asked")
+    texts = _chunked(texts).select("doc_id", F.explode(F.filter(
+        "_chunks", lambda c: F.array_contains("asked", c["no"]))).alias("c"))
+    texts = staged(texts.select("doc_id", "c.no", "c.body", F.xxhash64("c.body").alias("h")), "chunks")
     # the bytes themselves are the key: equal hashes of different chunks stay apart
     first = staged(texts.groupBy("h", "body").agg(F.min(F.struct("doc_id", "no")).alias("first"),
                                                   F.count("*").alias("n")).where("n > 1").drop("n"), "first-chunks")
