@@ -60,7 +60,8 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     chunks = _chunked(lines).select("doc_id", F.filter("_chunks", lambda c: c["n_lines"] >= 2).alias("c"))
     keys = staged(chunks.select("doc_id", F.explode(F.transform("c", lambda c: F.struct(
         c["no"].alias("no"), F.xxhash64(c["body"]).alias("h")))).alias("k")).select("doc_id", "k.no", "k.h"), "chunk-hashes")
-    again = keys.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    # staged, so that the join that follows may split a hash that very many documents hold
+    again = staged(keys.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "repeated-hashes")
     asked = staged(keys.join(again, "h").groupBy("doc_id").agg(F.collect_set("no").alias("asked")), "asked")
     texts = lines.join(asked.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "asked")
     texts = _chunked(texts).select("doc_id", F.explode(F.filter(
