@@ -8,27 +8,22 @@ All but the last return the columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidemark.llm import line_chunks, mixing, sigtree, suffix_contam, toxicity
-from tidemark.llm.staging import documents, prepare, staged
+from tidemark.llm.staging import documents, prepare, staged, without
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain calls toxic go."""
     prepare(spark)
     judged = toxicity.report(docs, documents(spark, sf_dir, "labels"))
-    gone = judged.where("toxic = 1").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return without(docs, judged.where("toxic = 1").select("doc_id").distinct())
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Chunks of lines that an earlier document holds are taken out."""
     prepare(spark)
-    out = line_chunks.dedup_lines(docs)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_removed_lines") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return line_chunks.with_deduped_text(docs)
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +36,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that hold benchmark passages go."""
     prepare(spark)
     found = suffix_contam.contamination(docs, documents(spark, sf_dir, "benchmark"), locations=False)
-    gone = found.where("contaminated").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return without(docs, found.where("contaminated").select("doc_id").distinct())
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -189,8 +189,12 @@ class Field:
 
 
 def train_field(texts: list[str], labels: np.ndarray) -> Field:
-    data, offs = grams.text_bytes(pa.array(texts, pa.string()))
-    x, n, first = line_features(data, offs)
+    # slice by slice: the features are far smaller than the arrays over all bytes
+    parts = [line_features(data, offs) for _, data, offs in
+             grams.slices(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"]))]
+    parts = parts or [line_features(np.zeros(0, np.uint8), np.zeros(1, np.int64))]
+    x, n, per = (np.concatenate(a) for a in zip(*[(x, n, np.diff(first)) for x, n, first in parts]))
+    first = np.concatenate(([0], np.cumsum(per)))
     field = Field(x.shape[1])
     if not len(labels) or labels.min() == labels.max():
         p = (labels.sum() + 1) / (len(labels) + 2)

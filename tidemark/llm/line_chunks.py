@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .staging import staged
+from .staging import nested, row_columns, staged
 
 
 
@@ -74,27 +74,38 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     return later.groupBy("doc_id").agg(F.collect_set("no").alias("nos"))
 
 
+COUNTS = ("n_lines", "n_chunks", "removed_chunks", "removed_lines")
+
+
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with repeated chunks taken out of ``text``, plus ``_n_lines``,
-    ``_n_chunks``, ``_removed_chunks`` and ``_removed_lines``."""
-    nos = repeated_chunks(docs).select(F.col("doc_id").alias("_id"), F.col("nos").alias("_nos"))
-    out = docs.join(nos, F.col("doc_id") == F.col("_id"), "left")
+    """``_row`` (the other columns of ``docs``), ``doc_id``, ``text`` without the
+    repeated chunks, and COUNTS."""
+    nos = repeated_chunks(docs).toDF("_id", "_nos")
+    out = nested(docs, "doc_id", "text", apart=("text",)).join(nos, F.col("doc_id") == F.col("_id"), "left")
     out = _chunked(out)
     kept = F.filter("_chunks", lambda c: ~F.array_contains(F.coalesce("_nos", F.array().cast("array<int>")), c["no"]))
     out = _held(out, _kept=kept)
-    lines = F.aggregate("_kept", F.lit(0), lambda a, c: a + c["n_lines"])
-    return out.select(
-        *[c for c in docs.columns if c != "text"],
-        F.when(F.col("_nos").isNull(), F.col("text"))
-        .otherwise(F.array_join(F.transform("_kept", lambda c: c["body"]), "\n")).alias("text"),
-        F.greatest(F.size("_lines"), F.lit(0)).cast("long").alias("_n_lines"),
-        F.greatest(F.size("_chunks"), F.lit(0)).cast("long").alias("_n_chunks"),
-        F.coalesce(F.size("_chunks") - F.size("_kept"), F.lit(0)).cast("long").alias("_removed_chunks"),
-        F.coalesce(F.size("_lines") - lines, F.lit(0)).cast("long").alias("_removed_lines"))
+    lines = F.aggregate("_chunks", F.lit(0), lambda a, c: a + c["n_lines"])
+    left = F.aggregate("_kept", F.lit(0), lambda a, c: a + c["n_lines"])
+    counts = (lines, F.size("_chunks"), F.size("_chunks") - F.size("_kept"), lines - left)
+    return out.select("_row", "doc_id", F.when(F.col("_nos").isNull(), F.col("text"))
+                      .otherwise(F.array_join(F.transform("_kept", lambda c: c["body"]), "\n")).alias("text"),
+                      *[F.coalesce(c, F.lit(0)).cast("long").alias(k) for k, c in zip(COUNTS, counts)])
+
+
+def with_deduped_text(docs: DataFrame) -> DataFrame:
+    """``docs`` with the text that remains; ``n_chars``, where it is a column,
+    follows the texts that lost lines."""
+    out = dedup_lines(docs)
+    columns = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        columns["n_chars"] = F.when(F.col("removed_lines") > 0, F.length("text")).otherwise(F.col("_row.n_chars")) \
+            .cast(docs.schema["n_chars"].dataType)
+    rest = dict(zip([c for c in docs.columns if c not in columns], row_columns(docs, *columns)))
+    return out.select(*[(columns | rest)[c].alias(c) for c in docs.columns])
 
 
 def report(docs: DataFrame) -> DataFrame:
     out = dedup_lines(docs.select("doc_id", "text"))
-    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_chunks").alias("n_chunks"),
-                      F.col("_removed_chunks").alias("removed_chunks"), F.col("_removed_lines").alias("removed_lines"),
-                      F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"), F.col("text").alias("kept_text"))
+    return out.select("doc_id", *COUNTS, F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
+                      F.col("text").alias("kept_text"))

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .staging import staged
+from .staging import nested, row_columns, staged
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: a table of at most this many sources is broadcast, a larger one is joined by shuffle
@@ -60,8 +60,9 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_r
 
 def with_copies(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = (1, 2, 3),
                 max_rate: int = 3) -> DataFrame:
-    """``docs`` plus ``_size``, ``_source_size``, ``_target`` and ``_copies``."""
-    sized = docs.withColumn("_size", word_count(F.col("text")))
+    """``_row`` (the columns of ``docs``), ``doc_id``, ``_size``, ``_source_size``,
+    ``_target`` and ``_copies``."""
+    sized = nested(docs, "doc_id", "source", word_count(F.col("text")).alias("_size"))
     per = staged(source_targets(sized.select("source", F.col("_size").alias("size")), weights, max_rate), "targets")
     per = per.select(F.col("source").alias("_source"), F.col("source_size").alias("_source_size"),
                      F.col("target").alias("_target"))
@@ -82,14 +83,17 @@ def mix_report(docs: DataFrame, **options) -> DataFrame:
                         F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"))
 
 
+MIXED = ("copy", "size", "source_size", "target", "taken")
+
+
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: every document's row once per copy, numbered from 1 in
-    ``copy``; ``taken`` is the words of that row."""
-    mixed = with_copies(docs, **options)
-    return (mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-            .where(F.col("copy") <= F.col("_copies"))
-            .select(*docs.columns, "copy", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"),
-                    F.col("_target").alias("target"), F.col("_size").alias("taken")))
+    ``copy``; ``taken`` is the words of that row.  Columns of ``docs`` that are
+    named like one of the added ones are replaced."""
+    mixed = with_copies(docs, **options).where("_copies > 0")
+    mixed = mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
+    return mixed.select(*row_columns(docs, *MIXED), "copy", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"),
+                        F.col("_target").alias("target"), F.col("_size").alias("taken"))
 
 
 ORACLE = r"""

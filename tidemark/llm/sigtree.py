@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from . import grams
 from .graph import components
 from .groups import Forest, runs
-from .staging import staged
+from .staging import staged, without
 
 WORDS = 5
 #: links need PART * intersection >= OF * union
@@ -241,5 +241,4 @@ def link(docs: DataFrame, words: int = WORDS, block: int = BLOCK) -> DataFrame:
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """``docs`` without those that link to a document of smaller id, directly or
     through others."""
-    gone = link(docs, **options).where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return without(docs, link(docs, **options).where("component_id <> doc_id").select("doc_id").distinct())

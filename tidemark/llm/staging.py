@@ -13,6 +13,7 @@ import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import scratch_path
 
@@ -60,5 +61,22 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def nested(df: DataFrame, *own, apart: tuple[str, ...] = ()) -> DataFrame:
+    """The columns ``own``, and all columns but ``apart`` inside ``_row``, so that
+    no other name can clash with those that an operator adds."""
+    return df.select(*own, F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in apart]).alias("_row"))
+
+
+def row_columns(df: DataFrame, *without: str) -> list:
+    """The columns that ``nested`` put inside ``_row``, but for some."""
+    return [F.col(f"_row.`{c}`").alias(c) for c in df.columns if c not in without]
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` but for those whose id is in the one-column ``gone``."""
+    gone = gone.toDF("gone")
+    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+
+
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
