@@ -29,3 +29,12 @@ def test_generate_and_run(tmpdir_path):
                 for f in os.listdir(tmpdir_path + "/p") if f.endswith(".csv"))
     assert n_csv == stream["input_rows"]        # every row out, input folders untouched
     assert not [f for f in os.listdir(flows) if "flush" in f]
+
+
+def test_stream_over_int_keys(tmpdir_path):
+    """The end-of-input record has a key that is valid as INT too."""
+    _cli("generate", "--minutes", "1", "--out", tmpdir_path + "/edr")
+    flows = tmpdir_path + "/edr/flows"
+    before = sorted(os.listdir(flows))
+    out = json.loads(_cli("run", "flows_agg_step_1", "--flows", flows, "--stream").splitlines()[-1])
+    assert out["mode"] == "stream" and sorted(os.listdir(flows)) == before

@@ -47,6 +47,28 @@ def test_offset_frame_bucketed_equals_window(proj, keys):
     assert empty and all(r.minOctets is None and r.sumOctets is None for r in empty)
 
 
+@pytest.mark.parametrize("floor,strategies", [(None, ["two_level", "chunked"]), ("minute", ["bucketed"])])
+@pytest.mark.parametrize("keys", [["sessionid"], []])
+def test_null_keys_and_times_are_peers_in_every_plan(proj, floor, strategies, keys):
+    """NULL keys share one partition, NULL times one peer group."""
+    n = F.pmod(F.xxhash64("octets", "eventtime"), F.lit(10))
+    df = proj.select(F.when(n > 2, F.col("sessionid")).alias("sessionid"),
+                     F.when(n != 5, F.col("eventtime")).alias("eventtime"), "octets")
+    assert df.where("sessionid IS NULL").count() > 50 and df.where("eventtime IS NULL").count() > 20
+    args = (df, keys, "eventtime", STATS, 60 * MICROS["minute"], MICROS["minute"] if floor else 0)
+    base = _rows(range_frame(*args, floor=floor, strategy="window"))
+    for strategy in strategies:
+        assert _rows(range_frame(*args, floor=floor, strategy=strategy)) == base
+
+
+def test_bollinger_bands_of_one_hot_session_are_exact(spark):
+    df = spark.range(20_000).selectExpr("'s' sessionid", "1000000000 + id % 7 octets",
+                                        "timestamp_millis(1600000000000 + id * 180) eventtime")
+    got = windows.bollinger_view(df).agg(F.max("upper_bb"), F.max("lower_bb")).first()
+    w = range_frame(df, ["sessionid"], "eventtime", {"a": ("avg", "octets")}, MICROS["hour"], strategy="two_level")
+    assert got[0] == pytest.approx(1e9 + 3 + 2 * 2, abs=1.1) and got[1] <= w.agg(F.max("a")).first()[0]
+
+
 def test_frames_monotone_in_width(proj):
     counts = []
     for m in (1, 2, 5, 10, 20, 60):
@@ -76,7 +98,7 @@ def test_bollinger_by_hand(spark):
     df = spark.createDataFrame(rows, "sessionid string, eventtime string, octets bigint") \
         .withColumn("eventtime", F.col("eventtime").cast("timestamp"))
     got = {(r.sessionid, r.octets): (r.upper_bb, r.lower_bb)
-           for r in windows.bollinger_view(df).collect()}
+           for r in windows.bollinger_view(df, digits=4).collect()}
     assert got[("s", 10)] == (10.0, 10.0)
     # peers: 10, 20, 30 -> mean 20, sd sqrt(200/3)
     sd = (200 / 3) ** 0.5

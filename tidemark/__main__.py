@@ -38,33 +38,19 @@ def cmd_run(args):
         else:
             df.write.format("noop").mode("overwrite").save()
     else:
-        # the input folders are left as they are: the end-of-input flush record
-        # goes to side folders read as a second source
-        from .session import scratch_path
-        side = scratch_path(spark, f"cli-flush-{os.getpid()}")
-        sides = {"flows": side + "/flows", "sessions": side + "/sessions"}
-        for d in sides.values():
-            spark.createDataFrame([], "value string").write.mode("append").text(d)
-
         def build():
             f = csv.read_flows(spark, args.flows, stream=True, max_files_per_trigger=args.files,
-                               **opts).unionByName(csv.read_flows(spark, sides["flows"],
-                                                                  stream=True))
-            s = None
-            if args.sessions:
-                s = csv.read_sessions(spark, args.sessions, stream=True,
-                                      max_files_per_trigger=args.files, **opts).unionByName(
-                    csv.read_sessions(spark, sides["sessions"], stream=True))
+                               **opts)
+            s = csv.read_sessions(spark, args.sessions, stream=True,
+                                  max_files_per_trigger=args.files, **opts) \
+                if args.sessions else None
             return STREAM[args.view](f, s)
-        flush = {sides["flows"]: bounded.default_flush(FLOWS_COLUMNS, numeric=tuple(TONNAGE)),
-                 sides["sessions"]: bounded.sentinel_line(SESSIONS_COLUMNS, {
-                     "sessionid": bounded.SENTINEL_KEY, "eventtime": bounded.SENTINEL_TIME,
-                     "ecgieci": bounded.SENTINEL_KEY})}
-        if not args.sessions:
-            flush.pop(sides["sessions"])
-        out = args.out or side + "/out"
-        df = bounded.run_bounded(spark, build, flush, out=out + "-stream",
-                                 checkpoint=side + "/checkpoint")
+        flush = {args.flows: bounded.default_flush(FLOWS_COLUMNS, numeric=tuple(TONNAGE))}
+        if args.sessions:
+            flush[args.sessions] = bounded.sentinel_line(SESSIONS_COLUMNS, {
+                "sessionid": bounded.SENTINEL_KEY, "eventtime": bounded.SENTINEL_TIME,
+                "ecgieci": bounded.SENTINEL_KEY})
+        df = bounded.run_bounded(spark, build, flush)
         if args.out:
             df.write.mode("overwrite").option("header", "true").csv(args.out)
     secs = time.perf_counter() - t0
@@ -92,7 +78,7 @@ def cmd_gc_report(args):
     spark = _spark(args)
     out = logs.gc_report(logs.read_log_lines(spark, args.path))
     print(logs.GC_HEADER)
-    for r in out.orderBy("file", "line_no").select(F.coalesce("line", "note")).collect():
+    for r in out.orderBy("file", "line_no").select(F.coalesce("line", "note")).toLocalIterator():
         print(r[0])
 
 

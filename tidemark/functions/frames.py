@@ -143,6 +143,16 @@ def _chunked(df, keys, okey, aggs, p, g, chunk):
     return out.filter("_own").drop("_own")
 
 
+def _null_safe_left(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """Left join in which NULL keys match, as they share a window partition."""
+    right = right.withColumnsRenamed({c: f"_on_{c}" for c in on})
+    cond = None
+    for c in on:
+        e = F.col(c).eqNullSafe(F.col(f"_on_{c}"))
+        cond = e if cond is None else cond & e
+    return left.join(right, cond, "left").drop(*[f"_on_{c}" for c in on])
+
+
 # -- bucketed plan ---------------------------------------------------------
 
 def _partials(aggs: dict) -> tuple[list[Column], dict]:
@@ -194,13 +204,15 @@ def _bucketed(df, keys, order, aggs, p, g, floor):
     else:
         # fan each bucket out to the buckets whose frame holds it; never one task
         lo, hi = -(-g // unit), p // unit   # offsets (in buckets) that can see it
-        x = per_bucket.withColumn("_k", F.explode(F.sequence(F.lit(lo).cast("bigint"),
-                                                             F.lit(hi).cast("bigint"))))
+        # (rows with a NULL time are one peer group: their bucket sees itself alone)
+        reach = F.when(F.col("_bucket").isNull(), F.array(F.lit(lo).cast("bigint"))) \
+            .otherwise(F.sequence(F.lit(lo).cast("bigint"), F.lit(hi).cast("bigint")))
+        x = per_bucket.withColumn("_k", F.explode(reach))
         x = x.withColumn("_target", F.timestamp_micros(F.unix_micros("_bucket")
                                                        + F.col("_k") * unit))
         frames = x.groupBy("_target").agg(*_merged(merge)).withColumnRenamed("_target",
                                                                              "_bucket")
-    out = rows.join(frames, on=[*keys, "_bucket"], how="left")
+    out = _null_safe_left(rows, frames, [*keys, "_bucket"])
     # a bucket whose frame holds nothing (offset frames) still keeps its rows
     for alias, (kind, _) in merge.items():
         if kind == "count":
@@ -286,7 +298,7 @@ def _two_level(df, keys, order, aggs, p, bucket):
         mid = per_bucket.select(*keys, "_b", *[run[pkind[c]](c).over(w).alias(f"_mid_{c}")
                                                for c in pnames])
         # join on non-NULL buckets only: NULL-time rows have no whole buckets
-        res = res.join(mid.filter(F.col("_b").isNotNull()), [*keys, "_b"], "left")
+        res = _null_safe_left(res, mid.filter(F.col("_b").isNotNull()), [*keys, "_b"])
     else:
         for c in pnames:
             res = res.withColumn(f"_mid_{c}", F.lit(None).cast("bigint"))

@@ -83,14 +83,14 @@ def latest_join(flows: DataFrame, sessions: DataFrame, key: str = "sessionid",
     fcols = flows.columns
     # flows stay in their own chunk; session rows are also copied into the
     # following chunks one timeout can reach
-    f = flows.select(*fcols, F.lit(None).cast("string").alias("_val"),
+    f = flows.select(*fcols, F.lit(None).cast(sessions.schema[value].dataType).alias("_val"),
                      F.lit(True).alias("_is_flow"),
                      F.unix_micros(F.col(time)).alias("_us"))
     f = f.withColumn("_chunk", floor_div(F.col("_us"), c)).withColumn("_own", F.lit(True))
     s_extra = [F.lit(None).cast(flows.schema[x].dataType).alias(x)
                for x in fcols if x not in (key, time)]
     s = sessions.select(F.col(key), F.col(time), *s_extra,
-                        F.col(value).cast("string").alias("_val"),
+                        F.col(value).alias("_val"),
                         F.lit(False).alias("_is_flow"),
                         F.unix_micros(F.col(time)).alias("_us"))
     s = lookback_chunks(s, F.col("_us"), t, c)

@@ -72,7 +72,7 @@ def throughput_meter(df: DataFrame, arrival: str = "arrival", eventtime: str = "
                                                       STARTUP_ALLOWANCE_SECONDS))
 
 
-def running_avg_rps(df: DataFrame, arrival: str = "arrival", digits: int | None = 4
+def running_avg_rps(df: DataFrame, arrival: str = "arrival", digits: int | None = None
                     ) -> DataFrame:
     """Rows per second of arrival, and the average of those per-second counts
     over all seconds so far (seconds without rows do not count)."""

@@ -23,7 +23,9 @@ AGG_VIEW_WIDTHS = {"agg_view": 60, "agg_view_60m": 60, "agg_view_20m": 20,
 
 def agg_view(projection: DataFrame, minutes: int = 60, **plan) -> DataFrame:
     """min/max/sum/count of ``octets`` per session over the preceding ``minutes``
-    of event time, current row and its peers included."""
+    of event time, current row and its peers included.  The two-level plan is
+    linear in the rows, also for a hot session."""
+    plan.setdefault("strategy", "two_level")
     out = range_frame(projection, ["sessionid"], "eventtime", OCTET_STATS,
                       minutes * MICROS["minute"], **plan)
     return out.select("sessionid", "octets", "eventtime", *STAT_COLUMNS)
@@ -58,14 +60,23 @@ def flows_agg_step_1(ingested: DataFrame, **plan) -> DataFrame:
 
 
 def bollinger_view(projection: DataFrame, minutes: int = 60, width: float = 2.0,
-                   digits: int | None = 4, **plan) -> DataFrame:
+                   digits: int | None = None, **plan) -> DataFrame:
     """Bollinger bands of ``octets`` per session: mean +- ``width`` population
-    standard deviations over the preceding ``minutes``."""
-    stats = {"_avg": ("avg", "octets"), "_sd": ("stddev_pop", "octets")}
-    out = range_frame(projection, ["sessionid"], "eventtime", stats,
-                      minutes * MICROS["minute"], **plan)
-    upper = F.col("_avg") + F.lit(width) * F.col("_sd")
-    lower = F.col("_avg") - F.lit(width) * F.col("_sd")
+    standard deviations over the preceding ``minutes``.  The deviation comes
+    from the exact (decimal) count, sum and sum of squares, which merge, so
+    the linear two-level plan holds and nothing cancels."""
+    plan.setdefault("strategy", "two_level")
+    exact = F.col("octets").cast("decimal(19,0)")
+    x = projection.select("sessionid", "octets", "eventtime", exact.alias("_v"),
+                          (exact * exact).cast("decimal(38,0)").alias("_vv"))
+    stats = {"_n": ("count", "octets"), "_s": ("sum", "_v"), "_ss": ("sum", "_vv")}
+    out = range_frame(x, ["sessionid"], "eventtime", stats, minutes * MICROS["minute"], **plan)
+    n, total = F.col("_n").cast("decimal(19,0)"), F.col("_s").cast("decimal(38,0)")
+    # n * sum of squares - sum^2, exact
+    spread = (n * F.col("_ss") - total.cast("decimal(30,0)") * total.cast("decimal(30,0)")).cast("double")
+    mean = F.col("_s").cast("double") / F.col("_n")
+    sd = F.sqrt(spread) / F.col("_n")
+    upper, lower = mean + F.lit(width) * sd, mean - F.lit(width) * sd
     if digits is not None:
         upper, lower = F.round(upper, digits), F.round(lower, digits)
     return out.select("sessionid", "octets", "eventtime", upper.alias("upper_bb"),

@@ -149,7 +149,7 @@ for _name, _minutes in windows.AGG_VIEW_WIDTHS.items():
 
 @register("bollinger_view")
 def _bollinger(i: Inputs):
-    return windows.bollinger_view(i.projection())
+    return windows.bollinger_view(i.projection(), digits=4)
 
 
 @register("testwindow_v2")
@@ -255,4 +255,4 @@ def _throughput_meter(i: Inputs):
 
 @register("running_avg_rps")
 def _running_avg_rps(i: Inputs):
-    return meters.running_avg_rps(i.projection_arrival())
+    return meters.running_avg_rps(i.projection_arrival(), digits=4)

@@ -52,6 +52,7 @@ BATCH: dict[str, View] = {
 STREAM: dict[str, View] = {
     "parse_view": lambda f, s: projection.parse_view(f),
     "projection_view": lambda f, s: _proj(f),
+    "t_sort": lambda f, s: ops.held_sort(_proj(f)),
     **{name: (lambda m: lambda f, s: stateful.agg_view(_proj(f), m))(m)
        for name, m in windows.AGG_VIEW_WIDTHS.items()},
     "join_view_forward": lambda f, s: ops.join_view_forward(_proj(f), _sess(s)),

@@ -8,6 +8,7 @@ batch twin see identical rows.  Schemas are declared, never inferred.
 from __future__ import annotations
 
 import re
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,16 +71,36 @@ def _reader(spark: SparkSession, schema: T.StructType, stream: bool, pattern: st
     return r
 
 
+#: while a bounded run builds its query: source folder -> folder of its flush record
+_side_folders: dict[str, str] = {}
+
+
+@contextmanager
+def side_folders(sides: dict[str, str]):
+    """Streams read inside also read the side folder of their source, so that
+    nothing is written to the source itself."""
+    _side_folders.update({k.rstrip("/"): v for k, v in sides.items()})
+    try:
+        yield
+    finally:
+        for k in sides:
+            _side_folders.pop(k.rstrip("/"), None)
+
+
 def _read(spark, schema, path, stream, pattern, max_files_per_trigger, sep, header, quote,
           rejected):
     if rejected:
         schema = with_corrupt_column(schema)
     opts = csv_options(sep=sep, header=header, quote=quote,
                        mode="PERMISSIVE" if rejected else "FAILFAST", corrupt=rejected)
-    return _reader(spark, schema, stream, pattern, max_files_per_trigger, opts).csv(path)
+    df = _reader(spark, schema, stream, pattern, max_files_per_trigger, opts).csv(path)
+    side = _side_folders.get(path.rstrip("/")) if stream else None
+    if side:
+        df = df.unionByName(_reader(spark, schema, True, None, None, opts).csv(side))
+    return df
 
 
-def read_flows(spark: SparkSession, path: str = "/tmp", *, stream: bool = False,
+def read_flows(spark: SparkSession, path: str, *, stream: bool = False,
                pattern: str | None = None, typed: bool = False, sep: str = ",",
                header: bool = False, quote: bool = False, rejected: bool = False,
                max_files_per_trigger: int | None = None) -> DataFrame:
@@ -92,7 +113,7 @@ def read_flows(spark: SparkSession, path: str = "/tmp", *, stream: bool = False,
                  sep, header, quote, rejected)
 
 
-def read_sessions(spark: SparkSession, path: str = "/tmp", *, stream: bool = False,
+def read_sessions(spark: SparkSession, path: str, *, stream: bool = False,
                   pattern: str | None = None, typed: bool = False, sep: str = ",",
                   header: bool = False, quote: bool = False, rejected: bool = False,
                   max_files_per_trigger: int | None = None) -> DataFrame:

@@ -10,7 +10,7 @@ completion again, and removes the sentinel's own output.
 
 from __future__ import annotations
 
-import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..session import scratch_path
+from ..sources.csv import side_folders
 
-SENTINEL_KEY = "~flush~"
+# valid as a text key and as an INT key
+SENTINEL_KEY = "-2147483648"
 # within the range pandas can hold (operators in Python see it too)
 SENTINEL_TIME = "2200-01-01 00:00:00.000"
 
@@ -38,7 +40,7 @@ def default_flush(columns: list[tuple[str, int]], key: str = "sessionid",
 
 
 def _write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Append one text file holding ``text`` to the source folder, through
+    """Append one text file holding ``text`` to a side folder, through
     Spark's committer (works on any cluster file system; the file appears
     whole, and the marker files it writes are hidden from file sources)."""
     (spark.createDataFrame([(text,)], "value string").coalesce(1)
@@ -64,20 +66,27 @@ def run_bounded(spark: SparkSession, build: Callable[[], DataFrame], flush: dict
     with :func:`read_named_stream` and flushed with :func:`flush_named_stream`.
 
     ``flush`` maps each source directory to the sentinel record to append to
-    it; ``drop`` filters the sentinel's own output rows (default: rows whose
-    ``sessionid`` is the sentinel key).  Output and checkpoint default to
-    folders under the cluster's shared checkpoint directory."""
-    out = out or scratch_path(spark, f"bounded-{os.getpid()}-{id(build)}/out")
+    it: it goes to a side folder that the readers of :mod:`tidemark.sources.csv`
+    read along with the source, which itself is never written to.  ``drop``
+    filters the sentinel's own output rows (default: rows whose ``sessionid``
+    is the sentinel key; rows with a NULL key stay).  Output and checkpoint
+    default to folders under the cluster's shared checkpoint directory."""
+    run = scratch_path(spark, f"bounded-{uuid.uuid4().hex}")
+    out = out or run + "/out"
     checkpoint = checkpoint or out.rstrip("/") + "-checkpoint"
-    _run(build(), out, checkpoint)
-    for src, line in flush.items():
-        _write_text(spark, src, line)
-    _run(build(), out, checkpoint)
+    sides = {src: f"{run}/flush-{k}" for k, src in enumerate(flush)}
+    for side in sides.values():
+        spark.createDataFrame([], "value string").write.text(side)
+    with side_folders(sides):
+        _run(build(), out, checkpoint)
+        for src, line in flush.items():
+            _write_text(spark, sides[src], line)
+        _run(build(), out, checkpoint)
     result = spark.read.parquet(out)
     if drop is None and "sessionid" in result.columns:
-        drop = F.col("sessionid") == SENTINEL_KEY
+        drop = F.col("sessionid").cast("string").eqNullSafe(SENTINEL_KEY)
     if drop is None and "cellid" in result.columns:
-        drop = F.col("cellid") == SENTINEL_KEY
+        drop = F.col("cellid").cast("string").eqNullSafe(SENTINEL_KEY)
     return result.filter(~drop) if drop is not None else result
 
 

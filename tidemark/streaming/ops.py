@@ -168,11 +168,30 @@ def join_n_agg_view(joined: DataFrame, minutes: int = 60, delay: str = DEFAULT_D
 
 
 def t_sort(df: DataFrame, time: str = "eventtime", bound: str = DEFAULT_DELAY) -> DataFrame:
-    """Bounded reorder on a stream: the watermark; rows behind it are dropped by
-    the downstream stateful operator (metric ``numRowsDroppedByWatermark``)."""
+    """Bounded reorder ahead of a stateful operator: the watermark, by which
+    that operator waits for and drops rows (held rows would reach it behind its
+    own watermark).  :func:`held_sort` is the reorder that ends a query."""
     return df.withWatermark(time, bound)
 
 
+def held_sort(df: DataFrame, time: str = "eventtime", bound: str = DEFAULT_DELAY,
+              spread: int = 16) -> DataFrame:
+    """Bounded reorder at the end of a streaming query: a row is held until the watermark (the
+    latest event time less ``bound``) passes its second; rows that come behind
+    what the batches before have let go are dropped (metric
+    ``numRowsDroppedByWatermark``).  Every
+    micro-batch emits whole seconds that lie after all those emitted before,
+    so a sink that sorts each batch (``write_ordered_stream``) writes a stream
+    that is ordered across batches.  A second's rows are held in ``spread``
+    groups, so a burst is not one task's.  Rows without a time have no place
+    in the order and are not emitted."""
+    x = df.withWatermark(time, bound)
+    held = x.groupBy(F.window(time, "1 second"),
+                     F.pmod(F.xxhash64(*df.columns), F.lit(spread)).alias("_part")).agg(
+        F.collect_list(F.struct(*df.columns)).alias("_rows"))
+    return held.select(F.explode("_rows").alias("_r")).select("_r.*")
+
+
 def throughput_meter(df: DataFrame, eventtime: str = "eventtime", delay: str = "0 seconds",
                      start=None) -> DataFrame:
     """Rows per 1-second window of processing time (``current_timestamp()`` is
@@ -207,7 +226,7 @@ def stream_rate(df: DataFrame, eventtime: str = "eventtime", arrival: str | None
                     "rowtime_high")
 
 
-def finish_rate(per_second: DataFrame, digits: int | None = 4) -> DataFrame:
+def finish_rate(per_second: DataFrame, digits: int | None = None) -> DataFrame:
     """Cumulative rows and the running average of per-second rates over a
     stream's per-second table (a batch step: append mode cannot carry a
     global running sum)."""
