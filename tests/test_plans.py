@@ -99,3 +99,37 @@ def test_no_query_pairs_everything(spark):
             assert "NestedLoopJoin" not in plan, name
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_expensive_inputs_are_evaluated_once(spark):
+    """The joins under the per-cell views run once (both parts read one exchange),
+    the sharded query and the meters scan once."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        from tidemark.plans import catalog
+        scans = {n: _plan(catalog.query(n)(spark, "/root/testdata/sf0.001")).count("FileScan")
+                 for n in ("join_n_agg_view_backward", "join_n_agg_view2", "flows_agg_sharded",
+                           "throughput_meter", "data_rate", "running_avg_rps")}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    # two sides of one join; flows twice (rows and buckets) and sessions; one table
+    assert scans == {"join_n_agg_view_backward": 2, "join_n_agg_view2": 2, "flows_agg_sharded": 3,
+                     "throughput_meter": 1, "data_rate": 1, "running_avg_rps": 1}
+
+
+def test_shards_and_one_pass_agree(spark):
+    """The union over shards equals the one-pass form; rows without a session
+    are in no shard."""
+    i = Inputs(spark, "/root/testdata/sf0.001")
+    f = i.ingested_flows()
+    f = f.unionByName(f.limit(3).withColumn("sessionid", F.lit(None).cast("int")))
+    s = i.ingested_sessions().select("sessionid", F.col("rowtime").alias("eventtime"), "cellid")
+
+    def one(flows, sessions):
+        return joins.flows_agg_step_2(windows.flows_agg_step_1(flows), sessions)
+    for n in (2, 3):
+        assert _rows(shard.sharded_once(one, [f, s], n)) == _rows(shard.sharded(one, [f, s], n))
+    once = shard.sharded_once(windows.flows_agg_step_1, [f], 2)
+    assert _rows(once) == _rows(shard.sharded(windows.flows_agg_step_1, [f], 2))

@@ -39,10 +39,11 @@ identical results and differ in how they scale:
     buckets whose frames contain it, so nothing runs in one task.
 
 The bucketed and two-level plans read their input twice (the bucket table
-and the rows).  When the input is itself a join, Spark evaluates it twice; an
-explicit repartition does not help, because column pruning gives the two
-branches different projections and the exchange is not reused.  Persist the
-input when it is expensive and reused.
+and the rows).  With ``once`` (for an input that is itself a join) the input is
+shuffled on (keys, bucket) first, and both parts read that one exchange.  It is
+reused only while both parts need the same columns, so ``once`` keeps the keys,
+the order column and the aggregated columns alone, and no filter of one part may
+reach below the exchange.
 """
 
 from __future__ import annotations
@@ -83,15 +84,19 @@ def _window_aggs(df: DataFrame, w, aggs: dict) -> list[Column]:
 
 def range_frame(df: DataFrame, keys: list[str], order: str, aggs: dict, preceding,
                 lag=0, *, floor: str | None = None, strategy: str | None = None,
-                chunk=None) -> DataFrame:
+                chunk=None, once: bool = False) -> DataFrame:
     """Append frame aggregates to every row of ``df``.
 
     ``aggs`` maps output name -> ``(kind, column)`` with kind in min, max, sum,
     count (``column='*'`` for COUNT(*)), avg, stddev_pop.  ``preceding`` and
     ``lag`` bound the frame (timedelta, micros, or text).  ``floor`` orders by
-    ``date_trunc(floor, order)`` instead of ``order``.
+    ``date_trunc(floor, order)`` instead of ``order``.  ``once`` evaluates an
+    expensive input once; the result then has only the columns of the frame.
     """
     p, g = micros(preceding), micros(lag)
+    if once:
+        need = {*keys, order, *[c for _, c in aggs.values() if c != "*"]}
+        df = df.select(*[c for c in df.columns if c in need])
     if g > p:
         raise ValueError("lag must not exceed preceding")
     if strategy is None:
@@ -99,7 +104,7 @@ def range_frame(df: DataFrame, keys: list[str], order: str, aggs: dict, precedin
     if strategy == "bucketed":
         if not floor:
             raise ValueError("the bucketed plan needs a floored order key")
-        return _bucketed(df, keys, order, aggs, p, g, floor)
+        return _bucketed(df, keys, order, aggs, p, g, floor, once)
     okey = F.unix_micros(F.date_trunc(floor, order) if floor else F.col(order))
     if strategy == "window":
         w = Window.partitionBy(*keys).orderBy(okey).rangeBetween(-p, -g) if keys \
@@ -110,7 +115,7 @@ def range_frame(df: DataFrame, keys: list[str], order: str, aggs: dict, precedin
     if strategy == "two_level":
         if floor or g or p < 60 or p % 60:
             raise ValueError("two_level needs a row frame [t - w, t] with w divisible by 60")
-        return _two_level(df, keys, order, aggs, p, p // 60)
+        return _two_level(df, keys, order, aggs, p, p // 60, once)
     raise ValueError(f"unknown strategy {strategy!r}")
 
 
@@ -191,10 +196,12 @@ def _merged(merge: dict, over=None) -> list[Column]:
     return out
 
 
-def _bucketed(df, keys, order, aggs, p, g, floor):
+def _bucketed(df, keys, order, aggs, p, g, floor, once=False):
     unit = MICROS[floor]
     parts, merge = _partials(aggs)
     bucket = F.date_trunc(floor, order)
+    if once:
+        df = df.repartition(*keys, bucket)
     rows = df.withColumn("_bucket", bucket)
     per_bucket = rows.groupBy(*keys, "_bucket").agg(*parts)
     if keys:
@@ -243,7 +250,9 @@ def _combine_parts(kind: str, cols: list[Column]) -> Column:
     return sum((F.coalesce(c, F.lit(0)) for c in cols[1:]), F.coalesce(cols[0], F.lit(0)))
 
 
-def _two_level(df, keys, order, aggs, p, bucket):
+def _two_level(df, keys, order, aggs, p, bucket, once=False):
+    if once:
+        df = df.repartition(*keys, floor_div(F.unix_micros(F.col(order)), bucket))
     parts, merge = _partials(aggs)
     pnames = [c for _, (_, cols) in merge.items() for c in cols]
     pkind = {}
@@ -295,10 +304,12 @@ def _two_level(df, keys, order, aggs, p, bucket):
     if k > 1:
         per_bucket = rows.groupBy(*keys, "_b").agg(*parts)
         w = Window.partitionBy(*keys).orderBy("_b").rangeBetween(-(k - 1), -1)
-        mid = per_bucket.select(*keys, "_b", *[run[pkind[c]](c).over(w).alias(f"_mid_{c}")
-                                               for c in pnames])
-        # join on non-NULL buckets only: NULL-time rows have no whole buckets
-        res = _null_safe_left(res, mid.filter(F.col("_b").isNotNull()), [*keys, "_b"])
+        # NULL-time rows have no whole buckets (a filter on the bucket would
+        # sink below the shared exchange and split it)
+        mid = per_bucket.select(*keys, "_b", *[
+            F.when(F.col("_b").isNotNull(), run[pkind[c]](c).over(w)).alias(f"_mid_{c}")
+            for c in pnames])
+        res = _null_safe_left(res, mid, [*keys, "_b"])
     else:
         for c in pnames:
             res = res.withColumn(f"_mid_{c}", F.lit(None).cast("bigint"))

@@ -19,13 +19,6 @@ from ..functions.scalars import elapsed_seconds, elapsed_seconds_ms
 STARTUP_ALLOWANCE_SECONDS = 6
 
 
-def _start(df: DataFrame, col: str, start):
-    """The meter's zero: a given time, or the first arrival (a scalar subquery)."""
-    if start is None:
-        return df.select(F.min(col)).scalar()
-    return F.lit(start).cast("timestamp")
-
-
 def data_rate(df: DataFrame, arrival: str = "arrival", rowtime: str = "eventtime",
               start=None) -> DataFrame:
     """Rows per arrival second: rps, cumulative rows, the lowest and highest
@@ -36,8 +29,10 @@ def data_rate(df: DataFrame, arrival: str = "arrival", rowtime: str = "eventtime
                   F.min(rowtime).alias("rowtime_low"),
                   F.max(rowtime).alias("rowtime_high")))
     per = per.filter(F.col("rps") > 0)
-    cum = prefix_aggregate(per, "rowtime", {"cumulative_rows": ("sum", "rps")})
-    s = _start(per, "rowtime", start)
+    # in time order the running minimum is the first second: no second pass for it
+    cum = prefix_aggregate(per, "rowtime", {"cumulative_rows": ("sum", "rps"),
+                                            "_start": ("min", "rowtime")}, per_second=True)
+    s = F.col("_start") if start is None else F.lit(start).cast("timestamp")
     return cum.select("rowtime", "rps", "cumulative_rows", "rowtime_low", "rowtime_high",
                       elapsed_seconds_ms("rowtime", s).alias("testsecs"))
 
@@ -64,12 +59,16 @@ def throughput_meter(df: DataFrame, arrival: str = "arrival", eventtime: str = "
         for c in stats:
             total = F.count(c) if total is None else total + F.count(c)
         aggs.append(total.alias("count_total"))
-    per = df.groupBy(F.window(arrival, "1 second")).agg(*aggs)
+    per = df.groupBy(F.window(arrival, "1 second")).agg(*aggs, F.min(arrival).alias("_first"))
     per = per.select(F.col("window.start").alias("clocktime"), *[a for a in per.columns
                                                                    if a != "window"])
-    s = _start(df, arrival, start)
-    return per.withColumn("testsecs", elapsed_seconds("clocktime", s,
-                                                      STARTUP_ALLOWANCE_SECONDS))
+    if start is None:
+        per = prefix_aggregate(per, "clocktime", {"_start": ("min", "_first")}, per_second=True)
+        s = F.col("_start")
+    else:
+        s = F.lit(start).cast("timestamp")
+    return per.withColumn("testsecs", elapsed_seconds(
+        "clocktime", s, STARTUP_ALLOWANCE_SECONDS)).drop("_first", "_start")
 
 
 def running_avg_rps(df: DataFrame, arrival: str = "arrival", digits: int | None = None
@@ -78,7 +77,8 @@ def running_avg_rps(df: DataFrame, arrival: str = "arrival", digits: int | None
     over all seconds so far (seconds without rows do not count)."""
     per = df.groupBy(F.date_trunc("second", arrival).alias("second")).agg(
         F.count(F.lit(1)).alias("rps"))
-    run = prefix_aggregate(per, "second", {"_sum": ("sum", "rps"), "_n": ("count", "*")})
+    run = prefix_aggregate(per, "second", {"_sum": ("sum", "rps"), "_n": ("count", "*")},
+                           per_second=True)
     avg = F.col("_sum") / F.col("_n")
     if digits is not None:
         avg = F.round(avg, digits)

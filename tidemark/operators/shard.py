@@ -33,9 +33,14 @@ def sharded(query: Callable[..., DataFrame], inputs: list[DataFrame], num_shards
     return reduce(DataFrame.unionByName, parts)
 
 
-def co_partition(df: DataFrame, num_partitions: int, key: str = "sessionid") -> DataFrame:
-    """The Spark form of sharding: hash-partition by the key once."""
-    return df.repartition(num_partitions, key)
+def sharded_once(query: Callable[..., DataFrame], inputs: list[DataFrame], num_shards: int,
+                 key: str = "sessionid") -> DataFrame:
+    """The same rows as :func:`sharded` in one pass over the inputs.  Every row
+    with a key is in exactly one shard, and ``query`` only combines rows of one
+    key, so it runs once over the rows of all shards; Spark spreads them by the
+    query's own keys (session and time bucket), which also splits a hot session."""
+    return query(*[df.filter(shard_of(F.col(key).cast("bigint"), num_shards).isNotNull())
+                   for df in inputs])
 
 
 def merge_streams(*dfs: DataFrame) -> DataFrame:

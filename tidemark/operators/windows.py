@@ -35,8 +35,10 @@ def join_n_agg_view(joined: DataFrame, minutes: int = 60, **plan) -> DataFrame:
     """The same statistics per cell over a join view's rows.
 
     A cell's frame holds every flow of every session in it for an hour, so
-    the frames are dense: the two-level plan is the default here."""
+    the frames are dense: the two-level plan is the default here.  The join is
+    evaluated once (``once``)."""
     plan.setdefault("strategy", "two_level")
+    plan.setdefault("once", True)
     out = range_frame(joined, ["cellid"], "eventtime", OCTET_STATS,
                       minutes * MICROS["minute"], **plan)
     return out.select("cellid", "octets", "eventtime", *STAT_COLUMNS)
@@ -45,7 +47,8 @@ def join_n_agg_view(joined: DataFrame, minutes: int = 60, **plan) -> DataFrame:
 def join_n_agg_view2(joined: DataFrame, **plan) -> DataFrame:
     """Per cell, ordered by the minute of each row, over the 60 minutes before
     the row's minute and excluding it; an empty frame gives NULL min/max/sum
-    and a count of 0."""
+    and a count of 0.  The join is evaluated once."""
+    plan.setdefault("once", True)
     out = range_frame(joined, ["cellid"], "eventtime", OCTET_STATS, 60 * MICROS["minute"],
                       MICROS["minute"], floor="minute", **plan)
     return out.select("cellid", "octets", "eventtime", *STAT_COLUMNS)

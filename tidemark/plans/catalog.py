@@ -15,9 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.scalars import normalise_eventtime
 from ..operators import joins, late, meters, projection, shard, windows
 from ..session import prepare
-from ..sources.tables import compressed_micros, flows_from_events, sessions_from_events, table
+from ..sources import csv
+from ..sources.tables import (CELL_BASE, compressed_micros, flows_from_events,
+                              sessions_from_events, table)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -115,6 +118,44 @@ def _projection_view(i: Inputs):
     return i.projection()
 
 
+@register("flows_minutes")
+def _flows_minutes(i: Inputs):
+    """The minute-truncated variant of the normalised event time."""
+    return i.flows().select("sessionid", normalise_eventtime("eventtime", floor="minute")
+                            .alias("eventtime"))
+
+
+@register("merged_pumps")
+def _merged_pumps(i: Inputs):
+    """Two ingestion pumps over disjoint halves of the sessions, into one stream."""
+    f = i.ingested_flows()
+    return shard.merge_streams(*[shard.shard(f, 2, k) for k in range(2)])
+
+
+#: the event time of a typed source has a fraction (of any length); lines without one are rejected
+TYPED_FLOW = "sessionid int, eventtime timestamp, uplinkoctets bigint"
+TYPED_TIME = "yyyy-MM-dd HH:mm:ss.SSS"
+
+
+def _typed_flows(i: Inputs) -> tuple[DataFrame, DataFrame]:
+    schema = T.StructType.fromDDL(TYPED_FLOW)
+    lines = i.flows().select(F.concat_ws(",", *schema.names).alias("value"))
+    return csv.split_rejected(csv.parse_lines(lines, schema, rejected=True,
+                                              timestamp_format=TYPED_TIME))
+
+
+@register("typed_flows")
+def _typed_good(i: Inputs):
+    """Flow lines that a typed source takes."""
+    return _typed_flows(i)[0]
+
+
+@register("rejected_rows")
+def _rejected_rows(i: Inputs):
+    """Flow lines that a typed source rejects, as text."""
+    return _typed_flows(i)[1].select(F.col(csv.CORRUPT).alias("line"))
+
+
 @register("sessions_step_2")
 def _sessions_step_2(i: Inputs):
     return i.sessions2()
@@ -189,6 +230,14 @@ def _join_n_agg_backward(i: Inputs):
     return windows.join_n_agg_view(joins.join_view_backward(i.projection(), i.sessions2()))
 
 
+@register("join_n_agg_null_cells")
+def _join_n_agg_null_cells(i: Inputs):
+    """The per-cell statistics with one cell unknown: NULL cells share frames."""
+    j = joins.join_view_backward(i.projection(), i.sessions2())
+    unknown = F.nullif(F.col("cellid"), F.lit(str(CELL_BASE)))
+    return windows.join_n_agg_view(j.withColumn("cellid", unknown))
+
+
 @register("join_n_agg_view2")
 def _join_n_agg_view2(i: Inputs):
     return windows.join_n_agg_view2(joins.join_view_backward(i.projection(), i.sessions2()))
@@ -220,10 +269,10 @@ def _flows_agg_step_2_session(i: Inputs):
 
 @register("flows_agg_sharded")
 def _flows_agg_sharded(i: Inputs):
-    """Two shards of the offset-frame aggregate + join, unioned."""
+    """Two shards of the offset-frame aggregate + join, in one pass."""
     def one(flows, sessions):
         return joins.flows_agg_step_2(windows.flows_agg_step_1(flows), sessions)
-    return shard.sharded(one, [i.ingested_flows(), _ingested_sessions_for_join(i)], 2)
+    return shard.sharded_once(one, [i.ingested_flows(), _ingested_sessions_for_join(i)], 2)
 
 
 # -- late rows and meters -------------------------------------------------------

@@ -124,6 +124,16 @@ SELECT sessionid, CASE WHEN event_id % 10 = 7 THEN ts_text ELSE ts_text || '.000
        downdrop_o AS downlinkdropoctets, downdrop_o // 100 AS downlinkdroppackets
 FROM flows""")
     q["projection_view"] = _with("SELECT sessionid, eventtime, octets, packets FROM flows")
+    q["flows_minutes"] = _with(
+        "SELECT sessionid, date_trunc('minute', eventtime) AS eventtime FROM flows")
+    q["merged_pumps"] = _with("""
+SELECT * FROM fi WHERE sessionid % 2 = 0 UNION ALL SELECT * FROM fi WHERE sessionid % 2 = 1""")
+    q["typed_flows"] = _with("""
+SELECT CAST(user_id AS INTEGER) AS sessionid, eventtime, up_o AS uplinkoctets
+FROM flows WHERE event_id % 10 <> 7""")
+    q["rejected_rows"] = _with("""
+SELECT sessionid || ',' || ts_text || ',' || up_o AS line
+FROM flows WHERE event_id % 10 = 7""")
     q["sessions_step_2"] = _with("SELECT sessionid, eventtime, cellid FROM sessions")
     q["flows_ingestion"] = _with("SELECT rowtime, eventtime, sessionid, octets, packets FROM fi")
     q["sessions_ingestion"] = _with("SELECT rowtime, sessionid, eventtime, cellid FROM si")
@@ -167,6 +177,10 @@ WHERE rn = 1""")
 SELECT cellid, octets, eventtime,
        {STATS}
 FROM {src} WINDOW w AS (PARTITION BY cellid ORDER BY eventtime {_frame(60)})""")
+    q["join_n_agg_null_cells"] = _with(f"""
+SELECT nullif(cellid, '{CELL_BASE}') AS cellid, octets, eventtime,
+       {STATS}
+FROM jb WINDOW w AS (PARTITION BY nullif(cellid, '{CELL_BASE}') ORDER BY eventtime {_frame(60)})""")
     q["join_n_agg_view2"] = _with(f"""
 SELECT cellid, octets, eventtime,
        {STATS}

@@ -143,11 +143,19 @@ def split_rejected(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def parse_lines(lines: DataFrame, schema: T.StructType, sep: str = ",",
-                column: str = "value") -> DataFrame:
+                column: str = "value", rejected: bool = False,
+                timestamp_format: str | None = None) -> DataFrame:
     """Parse a column of delimited lines with the CSV reader's own parser
     (``from_csv``), positional, quote disabled.  Used when the records come
-    from another DataFrame rather than from files."""
+    from another DataFrame rather than from files.  ``rejected`` keeps malformed
+    lines in ``_corrupt_record`` for :func:`split_rejected` instead of failing."""
+    if rejected:
+        schema = with_corrupt_column(schema)
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
-    parsed: Column = F.from_csv(F.col(column), ddl,
-                                {"sep": sep, "quote": "\u0000", "mode": "FAILFAST"})
+    opts = {"sep": sep, "quote": "\u0000", "mode": "PERMISSIVE" if rejected else "FAILFAST"}
+    if rejected:
+        opts["columnNameOfCorruptRecord"] = CORRUPT
+    if timestamp_format:
+        opts["timestampFormat"] = timestamp_format
+    parsed: Column = F.from_csv(F.col(column), ddl, opts)
     return lines.select(parsed.alias("r")).select("r.*")
