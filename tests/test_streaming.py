@@ -70,7 +70,7 @@ def _batch_inputs(spark, base):
 @pytest.mark.parametrize("name", ["agg_view_5m", "join_view_forward", "join_view_backward",
                                   "session_join_view", "join_n_agg_view", "offset_frame",
                                   "join_n_agg_view2", "agg_view_5m_state",
-                                  "agg_view_5m_state_salted", "agg_view_5m_state_per_key",
+                                  "agg_view_5m_state_salted", "agg_view_5m_state_groups",
                                   "join_n_agg_view_state"])
 def test_stream_equals_batch(spark, dirs, name, tmp_path):
     d = _copy(spark, dirs, name)
@@ -84,8 +84,8 @@ def test_stream_equals_batch(spark, dirs, name, tmp_path):
             return stateful.agg_view(f, 5)
         if name == "agg_view_5m_state_salted":
             return stateful.agg_view(f, 5, salts=3)
-        if name == "agg_view_5m_state_per_key":
-            return stateful.agg_view(f, 5, groups=None)
+        if name == "agg_view_5m_state_groups":
+            return stateful.agg_view(f, 5, groups=200)
         if name == "join_n_agg_view_state":
             return stateful.join_n_agg_view(ops.join_view_backward(f, s))
         if name == "join_view_forward":
@@ -175,3 +175,115 @@ def test_late_row_metric_and_ntz_rowtime(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert ops.late_row_count(q) == 1        # 00:00 is behind 00:15; 00:19 is not
+
+
+def _twice(df, every=3):
+    """Some rows several times: repeated rows are rows of their own."""
+    again = df.filter(F.col("octets") % every == 0)
+    return df.unionByName(again).unionByName(again)
+
+
+@pytest.mark.parametrize("name", ["repeated", "bollinger", "count_total"])
+def test_native_frames_equal_batch(spark, dirs, name, tmp_path):
+    """Repeated rows, Bollinger bands and the sum check as streams."""
+    bf, _ = _batch_inputs(spark, dirs)
+
+    def build():
+        f, _ = _stream_inputs(spark, dirs)
+        if name == "bollinger":
+            return ops.bollinger_view(f, digits=4)
+        if name == "count_total":
+            return ops.count_total(ops.agg_view(f, 5))
+        return ops.agg_view(_twice(f), 5)
+
+    drop = F.year("eventtime") >= 2200
+    got = bounded.run_bounded(spark, build, {dirs + "/flows": _flush(dirs)[dirs + "/flows"]},
+                              out=str(tmp_path / "out"), checkpoint=str(tmp_path / "ckpt"), drop=drop)
+    if name == "count_total":
+        from tidemark.operators import meters
+        assert got.agg(F.sum("count_total")).first()[0] == meters.count_total(windows.agg_view(bf, 5)).first()[0]
+        return
+    want = windows.bollinger_view(bf, digits=4) if name == "bollinger" else windows.agg_view(_twice(bf), 5)
+    assert _rows(got, want.columns) == _rows(want, want.columns)
+    assert want.count() > 0
+
+
+def test_session_join_stream_with_hot_session_ties_and_nulls(spark, tmp_path):
+    """A hot session over many hours, session rows of equal times, numeric
+    cells, NULL keys, cells and values: the stream equals the batch."""
+    import time
+    flows = spark.range(3000).selectExpr(
+        "case when id % 7 = 0 then null when id % 3 < 2 then 'hot' else concat('k', id % 5) end sessionid",
+        "timestamp_seconds(1577836800 + id * 11) eventtime",
+        "case when id % 11 = 0 then null else 9007199254740993 + id end octets", "id % 4 packets")
+    sessions = spark.range(200).selectExpr(
+        "case when id % 9 = 0 then null when id % 2 = 0 then 'hot' else concat('k', id % 5) end sessionid",
+        "timestamp_seconds(1577836800 + (id div 3) * 3 * 150) eventtime",
+        "case when id % 13 = 0 then null else cast(id * 7 % 100 as int) end cellid")
+    end = "timestamp'2200-01-01 00:00:00'"
+    for k in range(4):  # four files a source, then the end of the input
+        lo, hi = 1577836800 + k * 9000, 1577836800 + (k + 1) * 9000
+        part = f"unix_seconds(eventtime) >= {lo} and unix_seconds(eventtime) < {hi}"
+        flows.where(part).coalesce(1).write.mode("append").parquet(str(tmp_path / "f"))
+        sessions.where(part).coalesce(1).write.mode("append").parquet(str(tmp_path / "s"))
+        time.sleep(1.1)
+    flows.limit(1).selectExpr("'end' sessionid", f"{end} eventtime", "octets", "packets").write.mode("append").parquet(str(tmp_path / "f"))
+    sessions.limit(1).selectExpr("'end' sessionid", f"{end} eventtime", "cast(null as int) cellid").write.mode("append").parquet(str(tmp_path / "s"))
+    read = spark.readStream.option("maxFilesPerTrigger", 1)
+    out = ops.session_join_view(read.schema(flows.schema).parquet(str(tmp_path / "f")),
+                                read.schema(sessions.schema).parquet(str(tmp_path / "s")))
+    assert dict(out.dtypes)["cellid"] == "int"
+    (out.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c"))
+     .trigger(availableNow=True).start(str(tmp_path / "o")).awaitTermination())
+    got = spark.read.parquet(str(tmp_path / "o"))
+    want = joins.session_join_view(flows, sessions)
+    assert _rows(got, want.columns) == _rows(want, want.columns)
+    assert want.where("sessionid = 'hot'").count() > 500
+
+
+def test_testwindow_v2_stream_equals_batch(spark, tmp_path):
+    import time
+    ev = table(spark, SF, "events").selectExpr(
+        "cast(ts as timestamp) event_time", "substring(event_type, 1, 4) c1")
+    ev = ev.withColumn("event_time", F.timestamp_seconds(F.lit(1577836800) + F.unix_seconds("event_time") % 3000))
+    ev = ev.unionByName(ev.limit(50)).orderBy("event_time")
+    n = 3000
+    for k in range(3):
+        ev.where(f"(unix_seconds(event_time) - 1577836800) div {n // 3} = {k}").coalesce(1) \
+            .write.mode("append").parquet(str(tmp_path / "t"))
+        time.sleep(1.1)
+    spark.sql("select timestamp'2200-01-01 00:00:00' event_time, 'end' c1").write.mode("append").parquet(str(tmp_path / "t"))
+    src = spark.readStream.option("maxFilesPerTrigger", 1).schema(ev.schema).parquet(str(tmp_path / "t"))
+    (ops.testwindow_v2(src, spread=3).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c"))
+     .trigger(availableNow=True).start(str(tmp_path / "o")).awaitTermination())
+    want = windows.testwindow_v2(ev)
+    assert _rows(spark.read.parquet(str(tmp_path / "o")), want.columns) == _rows(want, want.columns)
+    assert want.count() > 100
+
+
+def test_late_rows_come_out_and_running_rate(spark, tmp_path):
+    """One file per micro-batch: rows behind the watermark come out as rows;
+    the running average of per-second counts is one streaming query."""
+    import time
+    files = ["00:00:10 00:00:10 00:00:05", "00:01:00", "00:00:20 00:01:10", "00:00:30 00:03:00", "00:05:00"]
+    for k, times in enumerate(files):
+        rows = [(f"2020-01-01 {t}", 9007199254740993 + k) for t in times.split()]
+        spark.createDataFrame(rows, "t string, k long").selectExpr("cast(t as timestamp) eventtime", "k") \
+            .coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.1)
+    src = spark.readStream.schema("eventtime timestamp, k long").option("maxFilesPerTrigger", 1) \
+        .parquet(str(tmp_path / "in"))
+
+    def run(df, name):
+        (df.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / f"c-{name}"))
+         .trigger(availableNow=True).start(str(tmp_path / name)).awaitTermination())
+        return spark.read.parquet(str(tmp_path / name))
+    late = run(stateful.late_rows(src, groups=3), "late")
+    # the watermark is 00:30 when 00:20 comes and 00:40 when 00:30 comes
+    assert sorted((r.eventtime.strftime("%M:%S"), r.k) for r in late.collect()) == \
+        [("00:20", 9007199254740995), ("00:30", 9007199254740996)]
+    per = run(ops.stream_rate(src, arrival="eventtime", delay="30 seconds"), "per")
+    rate = run(stateful.running_rate(spark.readStream.schema(per.schema).parquet(str(tmp_path / "per"))), "rate")
+    got = [(r.rowtime.strftime("%M:%S"), r.rps, r.cumulative_rows, r.avg_rps) for r in rate.orderBy("rowtime").collect()]
+    assert got[:2] == [("00:05", 1, 1, 1.0), ("00:10", 2, 3, 1.5)]
+    assert [g[2] for g in got] == sorted(g[2] for g in got) and got[-1][0] == "03:00"

@@ -81,6 +81,8 @@ def latest_join(flows: DataFrame, sessions: DataFrame, key: str = "sessionid",
     t = micros(timeout)
     c = micros(chunk) if chunk else max(4 * t, MICROS["day"])
     fcols = flows.columns
+    # as in any equi join, a NULL key matches nothing
+    flows, sessions = flows.filter(F.col(key).isNotNull()), sessions.filter(F.col(key).isNotNull())
     # flows stay in their own chunk; session rows are also copied into the
     # following chunks one timeout can reach
     f = flows.select(*fcols, F.lit(None).cast(sessions.schema[value].dataType).alias("_val"),

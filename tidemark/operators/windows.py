@@ -74,6 +74,12 @@ def bollinger_view(projection: DataFrame, minutes: int = 60, width: float = 2.0,
                           (exact * exact).cast("decimal(38,0)").alias("_vv"))
     stats = {"_n": ("count", "octets"), "_s": ("sum", "_v"), "_ss": ("sum", "_vv")}
     out = range_frame(x, ["sessionid"], "eventtime", stats, minutes * MICROS["minute"], **plan)
+    return bands(out, width, digits)
+
+
+def bands(out: DataFrame, width: float, digits: int | None) -> DataFrame:
+    """The bands of rows that hold their frame's count ``_n``, sum ``_s`` and
+    sum of squares ``_ss``."""
     n, total = F.col("_n").cast("decimal(19,0)"), F.col("_s").cast("decimal(38,0)")
     # n * sum of squares - sum^2, exact
     spread = (n * F.col("_ss") - total.cast("decimal(30,0)") * total.cast("decimal(30,0)")).cast("double")

@@ -52,7 +52,10 @@ BATCH: dict[str, View] = {
 STREAM: dict[str, View] = {
     "parse_view": lambda f, s: projection.parse_view(f),
     "projection_view": lambda f, s: _proj(f),
+    "sessions_step_2": lambda f, s: _sess(s),
     "t_sort": lambda f, s: ops.held_sort(_proj(f)),
+    "late_rows": lambda f, s: stateful.late_rows(_proj(f)),
+    "bollinger_view": lambda f, s: ops.bollinger_view(_proj(f)),
     **{name: (lambda m: lambda f, s: stateful.agg_view(_proj(f), m))(m)
        for name, m in windows.AGG_VIEW_WIDTHS.items()},
     "join_view_forward": lambda f, s: ops.join_view_forward(_proj(f), _sess(s)),
@@ -60,6 +63,8 @@ STREAM: dict[str, View] = {
     "session_join_view": lambda f, s: ops.session_join_view(_proj(f), _sess(s)),
     "join_n_agg_view": lambda f, s: stateful.join_n_agg_view(
         ops.join_view_backward(_proj(f), _sess(s))),
+    "join_n_agg_view_forward": lambda f, s: stateful.join_n_agg_view(
+        ops.join_view_forward(_proj(f), _sess(s))),
     "join_n_agg_view2": lambda f, s: ops.join_n_agg_view2(
         ops.join_view_backward(_proj(f), _sess(s))),
     "flows_agg_step_1": lambda f, s: ops.flows_agg_step_1(projection.flows_ingestion(f)),

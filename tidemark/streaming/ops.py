@@ -7,8 +7,8 @@ keeps each side's rows until the watermark passes the frame, and the
 aggregation emits a row once its frame can no longer change.  The same holds
 for the interval joins and the latest-row join.
 
-Each current row carries an id (``_rid``) so that identical rows stay apart
-in the per-row aggregation.
+Identical rows are counted, not given ids: an id drawn at random would
+change when a lost task is run again.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.frames import MICROS, micros
+from ..functions.scalars import floor_div
 
 DEFAULT_DELAY = "30 seconds"      # the reorder bound of the upstream pipelines
 
@@ -51,25 +52,32 @@ def late_row_count(query) -> int:
     return total
 
 
-def with_row_id(df: DataFrame) -> DataFrame:
-    return df.withColumn("_rid", F.expr("uuid()"))
+def _us(col: str) -> F.Column:
+    return F.unix_micros(F.col(col))
 
 
 def stream_interval_join(left: DataFrame, right: DataFrame, key: str, time: str, lower,
-                         upper, right_cols: list[str], delay: str = DEFAULT_DELAY
-                         ) -> DataFrame:
+                         upper, right_cols: list[str], delay: str = DEFAULT_DELAY,
+                         bucket=None) -> DataFrame:
     """Stream-stream inner join: ``left.time BETWEEN right.time + lower AND
-    right.time + upper`` on ``key``; both sides watermarked by ``delay``."""
+    right.time + upper`` on ``key``; both sides watermarked by ``delay``.
+
+    The join key carries a time bucket (as wide as the bound), and right rows
+    are copied to the two buckets the bound reaches, so a hot key is split by
+    time and its rows meet only near ones."""
     lo, hi = micros(lower), micros(upper)
-    l = as_rowtime(left, time, delay)
+    b = micros(bucket) if bucket else max(hi - lo, MICROS["second"])
+    l = as_rowtime(left, time, delay).withColumn("_b", floor_div(_us(time), b))
     r = as_rowtime(right.select(F.col(key).alias("_rkey"), F.col(time).alias("_rtime"),
                                 *right_cols), "_rtime", delay)
-    cond = ((F.col(key) == F.col("_rkey"))
+    r = r.withColumn("_rb", F.explode(F.sequence(floor_div(_us("_rtime") + lo, b),
+                                                 floor_div(_us("_rtime") + hi, b))))
+    cond = ((F.col(key) == F.col("_rkey")) & (F.col("_b") == F.col("_rb"))
             & (F.col(time) >= F.col("_rtime") + _interval(lo) if lo >= 0 else
                F.col(time) >= F.col("_rtime") - _interval(-lo))
             & (F.col(time) <= F.col("_rtime") + _interval(hi) if hi >= 0 else
                F.col(time) <= F.col("_rtime") - _interval(-hi)))
-    return l.join(r, cond, "inner").drop("_rkey")
+    return l.join(r, cond, "inner").drop("_rkey", "_b", "_rb")
 
 
 def join_view_forward(projection: DataFrame, sessions: DataFrame, minutes: int = 5,
@@ -87,35 +95,59 @@ def join_view_backward(projection: DataFrame, sessions: DataFrame, minutes: int
 
 
 def session_join_view(projection: DataFrame, sessions: DataFrame, timeout=MICROS["hour"],
-                      delay: str = DEFAULT_DELAY) -> DataFrame:
-    """Latest session row within ``timeout``: the interval join over the
-    timeout, then the maximum (time, cell) per flow row."""
-    t = micros(timeout)
-    f = with_row_id(projection)
-    j = stream_interval_join(f, sessions, "sessionid", "eventtime", 0, t, ["cellid"], delay)
-    best = F.max(F.struct(F.col("_rtime").alias("t"), F.col("cellid").alias("c")))
-    g = j.groupBy("eventtime", "_rid", "sessionid", "octets", "packets").agg(best.alias("_b"))
-    return g.select("sessionid", "eventtime", F.col("_b.c").alias("cellid"), "octets",
-                    "packets")
+                      delay: str = DEFAULT_DELAY, groups: int | None = None) -> DataFrame:
+    """Latest session row within ``timeout``, carried forward: see
+    :func:`.stateful.latest_join`."""
+    from .stateful import latest_join
+    j = latest_join(projection, sessions, timeout=timeout, delay=delay, groups=groups)
+    return j.select("sessionid", "eventtime", "cellid", "octets", "packets")
+
 
+#: name -> (aggregate, the frame value's expression, whether repeated rows repeat it)
+STATS = {"minOctets": (F.min, None, False), "maxOctets": (F.max, None, False),
+         "sumOctets": (F.sum, None, True), "countOctets": (F.count, None, True)}
 
-STATS = {"minOctets": F.min, "maxOctets": F.max, "sumOctets": F.sum, "countOctets": F.count}
+
+def _frame_join(df: DataFrame, key: str, time: str, value: str, reach: int, delay: str,
+                member, stats: dict) -> DataFrame:
+    """Every row with the aggregates of its frame: an interval self-join on
+    (key, time bucket), then an aggregation per distinct row.
+
+    ``member`` is the frame's condition on the times; a row equal to the current
+    one is always paired too.  ``m`` equal rows therefore count each other
+    ``m * m`` times, which gives their number without an id per row (an id
+    would not survive a recomputed task), and each frame is counted ``m`` times."""
+    cur = as_rowtime(df.select(key, time, value), time, delay) \
+        .withColumn("_b", floor_div(_us(time), reach))
+    frame = as_rowtime(df.select(F.col(key).alias("_fk"), F.col(time).alias("_ft"),
+                                 F.col(value).alias("_fv")), "_ft", delay)
+    frame = frame.withColumn("_fb", F.explode(F.sequence(
+        floor_div(_us("_ft"), reach), floor_div(_us("_ft") + reach, reach))))
+    same = (F.col("_ft") == F.col(time)) & F.col("_fv").eqNullSafe(F.col(value))
+    # the plain range on the two times lets the join evict its state
+    cond = (F.col(key).eqNullSafe(F.col("_fk")) & (F.col("_b") == F.col("_fb"))
+            & (F.col("_ft") >= F.col(time) - _interval(reach)) & (F.col("_ft") <= F.col(time))
+            & (member | same))
+    g = cur.join(frame, cond, "inner").groupBy(time, key, value).agg(
+        F.count(F.when(same, F.lit(1))).alias("_mm"),
+        *[f(F.when(member, F.col("_fv") if e is None else e)).alias(n)
+          for n, (f, e, _) in stats.items()])
+    m = F.sqrt(F.col("_mm")).cast("bigint")
+    g = g.select(key, value, time, m.alias("_m"), *stats)
+    out = g.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_m"))))
+    return out.select(key, value, time, *[
+        F.expr(f"{n} div _m").alias(n) if scaled else F.col(n)
+        for n, (_, _, scaled) in stats.items()])
 
 
 def stream_over(df: DataFrame, key: str, time: str = "eventtime", value: str = "octets",
-                preceding=60 * MICROS["minute"], delay: str = DEFAULT_DELAY) -> DataFrame:
+                preceding=60 * MICROS["minute"], delay: str = DEFAULT_DELAY,
+                stats: dict | None = None) -> DataFrame:
     """``min/max/sum/count(value) OVER (PARTITION BY key ORDER BY time RANGE
     BETWEEN preceding PRECEDING AND CURRENT ROW)`` on a stream."""
     p = micros(preceding)
-    cur = as_rowtime(with_row_id(df.select(key, time, value)), time, delay)
-    frame = as_rowtime(df.select(F.col(key).alias("_fk"), F.col(time).alias("_ft"),
-                                 F.col(value).alias("_fv")), "_ft", delay)
-    cond = ((F.col(key) == F.col("_fk")) & (F.col("_ft") >= F.col(time) - _interval(p))
-            & (F.col("_ft") <= F.col(time)))
-    j = cur.join(frame, cond, "inner")
-    g = j.groupBy(time, "_rid", key, value).agg(*[f(F.col("_fv")).alias(n)
-                                                  for n, f in STATS.items()])
-    return g.select(key, value, time, *STATS)
+    member = (F.col("_ft") >= F.col(time) - _interval(p)) & (F.col("_ft") <= F.col(time))
+    return _frame_join(df, key, time, value, p, delay, member, stats or STATS)
 
 
 def stream_offset_over(df: DataFrame, key: str, time: str = "eventtime",
@@ -123,23 +155,69 @@ def stream_offset_over(df: DataFrame, key: str, time: str = "eventtime",
                        unit: str = "minute", delay: str = DEFAULT_DELAY) -> DataFrame:
     """Offset frame on a stream: ordered by ``date_trunc(unit, time)``, from
     ``preceding`` before the row's bucket up to (not including) that bucket.
-    A left outer join keeps rows whose frame is empty (count 0, NULL stats).
-
-    The join needs a plain range on the two time columns to evict state
-    (``r.t`` in ``[l.t - preceding - unit, l.t]``); the exact bucket bounds
-    are further predicates."""
+    Rows whose frame is empty stay (count 0, NULL stats)."""
     p, u = micros(preceding), MICROS[unit]
-    cur = as_rowtime(with_row_id(df.select(key, time, value)), time, delay)
-    frame = as_rowtime(df.select(F.col(key).alias("_fk"), F.col(time).alias("_ft"),
-                                 F.col(value).alias("_fv")), "_ft", delay)
     lb = F.date_trunc(unit, F.col(time))
-    cond = ((F.col(key) == F.col("_fk"))
-            & (F.col("_ft") >= F.col(time) - _interval(p + u)) & (F.col("_ft") <= F.col(time))
-            & (F.col("_ft") >= lb - _interval(p)) & (F.col("_ft") < lb))
-    j = cur.join(frame, cond, "leftOuter")
-    g = j.groupBy(time, "_rid", key, value).agg(*[f(F.col("_fv")).alias(n)
-                                                  for n, f in STATS.items()])
-    return g.select(key, value, time, *STATS)
+    member = (F.col("_ft") >= lb - _interval(p)) & (F.col("_ft") < lb)
+    return _frame_join(df, key, time, value, p + u, delay, member, STATS)
+
+
+def bollinger_view(projection: DataFrame, minutes: int = 60, width: float = 2.0,
+                   digits: int | None = None, delay: str = DEFAULT_DELAY) -> DataFrame:
+    """Bollinger bands on a stream, from the exact count, sum and sum of
+    squares of each frame (the bands do not change when all three are counted
+    several times)."""
+    from ..operators.windows import bands
+    exact = F.col("_fv").cast("decimal(19,0)")
+    stats = {"_n": (F.count, None, False), "_s": (F.sum, exact, False),
+             "_ss": (F.sum, (exact * exact).cast("decimal(38,0)"), False)}
+    out = stream_over(projection, "sessionid", preceding=minutes * MICROS["minute"],
+                      delay=delay, stats=stats)
+    return bands(out, width, digits)
+
+
+def testwindow_v2(testwindow: DataFrame, minutes: int = 2, delay: str = DEFAULT_DELAY,
+                  spread: int = 16) -> DataFrame:
+    """The unkeyed minute frame on a stream: two chained native aggregations.
+
+    The first reduces each minute to partials and holds its rows, in ``spread``
+    parts, so that a minute is not one task's.  Partials alone go to all parts;
+    the second merges them over the sliding window of ``minutes`` and the row's
+    minute, where the window's last minute is that of the held rows.  The
+    frames of a minute are let go when the watermark passes it."""
+    from ..functions.scalars import time_of_day
+    x = as_rowtime(testwindow, "event_time", delay)
+    part = F.pmod(F.xxhash64("event_time", "c1"), F.lit(spread)).cast("int")
+    per = x.groupBy(F.window("event_time", "1 minute"), part.alias("_from")).agg(
+        F.min("event_time").alias("_min_et"), F.max("event_time").alias("_max_et"),
+        F.min("c1").alias("min_c1"), F.max("c1").alias("max_c1"), F.count(F.lit(1)).alias("cnt"),
+        F.collect_list(F.struct("event_time", "c1")).alias("_held"))
+    per = per.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+    per = per.withColumn("_held", F.when(F.col("_part") == F.col("_from"), F.col("_held"))) \
+        .withColumn("_end", F.col("window.end"))
+    over = F.window("window", f"{minutes + 1} minutes", "1 minute")
+    out = per.groupBy(over.alias("_over"), "_part").agg(
+        F.min("_min_et").alias("_min_et"), F.max("_max_et").alias("_max_et"),
+        F.min("min_c1").alias("min_c1"), F.max("max_c1").alias("max_c1"),
+        F.sum("cnt").alias("cnt"),
+        F.collect_list(F.when(F.col("_held").isNotNull(), F.struct("_end", "_held"))).alias("_lists"))
+    own = F.flatten(F.transform(F.filter("_lists", lambda r: r["_end"] == F.col("_over.end")),
+                                lambda r: r["_held"]))
+    out = out.withColumn("_row", F.explode(own))
+    return out.select(time_of_day("_row.event_time").alias("event_time"), F.col("_row.c1").alias("c1"),
+                      time_of_day("_min_et").alias("min_et"), time_of_day("_max_et").alias("max_et"),
+                      "min_c1", "max_c1", "cnt")
+
+
+def count_total(agg: DataFrame, time: str = "eventtime", width: str = "1 minute",
+                stats=tuple(STATS)) -> DataFrame:
+    """The non-NULL counts of the statistics columns per ``width`` of event
+    time; their sum over a bounded run is the batch ``count_total``."""
+    total = None
+    for c in stats:
+        total = F.count(c) if total is None else total + F.count(c)
+    out = agg.groupBy(F.window(time, width)).agg(total.alias("count_total"))
+    return out.select(F.col("window.start").alias(time), "count_total")
 
 
 def flows_agg_step_1(ingested: DataFrame, delay: str = DEFAULT_DELAY) -> DataFrame:

@@ -21,14 +21,23 @@ import json
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..functions.frames import MICROS, micros
+from ..functions.scalars import floor_div
 from .ops import DEFAULT_DELAY, as_rowtime
 
+
+def _groups(df: DataFrame, groups: int | None) -> int:
+    """Hash groups of a stateful operator: eight for each shuffle partition, so
+    that state spreads as far as the cluster is configured to.  A query that is
+    restarted over its checkpoint must keep the number it began with."""
+    return groups or 8 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
 _I64_MAX = np.iinfo(np.int64).max
 _I64_MIN = np.iinfo(np.int64).min
 
@@ -141,20 +150,20 @@ def _make_fn(key: str, value: str, time: str, p: int, out_cols: list[str]):
 
 def stream_over_state(df: DataFrame, key: str, time: str = "eventtime", value: str = "octets",
                       preceding=60 * MICROS["minute"], delay: str = DEFAULT_DELAY,
-                      groups: int | None = 64, salts: int = 1) -> DataFrame:
+                      groups: int | None = None, salts: int = 1) -> DataFrame:
     """min/max/sum/count of ``value`` over ``[time - preceding, time]`` per
     ``key`` on a stream (append mode), one output row per input row.
 
     Keys are processed in ``groups`` hash groups (one state and one Python
-    call per group and batch, vectorised over its keys); ``groups=None``
-    keeps one group per key.  ``salts`` splits each group further: frame
+    call per group and batch, vectorised over its keys); the default follows
+    the shuffle partitions.  ``salts`` splits each group further: frame
     members are copied to every salt, each salt emits only its own rows."""
     p = micros(preceding)
     x = as_rowtime(df.select(key, time, value), time, delay)
-    gkey = (F.pmod(F.xxhash64(key), F.lit(groups)) if groups else F.col(key).cast("string"))
+    gkey = F.pmod(F.xxhash64(key), F.lit(_groups(df, groups)))
     x = x.withColumn("_g", gkey.cast("string"))
     if salts > 1:
-        mine = F.pmod(F.xxhash64(key, time, value, F.expr("uuid()")), F.lit(salts))
+        mine = F.pmod(F.xxhash64(key, time, value), F.lit(salts))
         x = x.withColumn("_mine", mine).withColumn("_salt", F.explode(F.sequence(
             F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
         x = x.withColumn("_own", F.col("_salt") == F.col("_mine")).drop("_mine")
@@ -173,7 +182,7 @@ def stream_over_state(df: DataFrame, key: str, time: str = "eventtime", value: s
 
 
 def agg_view(projection: DataFrame, minutes: int = 60, delay: str = DEFAULT_DELAY,
-             groups: int | None = 64, salts: int = 1) -> DataFrame:
+             groups: int | None = None, salts: int = 1) -> DataFrame:
     out = stream_over_state(projection, "sessionid", preceding=minutes * MICROS["minute"],
                             delay=delay, groups=groups, salts=salts)
     return out.select("sessionid", "octets", "eventtime", "minOctets", "maxOctets",
@@ -181,8 +190,145 @@ def agg_view(projection: DataFrame, minutes: int = 60, delay: str = DEFAULT_DELA
 
 
 def join_n_agg_view(joined: DataFrame, minutes: int = 60, delay: str = DEFAULT_DELAY,
-                    groups: int | None = 64, salts: int = 1) -> DataFrame:
+                    groups: int | None = None, salts: int = 1) -> DataFrame:
     out = stream_over_state(joined, "cellid", preceding=minutes * MICROS["minute"],
                             delay=delay, groups=groups, salts=salts)
     return out.select("cellid", "octets", "eventtime", "minOctets", "maxOctets",
                       "sumOctets", "countOctets")
+
+
+def _as_text(df: DataFrame, *apart: str) -> list:
+    """Columns as text on their way through pandas, where a whole number next
+    to a NULL would become a float."""
+    return [F.col(c) if c in apart else F.col(c).cast("string").alias(c) for c in df.columns]
+
+
+def _as_typed(out: DataFrame, fields: list) -> DataFrame:
+    return out.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in fields])
+
+
+def _text_schema(names: list[str], time: str) -> T.StructType:
+    return T.StructType([T.StructField(c, T.TimestampType() if c == time else T.StringType())
+                         for c in names])
+
+
+def _carry(flows: list[str], val: str, key: str, time: str, timeout: int):
+    """Rows of a group in (time, sessions first, value) order; each flow that the
+    watermark has passed takes the last session row of its key before it."""
+    def fn(grp, pdfs, state):
+        parts = list(pdfs)
+        if state.exists:
+            with pa.ipc.open_stream(bytes(state.get[0])) as r:
+                parts.insert(0, r.read_pandas())
+        x = pd.concat(parts, ignore_index=True) if parts else None
+        if x is None or not len(x):
+            return
+        us = x[time].astype("datetime64[us]").astype("int64").to_numpy()
+        wm = state.getCurrentWatermarkMs() * 1000
+        x = x.assign(_us=us).sort_values(["_us", "_is_flow", "_rank"], na_position="first",
+                                         kind="stable", ignore_index=True)
+        is_flow, us = x["_is_flow"].to_numpy(bool), x["_us"].to_numpy()
+        place = pd.Series(np.where(is_flow, np.nan, np.arange(len(x))))
+        last = place.groupby(x[key].to_numpy(), dropna=True).ffill().to_numpy()
+        ready = is_flow & (us < wm)
+        hit = ready & ~np.isnan(last)
+        at = last[hit].astype(np.int64)
+        fresh = us[hit] - us[at] <= timeout
+        rows = np.nonzero(hit)[0][fresh]
+        keep = np.where(is_flow, us >= wm, us >= wm - timeout)
+        rest = x[keep]
+        if len(rest):
+            sink = pa.BufferOutputStream()
+            table = pa.Table.from_pandas(rest.drop(columns=["_us"]), preserve_index=False)
+            with pa.ipc.new_stream(sink, table.schema) as w:
+                w.write_table(table)
+            state.update((sink.getvalue().to_pybytes(),))
+            waiting = us[keep & is_flow]
+            nxt = waiting.min() if len(waiting) else us[keep].max() + timeout
+            state.setTimeoutTimestamp(max(int(nxt // 1000) + 1, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
+        if len(rows):
+            out = x.iloc[rows][flows].reset_index(drop=True)
+            out[val] = x["_val"].to_numpy()[at[fresh]]
+            yield out
+    return fn
+
+
+def latest_join(flows: DataFrame, sessions: DataFrame, key: str = "sessionid",
+                time: str = "eventtime", value: str = "cellid", timeout=MICROS["hour"],
+                delay: str = DEFAULT_DELAY, groups: int | None = None) -> DataFrame:
+    """Flows with the latest session row of their key at or before them, at most
+    ``timeout`` old; no pairs are built.  As in batch the last session row is
+    carried over the union of both streams.  State is held per hash group of
+    (key, time chunk), the chunk as long as the timeout, with session rows
+    copied to the next chunk: a hot key's hours lie in different groups.  Flows
+    without a key or time match nothing."""
+    t = micros(timeout)
+    f = as_rowtime(flows, time, delay)
+    s = as_rowtime(sessions.select(key, time, F.col(value).alias("_rank")), time, delay)
+    chunk = floor_div(F.unix_micros(F.col(time)), t)
+    f = f.select(*_as_text(flows, time), F.lit(None).cast("string").alias("_val"),
+                 F.lit(None).cast(sessions.schema[value].dataType).alias("_rank"),
+                 F.lit(True).alias("_is_flow"), chunk.alias("_chunk"))
+    s = s.select(*[F.col(c) if c == time else F.col(c).cast("string").alias(c) if c == key
+                   else F.lit(None).cast("string").alias(c) for c in flows.columns],
+                 F.col("_rank").cast("string").alias("_val"), "_rank", F.lit(False).alias("_is_flow"),
+                 F.explode(F.sequence(chunk, chunk + 1)).alias("_chunk"))
+    x = f.unionByName(s).filter(F.col(key).isNotNull() & F.col(time).isNotNull())
+    g = F.pmod(F.xxhash64(key, "_chunk"), F.lit(_groups(flows, groups)))
+    # the carry runs per key and chunk: a session row of a chunk's copy is no other chunk's
+    x = x.withColumn("_at", F.concat_ws("/", F.col("_chunk").cast("string"), F.col(key)))
+    names = flows.columns
+    out = x.withColumn("_g", g.cast("string")).groupBy("_g").applyInPandasWithState(
+        _carry(names, value, "_at", time, t), _text_schema([*names, value], time), "rows binary",
+        "append", GroupStateTimeout.EventTimeTimeout)
+    return _as_typed(out, [*[f.schema[c] if c == time else flows.schema[c] for c in names],
+                           sessions.schema[value]])
+
+
+def late_rows(df: DataFrame, time: str = "eventtime", bound: str = DEFAULT_DELAY,
+              groups: int | None = None) -> DataFrame:
+    """The late rows of a stream, as rows: those whose time lies behind the
+    watermark (the latest event time of earlier micro-batches less ``bound``)
+    when they come.  No state is kept; a stateful operator without a timeout
+    sees late rows and knows the watermark.  Every one of them is late by the
+    batch rule too; that rule also knows the rows before it in its own batch."""
+    def fn(grp, pdfs, state):
+        wm = state.getCurrentWatermarkMs() * 1000
+        for pdf in pdfs:
+            us = pdf[time].astype("datetime64[us]").astype("int64")
+            yield pdf.loc[pdf[time].notna() & (us < wm), names]
+    names = df.columns
+    x = as_rowtime(df, time, bound)
+    fields = x.schema.fields
+    x = x.select(*_as_text(x, time))
+    g = F.pmod(F.xxhash64(*names), F.lit(_groups(df, groups))).cast("string")
+    out = x.withColumn("_g", g).groupBy("_g").applyInPandasWithState(
+        fn, _text_schema(names, time), "none int", "append", GroupStateTimeout.NoTimeout)
+    return _as_typed(out, fields)
+
+
+def running_rate(per_second: DataFrame) -> DataFrame:
+    """Cumulative rows and the average of all per-second counts so far, over
+    the named stream that a pump of :func:`.ops.stream_rate` writes (Spark takes
+    no such operator after an aggregation in the same query): two numbers of
+    state.  Seconds come in order, because a second is let go when the
+    watermark passes it and a reader without a file limit sees a pump's batches
+    whole (set no ``maxFilesPerTrigger`` here).  One row a second is all that
+    meets in the one group."""
+    def fn(grp, pdfs, state):
+        total, n = state.get if state.exists else (0, 0)
+        rows = pd.concat(list(pdfs), ignore_index=True)
+        if not len(rows):
+            return
+        rows = rows.sort_values("rowtime", ignore_index=True)
+        rows["cumulative_rows"] = total + rows["rps"].cumsum()
+        rows["avg_rps"] = rows["cumulative_rows"] / (n + np.arange(1, len(rows) + 1))
+        state.update((int(rows["cumulative_rows"].iloc[-1]), n + len(rows)))
+        yield rows[names]
+    names = ["rowtime", "rps", "cumulative_rows", "rowtime_low", "rowtime_high", "avg_rps"]
+    return per_second.withColumn("_g", F.lit("all")).groupBy("_g").applyInPandasWithState(
+        fn, "rowtime timestamp, rps long, cumulative_rows long, rowtime_low timestamp, "
+        "rowtime_high timestamp, avg_rps double", "total long, n long", "append",
+        GroupStateTimeout.NoTimeout)
