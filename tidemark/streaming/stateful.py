@@ -33,10 +33,10 @@ from .ops import DEFAULT_DELAY, as_rowtime
 
 
 def _groups(df: DataFrame, groups: int | None) -> int:
-    """Hash groups of a stateful operator: eight for each shuffle partition, so
+    """Hash groups of a stateful operator: four for each shuffle partition, so
     that state spreads as far as the cluster is configured to.  A query that is
     restarted over its checkpoint must keep the number it began with."""
-    return groups or 8 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return groups or 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 _I64_MAX = np.iinfo(np.int64).max
 _I64_MIN = np.iinfo(np.int64).min
