@@ -112,3 +112,22 @@ def substrings(rows, size=50):
         spans = sum(1 for k in range(len(gone)) if gone[k] and (k == 0 or not gone[k - 1]))
         out[i] = (len(b), sum(gone), spans, sha(bytes(x for x, g in zip(b, gone) if not g)))
     return out
+
+
+def repeated_passages(rows, words=50):
+    """{id: numbers of the lines} in runs of over ``words`` words of which an earlier
+    document, or the same one before the run, holds a copy; rows of distinct ids."""
+    seen, out = {}, collections.defaultdict(set)
+    for i, text in sorted((r for r in rows if r[1] is not None)):
+        lines = text.split("\n")
+        counts = [len(re.findall(r"[^\x20\x09-\x0D]+", x)) for x in lines]
+        for a in range(len(lines)):
+            for b in range(a, len(lines)):
+                # longer runs are unions of these, as they hold one from each edge
+                if sum(counts[a:b + 1]) > words:
+                    first = seen.setdefault("\n".join(lines[a:b + 1]), (i, b))
+                    if counts[a] and counts[b] and (first[0] != i or a > first[1]):
+                        out[i].update(range(a, b + 1))
+                if sum(counts[a:b + 1]) > 4 * words:
+                    break
+    return out

@@ -329,6 +329,34 @@ def test_line_chunks_odd(odd):
     assert line_chunks.report(odd.where("false")).count() == 0
 
 
+def test_line_passages_all_found(ready, docs):
+    """Passages of 51 words and more, in one line or several, in texts of one line
+    and between other lines, against all runs of lines."""
+    rng = np.random.default_rng(7)
+
+    def line(n):
+        return " ".join(rng.choice(list("abcdefghij"), n)) + f" {rng.integers(1 << 40)}"
+    planted = [[line(n) for n in sizes] for sizes in ((60,), (49,), (50,), (30, 30), (3, 60, 2), (9,) * 8, (20, 20), (25, 0, 30))]
+    rows = [(100 * k + i, "\n".join([line(12) for _ in range(i % 3)] + p + [line(12) for _ in range(i % 2)]))
+            for i in range(6) for k, p in enumerate(planted)]
+    rows += [(9_000, "\n".join(["x"] * 300)), (9_001, line(70) + "\n\n" + line(70)), (9_002, None), (9_003, "")]
+    rows += [(10_000 + i, t) for i, t in rows_of(docs)]
+    out = {r.doc_id: r for r in line_chunks.report(ready.createDataFrame(rows, "doc_id long, text string"), passages=True).collect()}
+    by_chunks = {r.doc_id: r.kept_text for r in line_chunks.report(ready.createDataFrame(rows, "doc_id long, text string")).collect()}
+    gone = brute.repeated_passages(rows)
+    assert sum(map(len, gone.values())) > 100
+    for i, text in rows:
+        lines = (text or "").split("\n")
+        left = [x for k, x in enumerate(lines) if k not in gone.get(i, ())]
+        assert out[i].removed_lines >= len(gone.get(i, ()))
+        kept = iter(left)
+        assert text is None or all(x in kept for x in out[i].kept_text.split("\n")) or out[i].kept_text == ""
+        if by_chunks[i] == text:
+            assert out[i].kept_text == (text and "\n".join(left))
+    # no line is lost from all documents
+    assert {x for _, t in rows for x in (t or "").split("\n") if x} == {x for r in out.values() for x in (r.kept_text or "").split("\n") if x}
+
+
 # -- op9
 
 def test_pii_against_plain_patterns(ready, docs):

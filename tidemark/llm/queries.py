@@ -40,7 +40,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_chunks.report(documents(prepare(spark), sf_dir))
+    return line_chunks.report(documents(prepare(spark), sf_dir), passages=True)
 
 
 def op8_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
