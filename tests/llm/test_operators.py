@@ -6,6 +6,7 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -173,6 +174,29 @@ def test_signature_trees_near_copies(ready):
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in sigtree.link(df, block=block).collect()} == want
 
 
+def test_signature_trees_tied_pairs_in_any_order():
+    """A pair of shared rows is checked in one block, also where sets tie and
+    each block sees its rows in another order."""
+    rng = np.random.default_rng(4)
+    base = rng.choice([f"t{i}" for i in range(4000)], 120).tolist()
+    texts, least = [], None
+    while len(texts) < 4:
+        t = list(base)
+        t[int(rng.integers(120))] = f"u{rng.integers(1 << 30)}"
+        raw = " ".join(t).encode()
+        first = grams.shingle_sets(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), 5)[0][0]
+        least = first if least is None else least
+        if first == least:
+            texts.append(" ".join(t))
+    for a, b in ((0, 1), (1, 2), (2, 3), (0, 3)):
+        for homes in ((0, 1), (1, 0), (0, 0), (1, 1)):
+            rows = [{"token": 5, "doc": d, "comp": d, "home": h, "shared": True, "text": texts[d]} for d, h in zip((a, b), homes)]
+            for orders in ((1, 1), (1, -1), (-1, 1), (-1, -1)):
+                batches = [pa.RecordBatch.from_pylist([{**r, "block": k} for r in rows[::o]]) for k, o in enumerate(orders)]
+                found = [set(e.values()) for out in sigtree._linker(5)(iter(batches)) for e in out.to_pylist()]
+                assert found == [{a, b}], (a, b, homes, orders)
+
+
 def test_signature_trees_odd(odd):
     out = sigtree.link(odd).collect()
     assert len(out) == odd.count()

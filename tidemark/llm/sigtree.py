@@ -146,10 +146,11 @@ def _linker(words: int):
             for part in g.select(["text"]).to_batches():
                 for _, data, offs in grams.slices(part):
                     sets += grams.shingle_sets(data, offs, words)
-            order = np.array(sorted(range(len(sets)), key=lambda i: (len(sets[i]), int(sets[i][0]) if len(sets[i]) else 0)))
+            doc = g["doc"].to_numpy()
+            order = np.array(sorted(range(len(sets)), key=lambda i: (len(sets[i]), int(sets[i][0]) if len(sets[i]) else 0, doc[i])))
             sets = [sets[i] for i in order if len(sets[i])]
             order = order[len(order) - len(sets):]
-            comp = comp[order]
+            comp, doc = comp[order], doc[order]
             if len(sets) < 2:
                 continue
             block = g["block"][0].as_py()
@@ -158,7 +159,8 @@ def _linker(words: int):
             number = {c: k for k, c in enumerate(sorted(set(comp.tolist())))}
             at = np.array([number[c] for c in comp.tolist()])
             i, j = Tree(sets, at).pairs() if len(sets) > 2 else (np.array([0]), np.array([1]))
-            once = ~(shared[i] & shared[j]) | (home[np.minimum(i, j)] == block)
+            # the home of the smaller id: the same in every block, in whichever order rows arrive
+            once = ~(shared[i] & shared[j]) | (home[np.where(doc[i] <= doc[j], i, j)] == block)
             forest, found = Forest(len(number)), []
             for a, b in zip(i[once].tolist(), j[once].tolist()):
                 if forest.find(at[a]) != forest.find(at[b]) and similar(sets[a], sets[b]):
