@@ -3,6 +3,10 @@
 Each stage is ``(name, function)``; a function takes (spark, docs, sf_dir) and
 returns a DataFrame, which is written and read again as the next one's docs.
 All but the last return the columns of ``documents``.
+
+Toxicity and contamination are judged and applied row by row, never by doc_id:
+a row without an id goes if its own text is flagged, and of rows that share an id
+only the flagged ones go.
 """
 
 from __future__ import annotations
@@ -10,14 +14,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import line_chunks, mixing, sigtree, suffix_contam, toxicity
-from tidemark.llm.staging import documents, prepare, staged, without
+from tidemark.llm.staging import documents, nested, prepare, staged, unnested
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain calls toxic go."""
     prepare(spark)
-    judged = toxicity.report(docs, documents(spark, sf_dir, "labels"))
-    return without(docs, judged.where("toxic = 1").select("doc_id").distinct())
+    rows = nested(docs, "doc_id", "text", apart=("text",))
+    judged = toxicity.report(rows, documents(spark, sf_dir, "labels"), carry=("text", "_row"))
+    return unnested(judged.where("toxic = 0"), docs)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +40,9 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold benchmark passages go."""
     prepare(spark)
-    found = suffix_contam.contamination(docs, documents(spark, sf_dir, "benchmark"), locations=False)
-    return without(docs, found.where("contaminated").select("doc_id").distinct())
+    rows = nested(docs, "doc_id", "text", apart=("text",))
+    found = suffix_contam.contamination(rows, documents(spark, sf_dir, "benchmark"), locations=False, carry=("text", "_row"))
+    return unnested(found.where("NOT contaminated"), docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -464,6 +464,23 @@ def test_pipeline_stages(ready, docs):
         before = after
 
 
+def test_pipeline_flags_go_with_their_rows(ready):
+    """Flagged rows go without an id too, and take no clean row of the same id along."""
+    sf = "/root/testdata/sf0.01"
+    before = staging.documents(ready, sf)
+    texts = dict(rows_of(before))
+    bench = staging.documents(ready, sf, "benchmark")
+    toxic = {r.doc_id for r in toxicity.report(before, staging.documents(ready, sf, "labels")).where("toxic = 1").collect()}
+    items = [(r.item_id, r.text) for r in bench.collect()]
+    leaked = {i for i, x in brute.contamination(list(texts.items()), items).items() if x[4]}
+    clean = min(i for i in texts if texts[i] and i not in toxic | leaked)
+    for stage, flagged in ((corpus_pipeline.clean, min(toxic)), (corpus_pipeline.decontaminate, min(leaked))):
+        copies = before.where(F.col("doc_id").isin(clean, flagged))
+        more = [copies.withColumn("doc_id", F.lit(i).cast(before.schema["doc_id"].dataType)) for i in (None, 10**6)]
+        out = stage(ready, before.unionByName(more[0]).unionByName(more[1]), sf).where("doc_id IS NULL OR doc_id = 1000000")
+        assert sorted((r.doc_id or 0, r.text) for r in out.collect()) == [(0, texts[clean]), (10**6, texts[clean])]
+
+
 def test_pipeline_odd(ready, odd):
     for name, stage in corpus_pipeline.STAGES:
         out = staging.staged(stage(ready, odd, SF), "odd-stage")

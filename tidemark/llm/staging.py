@@ -72,6 +72,12 @@ def row_columns(df: DataFrame, *without: str) -> list:
     return [F.col(f"_row.`{c}`").alias(c) for c in df.columns if c not in without]
 
 
+def unnested(judged: DataFrame, docs: DataFrame) -> DataFrame:
+    """Rows of ``nested(docs, "text", apart=("text",))`` with the columns of ``docs``."""
+    rest = dict(zip([c for c in docs.columns if c != "text"], row_columns(docs, "text")))
+    return judged.select(*[rest.get(c, F.col("text")) for c in docs.columns])
+
+
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """``docs`` but for those whose id is in the one-column ``gone``."""
     gone = gone.toDF("gone")

@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from . import grams
 
@@ -135,7 +136,7 @@ def longest(at: np.ndarray, which: np.ndarray, tests: TestSuffixes, base: int) -
     return out
 
 
-def _pass(tests: TestSuffixes, locations: bool):
+def _pass(tests: TestSuffixes, locations: bool, carry: tuple[str, ...] = ()):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offs in grams.slices(batch):
@@ -164,7 +165,8 @@ def _pass(tests: TestSuffixes, locations: bool):
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("text"), pa.array(np.diff(shard.first), pa.int64()),
                      pa.array(bits, pa.binary()), pa.array(items, pa.list_(pa.int64())),
-                     pa.array(matches, part.schema.field("matches").type)], schema=part.schema)
+                     pa.array(matches, part.schema.field("matches").type),
+                     *[part.column(c) for c in carry]], schema=part.schema)
     return run
 
 
@@ -177,20 +179,22 @@ def test_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[Te
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, locations: bool = True,
-                  block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``(doc_id, n_words, n_hit, items, matches, contaminated)`` per document.
-    ``matches`` holds the longest verbatim matches and their places."""
-    schema = f"doc_id long, text string, n_words long, bits binary, items array<long>, matches {MATCH}"
+                  block_bytes: int = BLOCK_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``(doc_id, n_words, n_hit, items, matches, contaminated)`` per document, and
+    the columns ``carry`` of its own row.  ``matches`` holds the longest verbatim
+    matches and their places."""
+    others = tuple(c for c in carry if c != "text")
     df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(0).cast("long").alias("n_words"),
                      F.lit(None).cast("binary").alias("bits"), F.array().cast("array<long>").alias("items"),
-                     F.array().cast(MATCH).alias("matches"))
+                     F.array().cast(MATCH).alias("matches"), *others)
+    schema = StructType([StructField(f.name, f.dataType) for f in df.schema])
     for tests in test_blocks(benchmark, block_bytes):
-        df = df.mapInArrow(_pass(tests, locations), schema)
+        df = df.mapInArrow(_pass(tests, locations, others), schema)
     # words hit: one bits of the packed hit map, counted through its hex digits
     digits = F.coalesce(F.hex("bits"), F.lit(""))
     ones = sum((F.length(digits) - F.length(F.translate(digits, x, ""))) * n
                for n, x in ((1, "1248"), (2, "3569AC"), (3, "7BDE"), (4, "F")))
-    df = df.select("doc_id", "n_words", ones.cast("long").alias("n_hit"), "items", "matches")
+    df = df.select("doc_id", "n_words", ones.cast("long").alias("n_hit"), "items", "matches", *carry)
     return df.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * SHARE >= F.col("n_words")))
 
 

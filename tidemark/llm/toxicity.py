@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import grams
 from .mixing import uniform
@@ -173,16 +174,18 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     return Chain([each[i] for i in order], y[order])
 
 
-def score(docs: DataFrame, chain: Chain, names: list[str]) -> DataFrame:
-    """``(doc_id, p_<category>...)`` for every document."""
+def score(docs: DataFrame, chain: Chain, names: list[str], carry: tuple[str, ...] = ()) -> DataFrame:
+    """``(doc_id, carried columns, p_<category>...)`` for every document."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[c for c in carry if c != "text"])
+    schema = StructType([rows.schema[c] for c in ("doc_id", *carry)] + [StructField(f"p_{c}", DoubleType()) for c in names])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offs in grams.slices(batch):
                 p = chain.predict(*word_buckets(data, offs, chain.wanted), len(part))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(pa.array, p.T)],
-                                                 ["doc_id", *[f"p_{c}" for c in names]])
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text") \
-        .mapInArrow(run, "doc_id long, " + ", ".join(f"p_{c} double" for c in names))
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("doc_id", *carry)], *map(pa.array, p.T)],
+                                                 ["doc_id", *carry, *[f"p_{c}" for c in names]])
+    return rows.mapInArrow(run, schema)
 
 
 def categories(labels: DataFrame) -> DataFrame:
@@ -190,8 +193,9 @@ def categories(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
 
 
-def report(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Probabilities of each category and ``toxic`` (0/1) for every document."""
+def report(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Probabilities of each category and ``toxic`` (0/1) for every document, beside
+    the columns ``carry`` of its own row."""
     cats = categories(labels)
-    out = score(docs, train(docs, cats), [c for c in cats.columns if c != "doc_id"])
+    out = score(docs, train(docs, cats), [c for c in cats.columns if c != "doc_id"], carry)
     return out.withColumn("toxic", (F.col("p_toxic") >= threshold).cast("int"))
