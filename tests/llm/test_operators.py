@@ -112,6 +112,14 @@ def test_warc_pushes_header_filters(ready):
     assert "+- Filter" not in df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_warc_second_write_keeps_the_first(ready):
+    path = staging.new_path(ready, "warc")
+    records = warc.as_records(staging.documents(ready, SF, "pages"))
+    for ids in ("page_id = 1", "page_id = 2"):
+        warc.write_warc(records.where(ids), path)
+    assert sorted(r.page_id for r in warc.read_warc(ready, path, ["page_id"]).collect()) == [1, 2]
+
+
 # -- op2
 
 def unit(v):

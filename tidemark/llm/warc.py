@@ -84,8 +84,8 @@ class Written(WriterCommitMessage):
 
 
 class Writer(DataSourceWriter):
-    def __init__(self, path: str, file_bytes: int):
-        self.path, self.file_bytes = path, file_bytes
+    def __init__(self, path: str, file_bytes: int, overwrite: bool = False):
+        self.path, self.file_bytes, self.overwrite = path, file_bytes, overwrite
 
     def write(self, rows) -> Written:
         store, base = open_fs(self.path)
@@ -107,9 +107,13 @@ class Writer(DataSourceWriter):
     def commit(self, messages) -> None:
         store, base = open_fs(self.path)
         store.create_dir(base, recursive=True)
-        names = sorted(n for m in messages if m is not None for n in m.files)
+        names = {n for m in messages if m is not None for n in m.files}
+        # files of earlier writes stay, unless they are overwritten
+        if not self.overwrite and store.get_file_info(f"{base}/{MANIFEST}").type == fs.FileType.File:
+            with store.open_input_stream(f"{base}/{MANIFEST}", compression=None) as f:
+                names.update(json.loads(f.read()))
         with store.open_output_stream(f"{base}/{MANIFEST}", compression=None) as f:
-            f.write(json.dumps(names).encode())
+            f.write(json.dumps(sorted(names)).encode())
 
     def abort(self, messages) -> None:
         """Files without a manifest are never read."""
@@ -232,7 +236,7 @@ class WarcSource(DataSource):
         return Reader(self.options["path"], schema.fieldNames())
 
     def writer(self, schema, overwrite: bool) -> Writer:
-        return Writer(self.options["path"], int(self.options.get("file_bytes", FILE_BYTES)))
+        return Writer(self.options["path"], int(self.options.get("file_bytes", FILE_BYTES)), overwrite)
 
 
 def register(spark: SparkSession) -> None:
