@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import crf_quality, itq, line_chunks, mixing, pii, prefix_doubling, sigtree, suffix_contam, toxicity, warc
+from . import (
+    crf_quality,
+    itq,
+    lexical,
+    line_chunks,
+    mixing,
+    packing,
+    pii,
+    prefix_doubling,
+    resample,
+    sigtree,
+    suffix_contam,
+    toxicity,
+    warc,
+)
 from .staging import documents, prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,14 +70,33 @@ def op10_prefix_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_doubling.report(documents(prepare(spark), sf_dir))
 
 
+def op11_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.report(documents(prepare(spark), sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return resample.report(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
+def op13_geometric_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return lexical.search(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
     from corpus_pipeline import run
 
     ops = [op1_warc, op2_itq, op3_signature_trees, op4_suffix_arrays, op5_mixing, op6_toxicity,
-           op7_line_chunks, op8_crf_quality, op9_pii, op10_prefix_doubling]
+           op7_line_chunks, op8_crf_quality, op9_pii, op10_prefix_doubling,
+           op11_sum_of_squares, op12_importance_resampling, op13_geometric_blocks]
     return {f.__name__: f for f in ops} | {"pipeline": run}
 
 
 def oracle_sql() -> dict[str, str]:
     tables = {t: t for t in TABLES}
-    return {"op1_warc": warc.ORACLE.format(**tables), "op5_mixing": mixing.ORACLE.format(**tables)}
+    sql = {"op1_warc": warc.ORACLE, "op5_mixing": mixing.ORACLE, "op12_importance_resampling": resample.ORACLE,
+           "op13_geometric_blocks": lexical.ORACLE}
+    return {name: text.format(**tables) for name, text in sql.items()}
