@@ -5,8 +5,9 @@ Three workloads at the scale factor of ``$BENCH_SF_DIR``:
 * ``events/<view>``: the registered queries over the driver's ``events``
   table (records derived and parsed by Spark, as the correctness check runs
   them).
-* ``stream/<view>``: projection and agg views as AvailableNow Structured
-  Streaming runs over the generated flows (tail flush included).
+* ``stream/<view>``: six views as AvailableNow Structured Streaming runs over three
+  times as many generated minutes, in micro-batches of 400,000 flows (the last step
+  at the end of the input included).
 * ``edr/<view>``: the same views over generated flows/sessions CSV files
   (the record layout and data profile the upstream benchmark used), read with
   the file source; ``sf * 100`` minutes of data (sf0.1: 10 minutes, about
@@ -32,9 +33,8 @@ from tidemark.operators import joins, projection, windows  # noqa: E402
 from tidemark.plans import catalog  # noqa: E402
 from tidemark.session import build_session  # noqa: E402
 from tidemark.sources import csv, generator  # noqa: E402
-from tidemark.sources.schemas import FLOWS_COLUMNS, TONNAGE  # noqa: E402
 from tidemark.sources.sinks import write_rotated  # noqa: E402
-from tidemark.streaming import bounded, stateful  # noqa: E402
+from tidemark.streaming import carried, steps  # noqa: E402
 
 EVENTS_VIEWS = ["projection_view", "agg_view", "join_view_backward", "session_join_view",
                 "join_n_agg_view_backward", "join_n_agg_view2", "flows_agg_step_2"]
@@ -98,32 +98,28 @@ def main():
         times[f"edr/{name}"] = round(t, 3)
         rps[f"edr/{name}"] = round(n_flows / t)
 
-    # AvailableNow streaming over the same flows, written in event-time order
-    # (out-of-order files would put rows behind the watermark), end-of-input
-    # flush included; output rows must equal input rows
-    write_rotated(generator.gen_flows(spark, minutes * 60).orderBy("eventtime").coalesce(1),
-                  base + "/flows_ordered", 100_000)
-    streams = {"projection_view": lambda f: f,
-               "agg_view": lambda f: stateful.agg_view(f, 60)}
-    for name, fn in streams.items():
-        src = os.path.join(scratch, "stream-" + name)
-        os.makedirs(src)
-        for f in os.listdir(base + "/flows_ordered"):
-            if f.endswith(".txt"):
-                os.link(os.path.join(base, "flows_ordered", f), os.path.join(src, f))
-
-        def build(src=src, fn=fn):
-            return fn(projection.projection_view(
-                csv.read_flows(spark, src, stream=True, max_files_per_trigger=2)))
+    # AvailableNow streaming over records written in event-time order (out-of-order
+    # files would put rows behind the watermark); sessions are a ninth of a batch's files
+    for name, gen, per_file in (("flows", generator.gen_flows, 50_000), ("sessions", generator.gen_sessions, 11_000)):
+        write_rotated(gen(spark, 3 * minutes * 60).orderBy("eventtime").coalesce(1), f"{base}/{name}_ordered", per_file)
+    n_stream = csv.read_flows(spark, base + "/flows_ordered").count()
+    rows["stream/flows"] = n_stream
+    streams = {"projection_view": carried.projection_view(), "agg_view": carried.agg_view(60),
+               "join_view": carried.join_view(), "session_join_view": carried.session_join_view(),
+               "join_n_agg_view": carried.join_n_agg_view(), "flows_agg_step_1": carried.flows_agg_step_1()}
+    for name, view in streams.items():
+        def read(reader, kind):
+            return reader(spark, f"{base}/{kind}_ordered", stream=True, max_files_per_trigger=8)
         t = time.perf_counter()
-        res = bounded.run_bounded(
-            spark, build, {src: bounded.default_flush(FLOWS_COLUMNS, numeric=tuple(TONNAGE))},
-            out=os.path.join(scratch, "stream-out-" + name),
-            checkpoint=os.path.join(scratch, "stream-ckpt-" + name))
+        inputs = {"flows": (projection.projection_view(read(csv.read_flows, "flows")), "eventtime")}
+        if "join" in name:
+            inputs["sessions"] = (projection.sessions_step_2(read(csv.read_sessions, "sessions")), "eventtime")
+        res = steps.run(spark, view, inputs, os.path.join(scratch, "stream-out-" + name),
+                        os.path.join(scratch, "stream-work-" + name))
         n_out = res.count()
         dt = time.perf_counter() - t
         times[f"stream/{name}"] = round(dt, 3)
-        rps[f"stream/{name}"] = round(n_flows / dt)
+        rps[f"stream/{name}"] = round(n_stream / dt)
         rows[f"stream/{name}_out"] = n_out
 
     out = {

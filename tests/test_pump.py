@@ -82,27 +82,6 @@ def test_stream_rate_equals_batch_meter(spark, tmpdir_path):
         sorted(map(tuple, want.select(*cols).collect()))
 
 
-def test_held_sort_orders_across_batches_and_drops_late_rows(spark, tmpdir_path):
-    """Files arrive one per micro-batch.  The output is in event-time order over
-    all batches; a row behind what the bound has let go is dropped."""
-    import glob
-
-    from tidemark.sources.sinks import write_ordered_stream
-    files = ["00:00:10 00:00:05", "00:00:20 00:00:12", "00:00:31 00:00:08", "00:01:30 00:01:25", "00:01:00 00:00:25 00:01:10",
-             "00:03:00", "00:03:01 00:00:40"]
-    for k, times in enumerate(files):
-        rows = [(f"2020-01-01 {t}", k) for t in times.split()]
-        spark.createDataFrame(rows, "t string, k int").selectExpr("cast(t as timestamp) eventtime", "k") \
-            .coalesce(1).write.mode("append").parquet(tmpdir_path + "/in")
-        time.sleep(1.1)  # file sources take files by modification time
-    s = spark.readStream.schema("eventtime timestamp, k int").option("maxFilesPerTrigger", 1).parquet(tmpdir_path + "/in")
-    write_ordered_stream(ops.held_sort(s, bound="30 seconds"), tmpdir_path + "/out", tmpdir_path + "/ckpt").awaitTermination()
-    got = [r.eventtime.strftime("%M:%S") for f in sorted(glob.glob(tmpdir_path + "/out/batch=*/part-*.parquet"))
-           for r in spark.read.parquet(f).collect()]
-    # 00:25 comes before its second is let go; 00:40 after; 03:00 is still held when the input ends
-    assert got == ["00:05", "00:08", "00:10", "00:12", "00:20", "00:25", "00:31", "01:00", "01:10", "01:25", "01:30"]
-
-
 def test_bounded_run_keeps_null_keys_and_its_source(spark, tmpdir_path):
     """NULL and INT keys survive the end-of-input flush, and the source folder
     holds the files it held."""

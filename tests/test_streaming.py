@@ -12,7 +12,7 @@ from tidemark.sources import csv
 from tidemark.sources.schemas import FLOWS_COLUMNS, SESSIONS_COLUMNS, TONNAGE
 from tidemark.sources.sinks import write_rotated
 from tidemark.sources.tables import flow_records, session_records, table
-from tidemark.streaming import bounded, ops, stateful
+from tidemark.streaming import bounded, carried, ops, steps
 
 SF = "/root/testdata/sf0.001"
 
@@ -68,10 +68,7 @@ def _batch_inputs(spark, base):
 
 
 @pytest.mark.parametrize("name", ["agg_view_5m", "join_view_forward", "join_view_backward",
-                                  "session_join_view", "join_n_agg_view", "offset_frame",
-                                  "join_n_agg_view2", "agg_view_5m_state",
-                                  "agg_view_5m_state_salted", "agg_view_5m_state_groups",
-                                  "join_n_agg_view_state"])
+                                  "join_n_agg_view", "offset_frame", "join_n_agg_view2"])
 def test_stream_equals_batch(spark, dirs, name, tmp_path):
     d = _copy(spark, dirs, name)
     bf, bs = _batch_inputs(spark, dirs)
@@ -80,20 +77,10 @@ def test_stream_equals_batch(spark, dirs, name, tmp_path):
         f, s = _stream_inputs(spark, d)
         if name == "agg_view_5m":
             return ops.agg_view(f, 5)
-        if name == "agg_view_5m_state":
-            return stateful.agg_view(f, 5)
-        if name == "agg_view_5m_state_salted":
-            return stateful.agg_view(f, 5, salts=3)
-        if name == "agg_view_5m_state_groups":
-            return stateful.agg_view(f, 5, groups=200)
-        if name == "join_n_agg_view_state":
-            return stateful.join_n_agg_view(ops.join_view_backward(f, s))
         if name == "join_view_forward":
             return ops.join_view_forward(f, s)
         if name == "join_view_backward":
             return ops.join_view_backward(f, s)
-        if name == "session_join_view":
-            return ops.session_join_view(f, s)
         if name == "offset_frame":
             return ops.stream_offset_over(f, "sessionid")
         if name == "join_n_agg_view2":
@@ -106,15 +93,13 @@ def test_stream_equals_batch(spark, dirs, name, tmp_path):
         batch = joins.join_view_forward(bf, bs)
     elif name == "join_view_backward":
         batch = joins.join_view_backward(bf, bs)
-    elif name == "session_join_view":
-        batch = joins.session_join_view(bf, bs)
     elif name == "offset_frame":
         batch = windows.range_frame(bf, ["sessionid"], "eventtime", windows.OCTET_STATS,
                                     3600 * 10**6, 60 * 10**6, floor="minute").select(
             "sessionid", "octets", "eventtime", *windows.STAT_COLUMNS)
     elif name == "join_n_agg_view2":
         batch = windows.join_n_agg_view2(joins.join_view_backward(bf, bs))
-    else:   # join_n_agg_view, plain or stateful
+    else:
         batch = windows.join_n_agg_view(joins.join_view_backward(bf, bs))
     got = bounded.run_bounded(spark, build, _flush(d), out=str(tmp_path / "out"),
                               checkpoint=str(tmp_path / "ckpt"))
@@ -220,22 +205,18 @@ def test_session_join_stream_with_hot_session_ties_and_nulls(spark, tmp_path):
         "case when id % 9 = 0 then null when id % 2 = 0 then 'hot' else concat('k', id % 5) end sessionid",
         "timestamp_seconds(1577836800 + (id div 3) * 3 * 150) eventtime",
         "case when id % 13 = 0 then null else cast(id * 7 % 100 as int) end cellid")
-    end = "timestamp'2200-01-01 00:00:00'"
-    for k in range(4):  # four files a source, then the end of the input
+    for k in range(4):  # four files a source
         lo, hi = 1577836800 + k * 9000, 1577836800 + (k + 1) * 9000
         part = f"unix_seconds(eventtime) >= {lo} and unix_seconds(eventtime) < {hi}"
         flows.where(part).coalesce(1).write.mode("append").parquet(str(tmp_path / "f"))
         sessions.where(part).coalesce(1).write.mode("append").parquet(str(tmp_path / "s"))
         time.sleep(1.1)
-    flows.limit(1).selectExpr("'end' sessionid", f"{end} eventtime", "octets", "packets").write.mode("append").parquet(str(tmp_path / "f"))
-    sessions.limit(1).selectExpr("'end' sessionid", f"{end} eventtime", "cast(null as int) cellid").write.mode("append").parquet(str(tmp_path / "s"))
     read = spark.readStream.option("maxFilesPerTrigger", 1)
-    out = ops.session_join_view(read.schema(flows.schema).parquet(str(tmp_path / "f")),
-                                read.schema(sessions.schema).parquet(str(tmp_path / "s")))
-    assert dict(out.dtypes)["cellid"] == "int"
-    (out.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c"))
-     .trigger(availableNow=True).start(str(tmp_path / "o")).awaitTermination())
-    got = spark.read.parquet(str(tmp_path / "o"))
+    got = steps.run(spark, carried.session_join_view(), {
+        "flows": (read.schema(flows.schema).parquet(str(tmp_path / "f")), "eventtime"),
+        "sessions": (read.schema(sessions.schema).parquet(str(tmp_path / "s")), "eventtime")},
+        str(tmp_path / "o"), str(tmp_path / "w"))
+    assert dict(got.dtypes)["cellid"] == "int"
     want = joins.session_join_view(flows, sessions)
     assert _rows(got, want.columns) == _rows(want, want.columns)
     assert want.where("sessionid = 'hot'").count() > 500
@@ -252,38 +233,8 @@ def test_testwindow_v2_stream_equals_batch(spark, tmp_path):
         ev.where(f"(unix_seconds(event_time) - 1577836800) div {n // 3} = {k}").coalesce(1) \
             .write.mode("append").parquet(str(tmp_path / "t"))
         time.sleep(1.1)
-    spark.sql("select timestamp'2200-01-01 00:00:00' event_time, 'end' c1").write.mode("append").parquet(str(tmp_path / "t"))
     src = spark.readStream.option("maxFilesPerTrigger", 1).schema(ev.schema).parquet(str(tmp_path / "t"))
-    (ops.testwindow_v2(src, spread=3).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c"))
-     .trigger(availableNow=True).start(str(tmp_path / "o")).awaitTermination())
+    got = steps.run(spark, carried.testwindow_v2(), {"rows": (src, "event_time")}, str(tmp_path / "o"), str(tmp_path / "w"))
     want = windows.testwindow_v2(ev)
-    assert _rows(spark.read.parquet(str(tmp_path / "o")), want.columns) == _rows(want, want.columns)
+    assert _rows(got, want.columns) == _rows(want, want.columns)
     assert want.count() > 100
-
-
-def test_late_rows_come_out_and_running_rate(spark, tmp_path):
-    """One file per micro-batch: rows behind the watermark come out as rows;
-    the running average of per-second counts is one streaming query."""
-    import time
-    files = ["00:00:10 00:00:10 00:00:05", "00:01:00", "00:00:20 00:01:10", "00:00:30 00:03:00", "00:05:00"]
-    for k, times in enumerate(files):
-        rows = [(f"2020-01-01 {t}", 9007199254740993 + k) for t in times.split()]
-        spark.createDataFrame(rows, "t string, k long").selectExpr("cast(t as timestamp) eventtime", "k") \
-            .coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        time.sleep(1.1)
-    src = spark.readStream.schema("eventtime timestamp, k long").option("maxFilesPerTrigger", 1) \
-        .parquet(str(tmp_path / "in"))
-
-    def run(df, name):
-        (df.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / f"c-{name}"))
-         .trigger(availableNow=True).start(str(tmp_path / name)).awaitTermination())
-        return spark.read.parquet(str(tmp_path / name))
-    late = run(stateful.late_rows(src, groups=3), "late")
-    # the watermark is 00:30 when 00:20 comes and 00:40 when 00:30 comes
-    assert sorted((r.eventtime.strftime("%M:%S"), r.k) for r in late.collect()) == \
-        [("00:20", 9007199254740995), ("00:30", 9007199254740996)]
-    per = run(ops.stream_rate(src, arrival="eventtime", delay="30 seconds"), "per")
-    rate = run(stateful.running_rate(spark.readStream.schema(per.schema).parquet(str(tmp_path / "per"))), "rate")
-    got = [(r.rowtime.strftime("%M:%S"), r.rps, r.cumulative_rows, r.avg_rps) for r in rate.orderBy("rowtime").collect()]
-    assert got[:2] == [("00:05", 1, 1, 1.0), ("00:10", 2, 3, 1.5)]
-    assert [g[2] for g in got] == sorted(g[2] for g in got) and got[-1][0] == "03:00"

@@ -1,7 +1,7 @@
 """Command line: run a named view over flows/sessions record folders, generate
 records, or summarise GC logs.
 
-  python -m tidemark run VIEW --flows DIR [--sessions DIR] [--out DIR] [--stream]
+  python -m tidemark run VIEW --flows DIR [--sessions DIR] [--out DIR] [--stream [--work DIR]]
   python -m tidemark generate --minutes N --out DIR [--lateness-secs S]
   python -m tidemark gc-report PATH
 """
@@ -12,6 +12,7 @@ import argparse
 import json
 import os
 import time
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -22,10 +23,10 @@ def _spark(args):
 
 
 def cmd_run(args):
-    from .plans.views import BATCH, STREAM
+    from .plans.views import BATCH, STREAM, stream_inputs
+    from .session import scratch_path
     from .sources import csv
-    from .sources.schemas import FLOWS_COLUMNS, SESSIONS_COLUMNS, TONNAGE
-    from .streaming import bounded
+    from .streaming import steps
     spark = _spark(args)
     opts = {"pattern": args.pattern, "sep": args.sep}
     t0 = time.perf_counter()
@@ -38,19 +39,12 @@ def cmd_run(args):
         else:
             df.write.format("noop").mode("overwrite").save()
     else:
-        def build():
-            f = csv.read_flows(spark, args.flows, stream=True, max_files_per_trigger=args.files,
-                               **opts)
-            s = csv.read_sessions(spark, args.sessions, stream=True,
-                                  max_files_per_trigger=args.files, **opts) \
-                if args.sessions else None
-            return STREAM[args.view](f, s)
-        flush = {args.flows: bounded.default_flush(FLOWS_COLUMNS, numeric=tuple(TONNAGE))}
-        if args.sessions:
-            flush[args.sessions] = bounded.sentinel_line(SESSIONS_COLUMNS, {
-                "sessionid": bounded.SENTINEL_KEY, "eventtime": bounded.SENTINEL_TIME,
-                "ecgieci": bounded.SENTINEL_KEY})
-        df = bounded.run_bounded(spark, build, flush)
+        f = csv.read_flows(spark, args.flows, stream=True, max_files_per_trigger=args.files, **opts)
+        s = csv.read_sessions(spark, args.sessions, stream=True, max_files_per_trigger=args.files, **opts) \
+            if args.sessions else None
+        work = args.work or scratch_path(spark, f"run-{uuid.uuid4().hex}")
+        df = steps.run(spark, STREAM[args.view], stream_inputs(args.view, f, s), work + "/out", work + "/work",
+                       delay=args.delay, idle=args.idle)
         if args.out:
             df.write.mode("overwrite").option("header", "true").csv(args.out)
     secs = time.perf_counter() - t0
@@ -94,6 +88,9 @@ def main(argv=None):
     r.add_argument("--out")
     r.add_argument("--stream", action="store_true")
     r.add_argument("--files", type=int, default=None, help="files per micro-batch")
+    r.add_argument("--work", default=None, help="state of a stream; a run over it goes on where one stopped")
+    r.add_argument("--delay", default="30 seconds", help="how late rows may be")
+    r.add_argument("--idle", default=None, help="how far a silent input may hold back the other")
     r.add_argument("--pattern", default=None)
     r.add_argument("--sep", default=",")
     r.set_defaults(fn=cmd_run)

@@ -250,28 +250,29 @@ def _combine_parts(kind: str, cols: list[Column]) -> Column:
     return sum((F.coalesce(c, F.lit(0)) for c in cols[1:]), F.coalesce(cols[0], F.lit(0)))
 
 
+def _row_values(aggs: dict) -> tuple[dict, dict]:
+    """Per partial: how it is added up, and what a single row adds to it."""
+    kind_of, value = {}, {}
+    for alias, (kind, col) in aggs.items():
+        seen = F.lit(1) if col == "*" else F.when(F.col(col).isNotNull(), F.lit(1)).otherwise(F.lit(0))
+        if kind == "avg":
+            kind_of[f"_ps_{alias}"], value[f"_ps_{alias}"] = "sum", F.col(col)
+            kind_of[f"_pn_{alias}"], value[f"_pn_{alias}"] = "count", seen
+        else:
+            kind_of[f"_p_{alias}"] = kind
+            value[f"_p_{alias}"] = seen if kind == "count" else F.col(col)
+    return kind_of, value
+
+
+def bucket_partials(rows: DataFrame, keys: list[str], order: str, aggs: dict, bucket: int) -> DataFrame:
+    """One row per key and bucket of time: the partials that frames are merged from."""
+    return rows.groupBy(*keys, floor_div(F.unix_micros(F.col(order)), bucket).alias("_b")).agg(*_partials(aggs)[0])
+
+
 def _two_level(df, keys, order, aggs, p, bucket, once=False):
     if once:
         df = df.repartition(*keys, floor_div(F.unix_micros(F.col(order)), bucket))
-    parts, merge = _partials(aggs)
-    pnames = [c for _, (_, cols) in merge.items() for c in cols]
-    pkind = {}
-    for alias, (kind, cols) in merge.items():
-        if kind == "avg":
-            pkind[cols[0]], pkind[cols[1]] = "sum", "count"
-        else:
-            pkind[cols[0]] = kind
-    # the per-row value behind each partial (count: 1 for a non-NULL value)
-    pvalue = {}
-    for alias, (kind, col) in aggs.items():
-        if kind in ("min", "max", "sum"):
-            pvalue[f"_p_{alias}"] = F.col(col)
-        elif kind == "count":
-            pvalue[f"_p_{alias}"] = (F.lit(1) if col == "*" else
-                                     F.when(F.col(col).isNotNull(), F.lit(1)).otherwise(F.lit(0)))
-        else:  # avg
-            pvalue[f"_ps_{alias}"] = F.col(col)
-            pvalue[f"_pn_{alias}"] = F.when(F.col(col).isNotNull(), F.lit(1)).otherwise(F.lit(0))
+    kind_of, value = _row_values(aggs)
     k = p // bucket
     cols = df.columns
     rows = (df.withColumn("_t", F.unix_micros(F.col(order)))
@@ -290,31 +291,68 @@ def _two_level(df, keys, order, aggs, p, bucket, once=False):
                  "_kind",
                  F.when(far, F.col("_t") + F.lit(p)).otherwise(F.col("_t")).alias("_tt"),
                  F.when(far, F.col("_b") + F.lit(k)).otherwise(F.col("_b")).alias("_b"),
-                 *[F.when(~far, e).alias(f"_u_{c}") for c, e in pvalue.items()],
-                 *[F.when(far, e).alias(f"_f_{c}") for c, e in pvalue.items()])
+                 *[F.when(~far, e).alias(f"_u_{c}") for c, e in value.items()],
+                 *[F.when(far, e).alias(f"_f_{c}") for c, e in value.items()])
+    panes = rows.groupBy(*keys, "_b").agg(*_partials(aggs)[0]) if k > 1 else None
+    return _two_level_merge(x, panes, cols, keys, aggs, kind_of, k)
+
+
+def two_level_over(near: DataFrame, far: DataFrame, panes: DataFrame, keys: list[str], order: str,
+                   aggs: dict, preceding, bucket: int) -> DataFrame:
+    """The two-level plan over parts that are kept apart (a stream's carried tables):
+    ``near`` holds the rows to aggregate for and all rows before them in their
+    buckets, ``far`` the rows of the buckets one frame width before those, ``panes``
+    the :func:`bucket_partials` of the buckets of both and of those in between."""
+    p = micros(preceding)
+    kind_of, value = _row_values(aggs)
+    cols = near.columns
+    t = F.unix_micros(F.col(order))
+    types = dict(near.select(*[e.alias(c) for c, e in value.items()]).dtypes)
+    own = near.select(*cols, F.lit(0).alias("_kind"), t.alias("_tt"), floor_div(t, bucket).alias("_b"),
+                      *[e.alias(f"_u_{c}") for c, e in value.items()],
+                      *[F.lit(None).cast(types[c]).alias(f"_f_{c}") for c in value])
+    moved = far.select(*[F.col(c) if c in keys else F.lit(None).cast(near.schema[c].dataType).alias(c) for c in cols],
+                       F.lit(2).alias("_kind"), (t + F.lit(p)).alias("_tt"),
+                       (floor_div(t, bucket) + F.lit(p // bucket)).alias("_b"),
+                       *[F.lit(None).cast(types[c]).alias(f"_u_{c}") for c in value],
+                       *[e.alias(f"_f_{c}") for c, e in value.items()])
+    return _two_level_merge(own.unionByName(moved), panes, cols, keys, aggs, kind_of, p // bucket)
+
+
+def _two_level_merge(x, panes, cols, keys, aggs, kind_of, k):
+    """Frames of the rows of kind 0 of ``x`` from their own bucket, the far copies in
+    it, and the buckets between.  Those are a window over ``panes``, which has a row
+    for each bucket of kind 0; its result goes into the bucket as a row of kind 1
+    before all others, so that no join is needed."""
+    _, merge = _partials(aggs)
+    pnames = list(kind_of)
+    run = {"min": F.min, "max": F.max, "sum": F.sum, "count": F.sum}
+    mids = []
+    if k > 1:
+        w = Window.partitionBy(*keys).orderBy("_b").rangeBetween(-(k - 1), -1)
+        mid = panes.select(*keys, "_b", *[run[kind_of[c]](c).over(w).alias(f"_mid_{c}") for c in pnames])
+        # rows with a NULL time have no whole buckets
+        mid = mid.filter(F.col("_b").isNotNull())
+        mids = [f"_mid_{c}" for c in pnames]
+        types = x.select(*cols, *[f"_u_{c}" for c in pnames], *[f"_f_{c}" for c in pnames]).schema
+        x = x.select("*", *[F.lit(None).cast(mid.schema[m].dataType).alias(m) for m in mids]).unionByName(mid.select(
+            *[F.col(f.name) if f.name in keys else F.lit(None).cast(f.dataType).alias(f.name) for f in types],
+            *[c for c in keys if c not in cols], "_b", F.lit(1).alias("_kind"),
+            F.lit(-(1 << 63)).cast("long").alias("_tt"), *mids))
     fwd = Window.partitionBy(*keys, "_b").orderBy("_tt").rangeBetween(
         Window.unboundedPreceding, Window.currentRow)
     bwd = Window.partitionBy(*keys, "_b").orderBy(F.col("_tt").desc()).rangeBetween(
         Window.unboundedPreceding, Window.currentRow)
-    run = {"min": F.min, "max": F.max, "sum": F.sum, "count": F.sum}
     u = x.select(*cols, *[c for c in keys if c not in cols], "_b", "_kind",
-                 *[run[pkind[c]](f"_u_{c}").over(fwd).alias(f"_up_{c}") for c in pnames],
-                 *[run[pkind[c]](f"_f_{c}").over(bwd).alias(f"_lo_{c}") for c in pnames])
+                 *[F.max(m).over(fwd).alias(m) for m in mids],
+                 *[run[kind_of[c]](f"_u_{c}").over(fwd).alias(f"_up_{c}") for c in pnames],
+                 *[run[kind_of[c]](f"_f_{c}").over(bwd).alias(f"_lo_{c}") for c in pnames])
     res = u.filter(F.col("_kind") == 0).drop("_kind")
-    if k > 1:
-        per_bucket = rows.groupBy(*keys, "_b").agg(*parts)
-        w = Window.partitionBy(*keys).orderBy("_b").rangeBetween(-(k - 1), -1)
-        # NULL-time rows have no whole buckets (a filter on the bucket would
-        # sink below the shared exchange and split it)
-        mid = per_bucket.select(*keys, "_b", *[
-            F.when(F.col("_b").isNotNull(), run[pkind[c]](c).over(w)).alias(f"_mid_{c}")
-            for c in pnames])
-        res = _null_safe_left(res, mid, [*keys, "_b"])
-    else:
+    if not mids:
         for c in pnames:
             res = res.withColumn(f"_mid_{c}", F.lit(None).cast("bigint"))
-    combined = {c: _combine_parts(pkind[c], [F.col(f"_up_{c}"), F.col(f"_mid_{c}"),
-                                            F.col(f"_lo_{c}")]) for c in pnames}
+    combined = {c: _combine_parts(kind_of[c], [F.col(f"_up_{c}"), F.col(f"_mid_{c}"),
+                                              F.col(f"_lo_{c}")]) for c in pnames}
     outs = []
     for alias, (kind, cols_) in merge.items():
         if kind == "avg":
@@ -325,3 +363,18 @@ def _two_level(df, keys, order, aggs, p, bucket, once=False):
             e = combined[cols_[0]]
         outs.append(e.alias(alias))
     return res.select(*cols, *outs)
+
+
+def bucketed_over(rows: DataFrame, panes: DataFrame, keys: list[str], order: str, aggs: dict,
+                  preceding, lag, bucket: int) -> DataFrame:
+    """Frames over a floored time from carried partials: each row takes the buckets
+    from ``preceding`` to ``lag`` before its own out of ``panes``."""
+    _, merge = _partials(aggs)
+    own = rows.withColumn("_b", floor_div(F.unix_micros(F.col(order)), bucket))
+    parts = [c for c in panes.columns if c not in (*keys, "_b")]
+    empty = [F.lit(None).cast(panes.schema[c].dataType).alias(c) for c in parts]
+    wanted = own.select(*keys, "_b").distinct().select(*keys, "_b", *empty, F.lit(True).alias("_own"))
+    x = panes.select(*keys, "_b", *parts, F.lit(False).alias("_own")).unionByName(wanted)
+    w = Window.partitionBy(*keys).orderBy("_b").rangeBetween(-(micros(preceding) // bucket), -(micros(lag) // bucket))
+    frames = x.select(*keys, "_b", "_own", *_merged(merge, w)).filter("_own").drop("_own")
+    return _null_safe_left(own, frames, [*keys, "_b"]).drop("_b")

@@ -69,14 +69,21 @@ def bollinger_view(projection: DataFrame, minutes: int = 60, width: float = 2.0,
     from the exact (decimal) count, sum and sum of squares, which merge, so
     the linear two-level plan holds and nothing cancels."""
     plan.setdefault("strategy", "two_level")
-    exact = F.col("octets").cast("decimal(19,0)")
-    x = projection.select("sessionid", "octets", "eventtime", exact.alias("_v"),
-                          (exact * exact).cast("decimal(38,0)").alias("_vv"))
-    stats = {"_n": ("count", "octets"), "_s": ("sum", "_v"), "_ss": ("sum", "_vv")}
-    out = range_frame(x, ["sessionid"], "eventtime", stats, minutes * MICROS["minute"], **plan)
+    out = range_frame(band_values(projection), ["sessionid"], "eventtime", BAND_STATS,
+                      minutes * MICROS["minute"], **plan)
     return bands(out, width, digits)
 
 
+BAND_STATS = {"_n": ("count", "octets"), "_s": ("sum", "_v"), "_ss": ("sum", "_vv")}
+
+
+def band_values(projection: DataFrame) -> DataFrame:
+    """Rows with the exact value and its square, which the bands are summed from."""
+    exact = F.col("octets").cast("decimal(19,0)")
+    return projection.select("sessionid", "octets", "eventtime", exact.alias("_v"),
+                             (exact * exact).cast("decimal(38,0)").alias("_vv"))
+
+
 def bands(out: DataFrame, width: float, digits: int | None) -> DataFrame:
     """The bands of rows that hold their frame's count ``_n``, sum ``_s`` and
     sum of squares ``_ss``."""

@@ -7,6 +7,10 @@ keeps each side's rows until the watermark passes the frame, and the
 aggregation emits a row once its frame can no longer change.  The same holds
 for the interval joins and the latest-row join.
 
+The views run as steps over carried tables (:mod:`.steps`), whose cost does not grow
+with the rows of a frame; the forms here are streaming DataFrames that other
+operators of the same query can go on from.
+
 Identical rows are counted, not given ids: an id drawn at random would
 change when a lost task is run again.
 """
@@ -94,15 +98,6 @@ def join_view_backward(projection: DataFrame, sessions: DataFrame, minutes: int
     return j.select("sessionid", "eventtime", "cellid", "octets", "packets")
 
 
-def session_join_view(projection: DataFrame, sessions: DataFrame, timeout=MICROS["hour"],
-                      delay: str = DEFAULT_DELAY, groups: int | None = None) -> DataFrame:
-    """Latest session row within ``timeout``, carried forward: see
-    :func:`.stateful.latest_join`."""
-    from .stateful import latest_join
-    j = latest_join(projection, sessions, timeout=timeout, delay=delay, groups=groups)
-    return j.select("sessionid", "eventtime", "cellid", "octets", "packets")
-
-
 #: name -> (aggregate, the frame value's expression, whether repeated rows repeat it)
 STATS = {"minOctets": (F.min, None, False), "maxOctets": (F.max, None, False),
          "sumOctets": (F.sum, None, True), "countOctets": (F.count, None, True)}
@@ -176,39 +171,6 @@ def bollinger_view(projection: DataFrame, minutes: int = 60, width: float = 2.0,
     return bands(out, width, digits)
 
 
-def testwindow_v2(testwindow: DataFrame, minutes: int = 2, delay: str = DEFAULT_DELAY,
-                  spread: int = 16) -> DataFrame:
-    """The unkeyed minute frame on a stream: two chained native aggregations.
-
-    The first reduces each minute to partials and holds its rows, in ``spread``
-    parts, so that a minute is not one task's.  Partials alone go to all parts;
-    the second merges them over the sliding window of ``minutes`` and the row's
-    minute, where the window's last minute is that of the held rows.  The
-    frames of a minute are let go when the watermark passes it."""
-    from ..functions.scalars import time_of_day
-    x = as_rowtime(testwindow, "event_time", delay)
-    part = F.pmod(F.xxhash64("event_time", "c1"), F.lit(spread)).cast("int")
-    per = x.groupBy(F.window("event_time", "1 minute"), part.alias("_from")).agg(
-        F.min("event_time").alias("_min_et"), F.max("event_time").alias("_max_et"),
-        F.min("c1").alias("min_c1"), F.max("c1").alias("max_c1"), F.count(F.lit(1)).alias("cnt"),
-        F.collect_list(F.struct("event_time", "c1")).alias("_held"))
-    per = per.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
-    per = per.withColumn("_held", F.when(F.col("_part") == F.col("_from"), F.col("_held"))) \
-        .withColumn("_end", F.col("window.end"))
-    over = F.window("window", f"{minutes + 1} minutes", "1 minute")
-    out = per.groupBy(over.alias("_over"), "_part").agg(
-        F.min("_min_et").alias("_min_et"), F.max("_max_et").alias("_max_et"),
-        F.min("min_c1").alias("min_c1"), F.max("max_c1").alias("max_c1"),
-        F.sum("cnt").alias("cnt"),
-        F.collect_list(F.when(F.col("_held").isNotNull(), F.struct("_end", "_held"))).alias("_lists"))
-    own = F.flatten(F.transform(F.filter("_lists", lambda r: r["_end"] == F.col("_over.end")),
-                                lambda r: r["_held"]))
-    out = out.withColumn("_row", F.explode(own))
-    return out.select(time_of_day("_row.event_time").alias("event_time"), F.col("_row.c1").alias("c1"),
-                      time_of_day("_min_et").alias("min_et"), time_of_day("_max_et").alias("max_et"),
-                      "min_c1", "max_c1", "cnt")
-
-
 def count_total(agg: DataFrame, time: str = "eventtime", width: str = "1 minute",
                 stats=tuple(STATS)) -> DataFrame:
     """The non-NULL counts of the statistics columns per ``width`` of event
@@ -248,28 +210,11 @@ def join_n_agg_view(joined: DataFrame, minutes: int = 60, delay: str = DEFAULT_D
 def t_sort(df: DataFrame, time: str = "eventtime", bound: str = DEFAULT_DELAY) -> DataFrame:
     """Bounded reorder ahead of a stateful operator: the watermark, by which
     that operator waits for and drops rows (held rows would reach it behind its
-    own watermark).  :func:`held_sort` is the reorder that ends a query."""
+    own watermark).  The view ``t_sort`` of :mod:`.carried` is the reorder that
+    ends a query."""
     return df.withWatermark(time, bound)
 
 
-def held_sort(df: DataFrame, time: str = "eventtime", bound: str = DEFAULT_DELAY,
-              spread: int = 16) -> DataFrame:
-    """Bounded reorder at the end of a streaming query: a row is held until the watermark (the
-    latest event time less ``bound``) passes its second; rows that come behind
-    what the batches before have let go are dropped (metric
-    ``numRowsDroppedByWatermark``).  Every
-    micro-batch emits whole seconds that lie after all those emitted before,
-    so a sink that sorts each batch (``write_ordered_stream``) writes a stream
-    that is ordered across batches.  A second's rows are held in ``spread``
-    groups, so a burst is not one task's.  Rows without a time have no place
-    in the order and are not emitted."""
-    x = df.withWatermark(time, bound)
-    held = x.groupBy(F.window(time, "1 second"),
-                     F.pmod(F.xxhash64(*df.columns), F.lit(spread)).alias("_part")).agg(
-        F.collect_list(F.struct(*df.columns)).alias("_rows"))
-    return held.select(F.explode("_rows").alias("_r")).select("_r.*")
-
-
 def throughput_meter(df: DataFrame, eventtime: str = "eventtime", delay: str = "0 seconds",
                      start=None) -> DataFrame:
     """Rows per 1-second window of processing time (``current_timestamp()`` is
