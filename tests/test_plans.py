@@ -103,25 +103,27 @@ def test_no_query_pairs_everything(spark):
 
 def test_expensive_inputs_are_evaluated_once(spark):
     """The joins under the per-cell views run once (both parts read one exchange),
-    the sharded query and the meters scan once."""
+    the meters scan once."""
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         from tidemark.plans import catalog
         scans = {n: _plan(catalog.query(n)(spark, "/root/testdata/sf0.001")).count("FileScan")
-                 for n in ("join_n_agg_view_backward", "join_n_agg_view2", "flows_agg_sharded",
+                 for n in ("join_n_agg_view_backward", "join_n_agg_view2",
                            "throughput_meter", "data_rate", "running_avg_rps")}
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.set("spark.sql.adaptive.enabled", "true")
-    # two sides of one join; flows twice (rows and buckets) and sessions; one table
-    assert scans == {"join_n_agg_view_backward": 2, "join_n_agg_view2": 2, "flows_agg_sharded": 3,
+    # two sides of one join; one table
+    assert scans == {"join_n_agg_view_backward": 2, "join_n_agg_view2": 2,
                      "throughput_meter": 1, "data_rate": 1, "running_avg_rps": 1}
 
 
-def test_shards_and_one_pass_agree(spark):
-    """The union over shards equals the one-pass form; rows without a session
-    are in no shard."""
+def test_shards_join_without_exchange(spark):
+    """The union over shards equals the join of sharded tables, for any number of
+    shards; rows without a session are in no shard.  The join reads both tables in
+    place, in as many tasks as there are shards."""
+    from tidemark.functions.frames import MICROS
     i = Inputs(spark, "/root/testdata/sf0.001")
     f = i.ingested_flows()
     f = f.unionByName(f.limit(3).withColumn("sessionid", F.lit(None).cast("int")))
@@ -129,7 +131,10 @@ def test_shards_and_one_pass_agree(spark):
 
     def one(flows, sessions):
         return joins.flows_agg_step_2(windows.flows_agg_step_1(flows), sessions)
-    for n in (2, 3):
-        assert _rows(shard.sharded_once(one, [f, s], n)) == _rows(shard.sharded(one, [f, s], n))
-    once = shard.sharded_once(windows.flows_agg_step_1, [f], 2)
-    assert _rows(once) == _rows(shard.sharded(windows.flows_agg_step_1, [f], 2))
+    for n in (2, 5):
+        want = shard.sharded(one, [f, s], n)
+        got = shard.co_sharded_join(windows.flows_agg_step_1(f), s, n, 0, 5 * MICROS["minute"])
+        assert _rows(got.select(*want.columns)) == _rows(want)
+        plan = _plan(got)
+        assert "SortMergeJoin" in plan and "Exchange" not in plan and f"SelectedBucketsCount: {n} out of {n}" in plan
+        assert got.rdd.getNumPartitions() == n

@@ -184,3 +184,47 @@ def test_sharded_dataflow_stream_equals_batch(spark, tmpdir_path):
     assert Counter(map(tuple, got.select(*cols).collect())) == \
         Counter(map(tuple, want.select(*cols).collect()))
     assert want.count() > 0
+
+
+def test_two_pumps_fill_one_stream_and_one_is_restarted(spark, tmpdir_path, monkeypatch):
+    """A pump dies between its rows and its record, and once more after the record but
+    before its checkpoint: no row is there twice or lost, and a reader that follows
+    the stream sees each row once."""
+    import pytest
+
+    from tidemark.streaming import named
+    rec = flow_records(table(spark, SF, "events"))
+    ing = {}
+    for k in (0, 1):
+        write_rotated(rec.filter(f"pmod(cast(flowid as int), 2) = {k}"), f"{tmpdir_path}/in{k}", 100)
+        ing[k] = projection.flows_ingestion(csv.read_flows(spark, f"{tmpdir_path}/in{k}", stream=True, max_files_per_trigger=1))
+    stream = named.NamedStream(spark, tmpdir_path + "/named", ing[0].schema)
+    assert stream.read().count() == 0
+    seen = []
+
+    def follow():
+        q = stream.forward(lambda rows, batch: seen.extend(r.octets for r in rows.select("octets").collect()), tmpdir_path + "/ck_read")
+        q.awaitTermination()
+
+    def pump(k):
+        stream.pump(ing[k], f"pump{k}", f"{tmpdir_path}/ck{k}").awaitTermination()
+    write = named.write_whole
+    for after in (False, True):
+        def dies(spark_, path, text, after=after):
+            if "pump0" in path and path.endswith(f"{1 + after:012d}.json"):
+                if after:
+                    write(spark_, path, text)
+                raise RuntimeError("lost")
+            write(spark_, path, text)
+        monkeypatch.setattr(named, "write_whole", dies)
+        with pytest.raises(Exception, match="lost"):
+            pump(0)
+        follow()
+    monkeypatch.setattr(named, "write_whole", write)
+    pump(1)
+    follow()
+    pump(0)
+    follow()
+    want = sorted(r.octets for r in projection.flows_ingestion(rec).select("octets").collect())
+    assert sorted(r.octets for r in stream.read().select("octets").collect()) == want
+    assert sorted(seen) == want and dict(stream.read().dtypes)["sessionid"] == "int"

@@ -2,6 +2,7 @@ import os
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.scalars import normalise_eventtime, shard_of
 from tidemark.operators import projection, shard
@@ -103,3 +104,19 @@ def test_generator_profile(spark):
         return df.select(F.avg(F.unix_millis(F.col("eventtime").cast("timestamp")))).first()[0]
     # the same rows, each moved back by its lateness: compare mean event times
     assert abs((mean_ms(on_time) - mean_ms(late)) / 1000 - 60 / 6) < 1.0
+
+
+def test_trace_of_rejected_lines_is_bounded_and_stable(spark):
+    """A sample per reason, the same in any partitioning; repeated lines are counted."""
+    from tidemark.operators.late import sample_trace
+    lines = [f"{k},2020-01-01 00:00:00.{k % 7},{k}" for k in range(40)] + ["x1,2020-01-01 00:00:00.0,1"] * 3 + \
+        [f"{k},never,1" for k in range(30)] + ["1,2", "1,2020-01-01 00:00:00.0,1,2", "3,2020-01-01 00:00:00.0,much"] * 2
+    schema = T.StructType.fromDDL("sessionid int, eventtime timestamp, uplinkoctets bigint")
+    df = spark.createDataFrame([(x,) for x in lines], "value string")
+    kind = csv.reject_reason("value", schema, timestamp_format="yyyy-MM-dd HH:mm:ss.S")
+    bad = df.select(F.col("value").alias("line"), kind.alias("kind")).where("kind IS NOT NULL")
+    runs = [sorted(map(tuple, sample_trace(bad.repartition(n), 4).collect())) for n in (1, 3, 8)]
+    assert runs[0] == runs[1] == runs[2]
+    assert {(r[0], r[1]) for r in runs[0]} == {("sessionid", 3), ("eventtime", 30), ("fields", 4), ("uplinkoctets", 2)}
+    assert [r[4] for r in runs[0] if r[0] == "sessionid"] == [3]
+    assert sum(r[0] == "eventtime" for r in runs[0]) == 4

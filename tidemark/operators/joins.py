@@ -34,21 +34,31 @@ def interval_join(left: DataFrame, right: DataFrame, key: str, left_time: str,
     ``right_cols`` are the right-side columns to keep (besides none of its key
     and time); names must not clash with the left side."""
     lo, hi = micros(lower), micros(upper)
+    right_cols = right_cols or [c for c in right.columns if c not in (key, right_time)]
+    l, r = interval_sides(left, right, key, left_time, right_time, lo, hi, right_cols, bucket)
+    return interval_pairs(l, r, key, lo, hi, left.columns, right_cols)
+
+
+def interval_sides(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, lower, upper,
+                   right_cols: list[str], bucket=None) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the columns that an interval join is dealt by: the key and a
+    time bucket ``_b``; right rows are copied to the buckets their bound reaches."""
+    lo, hi = micros(lower), micros(upper)
     if lo > hi:
         raise ValueError("lower bound above upper bound")
     b = micros(bucket) if bucket else max(hi - lo, MICROS["second"])
-    right_cols = right_cols or [c for c in right.columns if c not in (key, right_time)]
-    lt = F.unix_micros(F.col(left_time))
-    l = left.withColumn("_lus", lt).withColumn("_b", floor_div(F.col("_lus"), b))
-    rt = F.unix_micros(F.col(right_time))
-    r = right.select(F.col(key).alias("_rkey"), rt.alias("_rus"), *right_cols)
-    first = floor_div(F.col("_rus") + lo, b)
-    last = floor_div(F.col("_rus") + hi, b)
-    r = r.withColumn("_b", F.explode(F.sequence(first, last)))
+    l = left.withColumn("_lus", F.unix_micros(F.col(left_time))).withColumn("_b", floor_div(F.col("_lus"), b))
+    r = right.select(F.col(key).alias("_rkey"), F.unix_micros(F.col(right_time)).alias("_rus"), *right_cols)
+    first, last = floor_div(F.col("_rus") + lo, b), floor_div(F.col("_rus") + hi, b)
+    return l, r.withColumn("_b", F.explode(F.sequence(first, last)))
+
+
+def interval_pairs(l: DataFrame, r: DataFrame, key: str, lower, upper, left_cols: list[str],
+                   right_cols: list[str]) -> DataFrame:
+    """The pairs of two :func:`interval_sides`."""
     cond = ((l[key] == r["_rkey"]) & (l["_b"] == r["_b"])
-            & (l["_lus"] >= r["_rus"] + lo) & (l["_lus"] <= r["_rus"] + hi))
-    out = l.join(r, cond, "inner")
-    return out.select(*[l[c] for c in left.columns], *[r[c] for c in right_cols])
+            & (l["_lus"] >= r["_rus"] + micros(lower)) & (l["_lus"] <= r["_rus"] + micros(upper)))
+    return l.join(r, cond, "inner").select(*[l[c] for c in left_cols], *[r[c] for c in right_cols])
 
 
 JOIN_COLUMNS = ["sessionid", "eventtime", "cellid", "octets", "packets"]

@@ -10,7 +10,7 @@ batch rule keeps).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.frames import MICROS, micros
@@ -48,3 +48,16 @@ def t_sort(df: DataFrame, eventtime: str = "eventtime", stream: bool = False,
     kept = mark_late(df, eventtime=eventtime, bound=bound, **kw).filter(~F.col("late"))
     kept = kept.drop("late", "newest_before")
     return kept.orderBy(eventtime) if sort else kept
+
+
+def sample_trace(lines: DataFrame, per_kind: int, kind: str = "kind", line: str = "line") -> DataFrame:
+    """A bounded trace of failed or late rows: per ``kind`` the number of rows, and
+    ``per_kind`` distinct lines with how often each occurs, those of the smallest
+    hashes.  That is the same sample however the rows are partitioned, and samples
+    of parts merge into the sample of the whole: equal lines are counted before the
+    shuffle, and a task keeps no more than ``per_kind`` of a kind."""
+    distinct = lines.groupBy(kind, line).agg(F.count("*").alias("times"))
+    place = F.row_number().over(Window.partitionBy(kind).orderBy(F.md5(F.col(line).cast("binary")), line))
+    kept = distinct.withColumn("place", place).where(F.col("place") <= per_kind)
+    totals = lines.groupBy(F.col(kind).alias("_kind")).agg(F.count("*").alias("rows"))
+    return kept.join(totals, F.col(kind).eqNullSafe(F.col("_kind"))).select(kind, "rows", "place", line, "times")

@@ -1,7 +1,7 @@
 """Reports over run telemetry: GC counter logs, run logs, benchmark tables.
 
-Each report reads many log files with Spark; work is split by file (a log
-belongs to one process run, and its lines are ordered within it).
+Each report reads many log files with Spark; work is split by file (a log belongs
+to one process run, and its lines are ordered within it) and by byte range.
 """
 
 from __future__ import annotations
@@ -11,29 +11,51 @@ from pyspark.sql import functions as F
 
 GIB_KIB = 1024 * 1024      # jstat capacities are KiB; reports show GiB
 
-# jstat -gc -t field positions (1-based) used by the report
+# fixed values: jstat -gc -t field positions (1-based) used by the report
 GC_FIELDS = {"time": 1, "s0c": 2, "s1c": 3, "s0u": 4, "s1u": 5, "ec": 6, "eu": 7, "oc": 8,
              "ou": 9, "ygc": 14, "ygct": 15, "fgc": 16, "fgct": 17, "gct": 18}
 
+# fixed value: the report's header
 GC_HEADER = "Timestamp,HeapUsedGib,HeapCurrentGib,YGC,YGCT,FGC,FGCT,GCT,DeltaGC%,GC%"
 
 
 def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, line) for every line of the files under ``path``.
+    """(file, block, line_no, line) for every line with text under ``path``.
 
-    Each file is read whole so lines keep their order; GC and run logs are
-    small per file, and files are spread over tasks."""
-    df = spark.read.option("wholetext", "true").text(path)
-    df = df.select(F.input_file_name().alias("file"), "value")
-    return df.select("file", F.posexplode(F.split("value", "\n")).alias("line_no", "line")) \
-             .filter(F.length(F.trim("line")) > 0)
+    A file is read in byte ranges by as many tasks as its size asks for.  ``block`` is
+    where a line's range begins; lines are numbered in their range in the order they
+    are read, and go on from the lines of the ranges before (one row per range)."""
+    df = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"),
+                                      F.col("_metadata.file_block_start").alias("block"),
+                                      F.monotonically_increasing_id().alias("_read"), F.col("value").alias("line"))
+    place = F.row_number().over(Window.partitionBy("file", "block").orderBy("_read"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    start = df.groupBy("file", "block").agg(F.count("*").alias("_n")) \
+        .select("file", "block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    out = df.withColumn("_place", place).join(start, ["file", "block"])
+    return out.select("file", "block", (F.col("_start") + F.col("_place") - 1).alias("line_no"), "line") \
+              .filter(F.length(F.trim("line")) > 0)
+
+
+def _carried(rows: DataFrame, value, fold) -> DataFrame:
+    """Per (file, block): ``fold`` of ``value`` over all earlier blocks of the file."""
+    earlier = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    per = rows.groupBy(F.col("file").alias("_file"), F.col("block").alias("_block")).agg(value.alias("_v"))
+    return per.select("_file", "_block", fold("_v").over(earlier).alias("_before"))
+
+
+def _with_carry(rows: DataFrame, carry: DataFrame) -> DataFrame:
+    return rows.join(carry, (F.col("file") == F.col("_file")) & (F.col("block") == F.col("_block")), "left") \
+        .drop("_file", "_block")
 
 
 def gc_report(lines: DataFrame) -> DataFrame:
     """GC summary of ``jstat -gc -t`` logs, one row per sample in which the
     collection count rose above every earlier sample of the file.
 
-    Input: (file, line_no, line).  Output per kept sample: the whole-second
+    Input: (file, block, line_no, line).  A file's running maximum and last kept sample
+    are found per block of the file and carried from block to block, so a long log is
+    not one task's.  Output per kept sample: the whole-second
     time, heap used / current in GiB, collection counts and times, the share
     of time spent collecting since the previous kept sample (``delta_gc_pct``)
     and since the start (``gc_pct``), and ``line``: the CSV text of the row.
@@ -44,7 +66,7 @@ def gc_report(lines: DataFrame) -> DataFrame:
                                                    F.col("line").alias("line"))
     data = x.filter((F.col("_first") != "#") & (F.col("_first") != "Timestamp"))
     num = {k: F.col("_f")[i - 1].cast("double") for k, i in GC_FIELDS.items()}
-    data = data.select("file", "line_no",
+    data = data.select("file", "block", "line_no",
                        F.floor(num["time"]).cast("bigint").alias("timestamp"),
                        ((num["s0u"] + num["s1u"] + num["eu"] + num["ou"]) / GIB_KIB)
                        .alias("heap_used_gib"),
@@ -54,14 +76,18 @@ def gc_report(lines: DataFrame) -> DataFrame:
                        num["fgc"].cast("bigint").alias("fgc"), num["fgct"].alias("fgct"),
                        num["gct"].alias("gct"))
     gc = F.col("ygc") + F.col("fgc")
-    before = Window.partitionBy("file").orderBy("line_no").rowsBetween(
-        Window.unboundedPreceding, -1)
+    order = Window.partitionBy("file", "block").orderBy("line_no")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
     # the last emitted count is the maximum count of all earlier samples
-    kept = data.withColumn("_prev_max", F.coalesce(F.max(gc).over(before), F.lit(-1))) \
-               .filter(gc > F.col("_prev_max"))
-    prev = Window.partitionBy("file").orderBy("line_no")
-    last_gct = F.coalesce(F.lag("gct").over(prev), F.lit(0.0))
-    last_time = F.coalesce(F.lag("timestamp").over(prev), F.lit(0))
+    data = _with_carry(data, _carried(data, F.max(gc), F.max))
+    kept = data.withColumn("_prev_max", F.coalesce(F.greatest(F.max(gc).over(before), "_before"), F.lit(-1))) \
+               .filter(gc > F.col("_prev_max")).drop("_before")
+    # the sample kept before: of the same block, or the last of the blocks before
+    kept = _with_carry(kept, _carried(kept, F.max_by(F.struct("gct", "timestamp"), "line_no"),
+                                      lambda c: F.last(c, ignorenulls=True)))
+    last = F.coalesce(F.lag(F.struct("gct", "timestamp")).over(order), F.col("_before"))
+    last_gct = F.coalesce(last["gct"], F.lit(0.0))
+    last_time = F.coalesce(last["timestamp"], F.lit(0))
     dt = F.col("timestamp") - last_time
     kept = kept.withColumn("delta_gc_pct", F.when(dt == 0, F.lit(0.0))
                            .otherwise((F.col("gct") - last_gct) * 100 / dt)) \

@@ -15,8 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.frames import MICROS
 from ..functions.scalars import normalise_eventtime
 from ..operators import joins, late, meters, projection, shard, windows
+from ..operators.late import sample_trace
 from ..session import prepare
 from ..sources import csv
 from ..sources.tables import (CELL_BASE, compressed_micros, flows_from_events,
@@ -156,6 +158,14 @@ def _rejected_rows(i: Inputs):
     return _typed_flows(i)[1].select(F.col(csv.CORRUPT).alias("line"))
 
 
+@register("rejected_trace")
+def _rejected_trace(i: Inputs):
+    """For each reason that lines were rejected for: how many, and five of them."""
+    bad = _typed_flows(i)[1].select(F.col(csv.CORRUPT).alias("line"))
+    kind = csv.reject_reason("line", T.StructType.fromDDL(TYPED_FLOW), timestamp_format=TYPED_TIME)
+    return sample_trace(bad.withColumn("kind", kind), 5)
+
+
 @register("sessions_step_2")
 def _sessions_step_2(i: Inputs):
     return i.sessions2()
@@ -269,10 +279,11 @@ def _flows_agg_step_2_session(i: Inputs):
 
 @register("flows_agg_sharded")
 def _flows_agg_sharded(i: Inputs):
-    """Two shards of the offset-frame aggregate + join, in one pass."""
-    def one(flows, sessions):
-        return joins.flows_agg_step_2(windows.flows_agg_step_1(flows), sessions)
-    return shard.sharded_once(one, [i.ingested_flows(), _ingested_sessions_for_join(i)], 2)
+    """Offset-frame statistics and session rows, both laid out in eight shards, joined
+    shard by shard."""
+    agg = windows.flows_agg_step_1(i.ingested_flows())
+    out = shard.co_sharded_join(agg, _ingested_sessions_for_join(i), 8, 0, 5 * MICROS["minute"])
+    return out.select("sessionid", "eventtime", "cellid", *windows.STAT_COLUMNS)
 
 
 # -- late rows and meters -------------------------------------------------------

@@ -134,6 +134,12 @@ FROM flows WHERE event_id % 10 <> 7""")
     q["rejected_rows"] = _with("""
 SELECT sessionid || ',' || ts_text || ',' || up_o AS line
 FROM flows WHERE event_id % 10 = 7""")
+    bad = "(SELECT sessionid || ',' || ts_text || ',' || up_o AS line FROM flows WHERE event_id % 10 = 7)"
+    q["rejected_trace"] = _with(f"""
+SELECT 'eventtime' AS kind, rows, place, line, times FROM (
+  SELECT line, count(*) AS times, row_number() OVER (ORDER BY md5(line), line)::INTEGER AS place
+  FROM {bad} GROUP BY line), (SELECT count(*) AS rows FROM {bad})
+WHERE place <= 5""")
     q["sessions_step_2"] = _with("SELECT sessionid, eventtime, cellid FROM sessions")
     q["flows_ingestion"] = _with("SELECT rowtime, eventtime, sessionid, octets, packets FROM fi")
     q["sessions_ingestion"] = _with("SELECT rowtime, sessionid, eventtime, cellid FROM si")

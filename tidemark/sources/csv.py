@@ -159,3 +159,21 @@ def parse_lines(lines: DataFrame, schema: T.StructType, sep: str = ",",
         opts["timestampFormat"] = timestamp_format
     parsed: Column = F.from_csv(F.col(column), ddl, opts)
     return lines.select(parsed.alias("r")).select("r.*")
+
+
+def reject_reason(column: str, schema: T.StructType, sep: str = ",",
+                  timestamp_format: str | None = None) -> Column:
+    """Why a delimited line does not fit ``schema``: the number of its fields, or the
+    first field that cannot be read as its type; NULL if it fits."""
+    parts = F.split(F.col(column), re.escape(sep), -1)
+    reason = F.when(F.size(parts) != len(schema), F.lit("fields"))
+    for k, f in enumerate(schema):
+        value = F.nullif(parts[k], F.lit(""))
+        if isinstance(f.dataType, T.TimestampType):
+            read = F.try_to_timestamp(value, F.lit(timestamp_format)) if timestamp_format else F.try_to_timestamp(value)
+        elif isinstance(f.dataType, T.StringType):
+            continue
+        else:
+            read = value.try_cast(f.dataType)
+        reason = reason.when(value.isNotNull() & read.isNull(), F.lit(f.name))
+    return reason

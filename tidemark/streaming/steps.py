@@ -285,7 +285,7 @@ class Steps:
         base = self.work + "/commits"
         if not exists(self.spark, base):
             return None
-        records = [json.loads(r.value) for r in self.spark.read.text(base + "/*.json").collect()]  # two at most
+        records = [json.loads(r.value) for r in self.spark.read.option("pathGlobFilter", "*.json").text(base).collect()]  # two at most
         return max(records, key=lambda r: r["batch"], default=None)
 
 
