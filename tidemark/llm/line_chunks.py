@@ -24,8 +24,9 @@ Defined results: a null text has no lines and stays null, an empty one has one
 empty line; for chunks, rows that share a doc_id are judged alike (a chunk that is
 first under that id stays in each of them), for passages those that share doc_id and
 text; rows without a doc_id keep their text;
-an empty table gives an empty result.  Columns other than doc_id and text are
-carried along unread.
+a text of any length is cut whole, in time that grows with its lines (runs of lines
+are hashed once for each line that starts or ends one); an empty table gives an empty
+result.  Columns other than doc_id and text are carried along unread.
 """
 
 from __future__ import annotations
@@ -64,6 +65,11 @@ def _chunked(df: DataFrame) -> DataFrame:
     return _held(df.select(*columns, "_ends"), _chunks=F.transform("_ends", chunk))
 
 
+def _numbered(nos: str) -> Column:
+    """The chunks of the given numbers (a chunk's number is its place)."""
+    return F.filter(F.transform(nos, lambda k: F.get(F.col("_chunks"), k)), lambda c: c.isNotNull())
+
+
 def repeated_chunks(docs: DataFrame) -> DataFrame:
     """``(doc_id, nos)``: chunk numbers to remove from each document.
 
@@ -78,8 +84,7 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     again = staged(keys.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "repeated-hashes")
     asked = staged(keys.join(again, "h").groupBy("doc_id").agg(F.collect_set("no").alias("asked")), "asked")
     texts = lines.join(asked.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "asked")
-    texts = _chunked(texts).select("doc_id", F.explode(F.filter(
-        "_chunks", lambda c: F.array_contains("asked", c["no"]))).alias("c"))
+    texts = _chunked(texts).select("doc_id", F.explode(_numbered("asked")).alias("c"))
     texts = staged(texts.select("doc_id", "c.no", "c.body", F.xxhash64("c.body").alias("h")), "chunks")
     # the bytes themselves are the key: equal hashes of different chunks stay apart
     first = staged(texts.groupBy("h", "body").agg(F.min(F.struct("doc_id", "no")).alias("first"),
@@ -144,8 +149,8 @@ def dedup_lines(docs: DataFrame, passages: bool = False) -> DataFrame:
     else:
         out = out.withColumn("_gone", none)
     out = _chunked(out)
-    removed = F.filter("_chunks", lambda c: F.array_contains(F.coalesce("_nos", none), c["no"]))
-    out = _held(out, _split=F.split("text", "\n", -1), _removed=removed)
+    out = out.withColumn("_nos", F.coalesce("_nos", none))
+    out = _held(out, _split=F.split("text", "\n", -1), _removed=_numbered("_nos"))
     gone = F.flatten(F.transform("_removed", lambda c: F.sequence(c["start"], c["start"] + c["n_lines"] - 1)))
     every = F.sequence(F.lit(0), F.size("_split") - 1)
     out = _held(out, _kept=F.array_except(every, F.concat(F.coalesce("_gone", none), gone)))
