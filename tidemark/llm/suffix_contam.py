@@ -199,7 +199,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, locations: bool = True,
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    found = contamination(docs, benchmark, locations=False)
+    found = contamination(docs, benchmark)
     ids = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
-                        F.sha2(ids, 256).alias("items_sha256"), "contaminated")
+                        F.sha2(ids, 256).alias("items_sha256"), "contaminated", "matches")
