@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from . import grams
 from .graph import components
 from .groups import Forest, runs
-from .staging import staged, without
+from .staging import nested, staged, unnested
 
 WORDS = 5
 #: links need PART * intersection >= OF * union
@@ -240,7 +240,26 @@ def link(docs: DataFrame, words: int = WORDS, block: int = BLOCK) -> DataFrame:
                       F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id")).alias("component_id"))
 
 
+#: ids of this and above stand for rows without an id of their own
+SHARED_ID = 1 << 62
+
+
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` without those that link to a document of smaller id, directly or
-    through others."""
-    return without(docs, link(docs, **options).where("component_id <> doc_id").select("doc_id").distinct())
+    """One row of each group of linked rows, that of the smallest doc_id.  Rows are
+    judged by their own text: a row whose id others share, or that has none, is
+    linked by what it holds alone, and stays if that is linked with nothing.  Of rows
+    equal in id and text one stays; rows without words are linked with nothing and
+    all stay."""
+    rows = nested(docs, "doc_id", "text", apart=("text",))
+    shared = staged(docs.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n"))
+                    .where("_n > 1 OR _id IS NULL").select("_id"), "shared-ids")
+    own = F.lit(SHARED_ID) + F.pmod(F.xxhash64("doc_id", "text"), F.lit(SHARED_ID))
+    # few ids are shared: the staged table is small, or the join is by shuffle
+    keyed = rows.join(shared.withColumn("_shared", F.lit(True)), F.col("doc_id").eqNullSafe(F.col("_id")), "left") \
+        .withColumn("_key", F.when(F.col("_shared"), own).otherwise(F.col("doc_id").cast("long"))).drop("_id", "_shared")
+    found = link(keyed.select(F.col("_key").alias("doc_id"), "text"), **options)
+    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
+    kept = keyed.join(gone, F.col("_key") == F.col("_gone"), "left_anti")
+    again = (F.col("_key") >= SHARED_ID) & F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    kept = kept.where(~again).unionByName(kept.where(again).dropDuplicates(["_key"]))
+    return unnested(kept, docs)
