@@ -4,9 +4,10 @@ Each stage is ``(name, function)``; a function takes (spark, docs, sf_dir) and
 returns a DataFrame, which is written and read again as the next one's docs.
 All but the last return the columns of ``documents``.
 
-Toxicity and contamination are judged and applied row by row, never by doc_id:
-a row without an id goes if its own text is flagged, and of rows that share an id
-only the flagged ones go.
+Toxicity, near-duplicates and contamination are judged and applied row by row, never
+by doc_id: a row without an id goes if its own text is flagged, and of rows that share
+an id only the flagged ones go.  Of linked rows the one of the smallest id stays, of
+rows equal in id and text one.  Rows without an id keep their lines.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that hold benchmark passages go."""
     prepare(spark)
     rows = nested(docs, "doc_id", "text", apart=("text",))
-    found = suffix_contam.contamination(rows, documents(spark, sf_dir, "benchmark"), locations=False, carry=("text", "_row"))
+    found = suffix_contam.contamination(rows, documents(spark, sf_dir, "benchmark"), carry=("text", "_row"))
     return unnested(found.where("NOT contaminated"), docs)
 
 
