@@ -1,9 +1,9 @@
 """Substring dedup by distributed prefix doubling.
 
 A byte is removed if a ``LENGTH``-byte string that also starts in a document of
-smaller id covers it.  Positions are named by longer and longer prefixes; Spark
-sorts the names, and a position is followed only while its prefix is not yet
-unique and not yet long enough:
+smaller id covers it.  Positions are named by longer and longer prefixes, in two
+fixed rounds; Spark deals the names to buckets, a task sorts those of its bucket, and
+a position is followed only while its prefix is not yet unique and not yet long enough:
 
 1. ``SEED``-byte prefixes.  Any two equal windows of LENGTH bytes hold the same
    smallest seed hash, so one position stands for a whole run of windows that
@@ -13,7 +13,7 @@ unique and not yet long enough:
    holds too is removed as a whole.  If all segments of a seed are equal, the
    smallest document's is settled as well.
 3. LENGTH-byte windows of the segments that are still open, named by the pair of
-   their halves' names: sorted again, a window that a smaller document holds is
+   their halves' names: dealt and sorted again, a window that a smaller document holds is
    removed.
 
 The smallest holder of a window is never removed in step 2 by a smaller one, so

@@ -78,11 +78,5 @@ def unnested(judged: DataFrame, docs: DataFrame) -> DataFrame:
     return judged.select(*[rest.get(c, F.col("text")) for c in docs.columns])
 
 
-def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` but for those whose id is in the one-column ``gone``."""
-    gone = gone.toDF("gone")
-    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
-
-
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
