@@ -63,13 +63,21 @@ def test_very_many_repeated_chunks(ready):
 def test_registered_decontamination_tells_places(ready):
     """The longest matches name words that are there in document and item."""
     import re
+    from typing import NamedTuple
+
+    class Match(NamedTuple):
+        word: int
+        item_id: int
+        item_word: int
+        n_words: int
+
     out = queries.op4_suffix_arrays(ready, SF).where("n_hit > 0")
     docs, items = ({r[0]: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", brute.lower(r[1])) for r in
                     staging.documents(ready, SF, t).select(c, "text").collect()} for t, c in (("documents", "doc_id"), ("benchmark", "item_id")))
     n = 0
     for r in out.collect():
         hit = set()
-        for m in r.matches:
+        for m in (Match(*map(int, x.split(":"))) for x in r.matches.split(",")):
             own = docs[r.doc_id][m.word:m.word + m.n_words]
             item = items[m.item_id]
             assert own == item[m.item_word:m.item_word + m.n_words] and len(own) == m.n_words

@@ -12,6 +12,7 @@ from . import (
     lexical,
     line_chunks,
     mixing,
+    oracle,
     packing,
     pii,
     prefix_doubling,
@@ -98,5 +99,6 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     tables = {t: t for t in TABLES}
     sql = {"op1_warc": warc.ORACLE, "op5_mixing": mixing.ORACLE, "op12_importance_resampling": resample.ORACLE,
-           "op13_geometric_blocks": lexical.ORACLE}
+           "op13_geometric_blocks": lexical.ORACLE, "op2_itq": oracle.EMBEDDINGS, "op3_signature_trees": oracle.JACCARD,
+           "op4_suffix_arrays": oracle.CONTAMINATION, "op10_prefix_doubling": oracle.SUBSTRINGS}
     return {name: text.format(**tables) for name, text in sql.items()}

@@ -199,7 +199,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, locations: bool = True,
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The digest columns, and the longest matches as ``word:item_id:item_word:n_words``,
+    in order and comma-joined."""
     found = contamination(docs, benchmark)
     ids = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
+    listed = F.transform(F.array_sort("matches"), lambda m: F.concat_ws(":", m["word"], m["item_id"], m["item_word"], m["n_words"]))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
-                        F.sha2(ids, 256).alias("items_sha256"), "contaminated", "matches")
+                        F.sha2(ids, 256).alias("items_sha256"), "contaminated",
+                        F.array_join(listed, ",").alias("matches"))
