@@ -89,3 +89,26 @@ def test_registered_decontamination_tells_places(ready):
             n += 1
         assert len(hit) == r.n_hit
     assert n > 0
+
+
+NOTICE = "we use cookies to keep this page running please read the notice before going on"
+
+
+def test_texts_that_share_a_notice(ready):
+    """Short texts that hold a common notice and little else: links are all found, and
+    the rows that are compared grow with the texts, not with their square."""
+    import numpy as np
+    dealt = {}
+    for n in (400, 1600):
+        rng = np.random.default_rng(n)
+        rows = [(i, " ".join([NOTICE, *(f"a{k}" for k in rng.integers(0, 10**6, int(rng.integers(2, 8))))])) for i in range(n)]
+        rows += [(n + i, rows[7 * i][1] + (" end" if i % 2 else "")) for i in range(n // 20)]
+        docs = ready.createDataFrame(rows, "doc_id long, text string")
+        if n == 400:
+            want = brute.jaccard_components(rows)
+            assert any(c != d for d, (_, c) in want.items())
+            assert {r.doc_id: (r.n_shingles, r.component_id) for r in sigtree.link(docs, block=32).collect()} == want
+        held = docs.select(docs.doc_id.alias("doc"), docs.doc_id.alias("comp"))
+        found = sigtree._prefix_groups(held, docs.withColumnRenamed("doc_id", "doc"), 5, 32)
+        dealt[n] = sum(r.nb if r.visits else 1 for r in found.collect())
+    assert dealt[1600] < 6 * dealt[400]

@@ -19,11 +19,18 @@ checked on the sets themselves, unless earlier links joined them.
 
 Groups come in two rounds, with connected components in between: the two
 smallest hashes of each document, then all groups that still hold more than one
-component.  Groups of more than ``BLOCK`` documents are dealt with in blocks.
-In the second round large groups are parted by size range first; documents
-outside a part's main component visit all its blocks, and a document visits a
-large group only if the pairs it could have there are not found in a small one
-(see ``HOT_SHARED``).
+component.  Groups of more than ``BLOCK`` documents are dealt with in blocks in
+the first round, for the links inside blocks alone.
+
+In the second round no sketch hash that more than ``BLOCK`` documents hold is a
+key.  The documents that hold one are joined by the exact prefix instead: each
+orders its shingles by how many of these documents hold them (those that few hold
+by hash), and takes the first quarter of its set plus one as keys.  A linked pair
+has a key in common, and one that is in the first seventh plus one of its smaller
+set (``index``).  So a shingle that many share is a key only of documents that hold
+little else, and those mostly link.  Groups of such a key are parted by size range;
+what is outside the part's main component, and is or meets an ``index`` key, visits
+all its blocks.
 
 Defined results: null, empty and blank texts have no shingles and link with
 nothing (also rows without an id); rows that share a doc_id each have the component
@@ -52,8 +59,6 @@ PART, OF = 100, 75
 SKETCH = 32
 BLOCK = 512
 FANOUT = 8
-#: linked pairs share this many hashes, but for 4e-9 of the pairs at the threshold
-HOT_SHARED = 9
 PAIRS_AT_ONCE = 1 << 14
 
 
@@ -76,6 +81,19 @@ def _sketches(words: int):
     return run
 
 
+def _sets(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, offs in grams.slices(batch):
+                sets = [s.view(np.int64) for s in grams.shingle_sets(data, offs, words)]
+                ends = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
+                flat = np.concatenate([*sets, np.zeros(0, np.int64)])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc"), part.column("comp"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))],
+                    ["doc", "comp", "set"])
+    return run
+
+
 class Tree:
     """Levels of nodes over documents that are ordered by size."""
 
@@ -173,10 +191,11 @@ def _linker(words: int):
 
 
 def _search(members: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """Edges between components from ``(token, doc, comp, main, nb)``."""
+    """Edges between components from ``(token, doc, comp, nb, visits)``: rows of a
+    group of ``nb`` blocks, those that visit all and those that stay in their own."""
     spark = members.sparkSession
     members = members.withColumn("home", F.pmod(F.xxhash64("doc", "token"), F.col("nb")).cast("int")) \
-        .withColumn("shared", (F.col("nb") > 1) & (F.col("comp") != F.col("main")))
+        .withColumn("shared", F.col("visits") & (F.col("nb") > 1))
     members = members.withColumn("block", F.explode(F.when(F.col("shared"), F.sequence(F.lit(0), (F.col("nb") - 1).cast("int")))
                                                     .otherwise(F.array("home"))))
     dealt = members.join(texts, "doc").select("token", "block", "doc", "comp", "home", "shared", "text")
@@ -191,36 +210,73 @@ def _merged(reps: DataFrame, edges: DataFrame) -> DataFrame:
     return reps.join(ids, "comp", "left").withColumn("comp", F.coalesce("component", "comp")).drop("component")
 
 
+def _who():
+    """The same for groups of the same documents."""
+    return F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("who")
+
+
 def _first_groups(reps: DataFrame, block: int) -> DataFrame:
     tokens = reps.select("doc", "comp", F.explode(F.slice("sketch", 1, 2)).alias("token")).distinct()
     sizes = tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
     # in this round every document stays in its own block
-    return tokens.join(sizes, "token").select("token", "doc", "comp", F.col("comp").alias("main"), F.ceil(F.col("c") / block).alias("nb"))
+    return tokens.join(sizes, "token").select("token", "doc", "comp", F.ceil(F.col("c") / block).alias("nb"), F.lit(False).alias("visits"))
+
+
+def _whole(tokens: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Groups of one block each; groups of the same documents are one."""
+    once = sizes.groupBy("c", "who").agg(F.min("token").alias("token")).select("token")
+    return tokens.join(once, "token").select("token", "doc", "comp", F.lit(1).cast("long").alias("nb"), F.lit(False).alias("visits"))
 
 
-def _other_groups(reps: DataFrame, block: int) -> DataFrame:
-    tokens = reps.select("doc", "comp", "n", F.explode("sketch").alias("token"))
+def _other_groups(reps: DataFrame, texts: DataFrame, words: int, block: int) -> DataFrame:
+    tokens = reps.select("doc", "comp", F.explode("sketch").alias("token"))
     sizes = tokens.groupBy("token").agg(
-        F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"),
-        F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("who")).where("c > 1 AND lo < hi")
+        F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), _who()).where("c > 1 AND lo < hi")
     sizes = staged(sizes.select("token", "c", "who"), "groups")
-    # groups of the same documents are one
-    small = sizes.where(F.col("c") <= block).groupBy("c", "who").agg(F.min("token").alias("token")).select("token")
-    small = tokens.join(small, "token").select("token", "doc", "comp", F.lit(-1).cast("long").alias("main"), F.lit(1).cast("long").alias("nb"))
-    # a pair without a common small group shares HOT_SHARED large ones (sets of few hashes: what similarity asks
-    # for): one of them is left if each document skips its last ones, one fewer than that
-    large = tokens.join(sizes.where(F.col("c") > block).select("token"), "token") \
-        .groupBy("doc", "comp", "n").agg(F.sort_array(F.collect_set("token")).alias("hot"))
-    count = F.size("hot") - F.least(F.lit(HOT_SHARED), F.ceil(F.col("n") * OF / PART).cast("int")) + 1
-    large = large.where(count > 0).select("doc", "comp", "n", F.explode(F.slice("hot", F.lit(1), count)).alias("token"))
+    held = tokens.join(sizes.where(F.col("c") > block).select("token"), "token").select("doc", "comp").distinct()
+    return _whole(tokens, sizes.where(F.col("c") <= block)).unionByName(_prefix_groups(held, texts, words, block))
+
+
+def _prefix_keys(held: DataFrame, texts: DataFrame, words: int, block: int) -> DataFrame:
+    """``(token, doc, comp, n, index)``: the exact prefix of each document's set in the
+    order of how many of these documents hold a shingle."""
+    sets = staged(held.join(texts, "doc").select("doc", "comp", "text")
+                  .mapInArrow(_sets(words), "doc long, comp long, set array<long>"), "sets-by-prefix")
+    common = staged(sets.select(F.explode("set").alias("token")).groupBy("token").agg(F.count("*").alias("c"))
+                    .where(F.col("c") > block), "common-shingles")
+    own = sets.select("doc", F.explode("set").alias("token")).join(common, "token") \
+        .groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("c", "token"))).alias("own"))
+    last = F.array_intersect(F.coalesce(F.col("own.token"), F.array().cast("array<long>")), F.col("set"))
+    ordered = sets.join(own, "doc", "left").select(
+        "doc", "comp", F.size("set").alias("n"), F.concat(F.array_except("set", last), last).alias("ordered"))
+    # n - ceil(share * n) + 1, where share is what a set must have in common with one that is larger, or not smaller
+    probe = F.col("n") - F.expr(f"({OF} * n + {PART - 1}) div {PART}").cast("int") + 1
+    index = F.col("n") - F.expr(f"({2 * OF} * n + {PART + OF - 1}) div {PART + OF}").cast("int") + 1
+    keys = ordered.select("doc", "comp", "n", F.posexplode(F.slice("ordered", F.lit(1), probe)).alias("pos", "token"))
+    return staged(keys.select(F.xxhash64(F.lit("prefix"), "token").alias("token"), "doc", "comp", "n", (F.col("pos") < index).alias("index")),
+                  "prefix-keys")
+
+
+def _prefix_groups(held: DataFrame, texts: DataFrame, words: int, block: int) -> DataFrame:
+    keys = _prefix_keys(held, texts, words, block)
+    open_groups = (F.col("lo") < F.col("hi")) & F.col("some")
+    limits = (F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("index").alias("some"))
+    sizes = staged(keys.groupBy("token").agg(F.count("*").alias("c"), _who(), *limits).where(open_groups)
+                   .select("token", "c", "who"), "prefix-groups")
+    small = _whole(keys, sizes.where(F.col("c") <= block))
     # linked sets differ in size by PART / OF at most: in steps a little longer than that they are neighbours
     step = F.floor(F.log("n") / (math.log(PART / OF) * 1.0001))
-    large = large.select("doc", "comp", F.explode(F.array(F.xxhash64("token", step), F.xxhash64("token", step + 1))).alias("token"))
+    large = keys.join(sizes.where(F.col("c") > block).select("token"), "token").select(
+        "doc", "comp", "index", F.explode(F.array(F.xxhash64("token", step), F.xxhash64("token", step + 1))).alias("token"))
     large = staged(large, "large-groups")
-    main = large.groupBy("token", "comp").agg(F.count("*").alias("m")).groupBy("token").agg(
-        F.max_by("comp", F.struct("m", "comp")).alias("main"), F.ceil(F.sum("m") / block).alias("nb"))
-    large = large.join(main, "token").select("token", "doc", "comp", "main", "nb")
-    return small.unionByName(large)
+    by_comp = large.groupBy("token", "comp").agg(F.count("*").alias("m"), F.max("index").alias("index"))
+    first = F.struct("m", "comp")
+    main = by_comp.groupBy("token").agg(
+        F.max_by("comp", first).alias("main"), F.max_by("index", first).alias("main_index"),
+        F.ceil(F.sum("m") / block).alias("nb"), *limits).where(open_groups).select("token", "main", "main_index", "nb")
+    # pairs are asked for between components, with an index key on one side
+    visits = (F.col("comp") != F.col("main")) & (F.col("index") | F.col("main_index"))
+    return small.unionByName(large.join(main, "token").select("token", "doc", "comp", "nb", visits.alias("visits")))
 
 
 def link(docs: DataFrame, words: int = WORDS, block: int = BLOCK) -> DataFrame:
@@ -233,7 +289,7 @@ def link(docs: DataFrame, words: int = WORDS, block: int = BLOCK) -> DataFrame:
     reps = sets.withColumn("comp", F.col("doc"))
     texts = base.withColumnRenamed("doc_id", "doc").where("text IS NOT NULL")
     reps = staged(_merged(reps, _search(_first_groups(reps, block), texts, words)), "reps")
-    reps = _merged(reps, _search(_other_groups(reps, block), texts, words))
+    reps = _merged(reps, _search(_other_groups(reps, texts, words, block), texts, words))
     ids = staged(reps.select("n", "d1", "d2", "comp"), "components")
     out = sketches.select("doc_id", "n", "d1", "d2").join(ids, ["n", "d1", "d2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"),
