@@ -17,20 +17,21 @@ nodes and drops those whose largest possible overlap is below what the
 threshold asks for, or which are one component already.  Surviving pairs are
 checked on the sets themselves, unless earlier links joined them.
 
-Groups come in two rounds, with connected components in between: the two
-smallest hashes of each document, then all groups that still hold more than one
-component.  Groups of more than ``BLOCK`` documents are dealt with in blocks in
-the first round, for the links inside blocks alone.
-
-In the second round no sketch hash that more than ``BLOCK`` documents hold is a
-key.  The documents that hold one are joined by the exact prefix instead: each
-orders its shingles by how many of these documents hold them (those that few hold
-by hash), and takes the first quarter of its set plus one as keys.  A linked pair
-has a key in common, and one that is in the first seventh plus one of its smaller
-set (``index``).  So a shingle that many share is a key only of documents that hold
-little else, and those mostly link.  Groups of such a key are parted by size range;
-what is outside the part's main component, and is or meets an ``index`` key, visits
-all its blocks.
+Groups come in three rounds, with connected components in between: the two
+smallest hashes of each document, then all groups of at most ``BLOCK`` documents
+that still hold more than one component, then those of the prefix join below.
+Groups of more than ``BLOCK`` documents are dealt with in blocks in the first round,
+for the links inside blocks alone.
+
+In the third round no sketch hash that more than ``BLOCK`` documents hold is a
+key.  Documents that hold ``SURE`` of those are joined by the exact prefix instead:
+each orders its shingles by how many of these documents hold them (those that few
+hold by hash), and takes the first quarter of its set plus one as keys.  A linked
+pair has a key in common, and one that is in the first seventh plus one of its
+smaller set (``index``).  So a shingle that many share is a key only of documents
+that hold little else, and those mostly link.  Groups of such a key are parted by
+size range; what is outside the part's main component, and is or meets an ``index``
+key, visits all its blocks.
 
 Defined results: null, empty and blank texts have no shingles and link with
 nothing (also rows without an id); rows that share a doc_id each have the component
@@ -59,6 +60,11 @@ PART, OF = 100, 75
 SKETCH = 32
 BLOCK = 512
 FANOUT = 8
+#: a linked pair shares this many sketch hashes, but for 8e-15 of the pairs at the
+#: threshold; two sets of 400 shingles hold a collision of hashes as often
+SURE = 4
+#: shingles that fewer of the documents hold count as equally rare
+COMMON = 8
 PAIRS_AT_ONCE = 1 << 14
 
 
@@ -228,13 +234,16 @@ def _whole(tokens: DataFrame, sizes: DataFrame) -> DataFrame:
     return tokens.join(once, "token").select("token", "doc", "comp", F.lit(1).cast("long").alias("nb"), F.lit(False).alias("visits"))
 
 
-def _other_groups(reps: DataFrame, texts: DataFrame, words: int, block: int) -> DataFrame:
-    tokens = reps.select("doc", "comp", F.explode("sketch").alias("token"))
+def _other_groups(reps: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """Groups of sketch hashes that at most ``block`` documents hold, and the documents
+    that may share others alone."""
+    tokens = reps.select("doc", "comp", "n", F.explode("sketch").alias("token"))
     sizes = tokens.groupBy("token").agg(
         F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), _who()).where("c > 1 AND lo < hi")
     sizes = staged(sizes.select("token", "c", "who"), "groups")
-    held = tokens.join(sizes.where(F.col("c") > block).select("token"), "token").select("doc", "comp").distinct()
-    return _whole(tokens, sizes.where(F.col("c") <= block)).unionByName(_prefix_groups(held, texts, words, block))
+    held = tokens.join(sizes.where(F.col("c") > block).select("token"), "token").groupBy("doc", "n").agg(F.count("*").alias("c"))
+    held = held.where(F.col("c") >= F.least(F.lit(SURE), F.ceil(F.col("n") * OF / PART))).select("doc").distinct()
+    return _whole(tokens, sizes.where(F.col("c") <= block)), held
 
 
 def _prefix_keys(held: DataFrame, texts: DataFrame, words: int, block: int) -> DataFrame:
@@ -243,7 +252,7 @@ def _prefix_keys(held: DataFrame, texts: DataFrame, words: int, block: int) -> D
     sets = staged(held.join(texts, "doc").select("doc", "comp", "text")
                   .mapInArrow(_sets(words), "doc long, comp long, set array<long>"), "sets-by-prefix")
     common = staged(sets.select(F.explode("set").alias("token")).groupBy("token").agg(F.count("*").alias("c"))
-                    .where(F.col("c") > block), "common-shingles")
+                    .where(F.col("c") >= COMMON), "common-shingles")
     own = sets.select("doc", F.explode("set").alias("token")).join(common, "token") \
         .groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("c", "token"))).alias("own"))
     last = F.array_intersect(F.coalesce(F.col("own.token"), F.array().cast("array<long>")), F.col("set"))
@@ -289,7 +298,12 @@ def link(docs: DataFrame, words: int = WORDS, block: int = BLOCK) -> DataFrame:
     reps = sets.withColumn("comp", F.col("doc"))
     texts = base.withColumnRenamed("doc_id", "doc").where("text IS NOT NULL")
     reps = staged(_merged(reps, _search(_first_groups(reps, block), texts, words)), "reps")
-    reps = _merged(reps, _search(_other_groups(reps, texts, words, block), texts, words))
+    groups, held = _other_groups(reps, block)
+    reps = staged(_merged(reps, _search(groups, texts, words)), "reps")
+    # staged, so that their size is known: small tables are then not joined by a shuffle of all texts
+    held = staged(reps.join(held, "doc").select("doc", "comp"), "held")
+    groups = staged(_prefix_groups(held, texts, words, block), "members")
+    reps = _merged(reps, _search(groups, texts, words))
     ids = staged(reps.select("n", "d1", "d2", "comp"), "components")
     out = sketches.select("doc_id", "n", "d1", "d2").join(ids, ["n", "d1", "d2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"),
