@@ -157,6 +157,64 @@ def test_itq_finds_one_table_pairs_once(ready):
         assert {(r.n_links, r.component_id) for r in itq.link(df, block=block).collect()} == {(39, 0)}
 
 
+def test_itq_joins_vectors_to_survivors_alone(ready, monkeypatch):
+    """Only codes are dealt into the tables; what the Hamming filter leaves is
+    little more than the rows of near pairs."""
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((2000, 64))
+    x = np.concatenate([x, x[:40] + 0.2 * rng.standard_normal((40, 64))])
+    sizes = {}
+
+    def counted(df, name):
+        out = staging.staged(df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(itq, "staged", counted)
+    df = ready.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    links = sum(r.n_links for r in itq.link(df).collect())
+    cos = unit(x) @ unit(x).T
+    want = int((cos >= 0.9).sum()) - len(x)
+    assert 0.9 * want <= links <= want
+    _, tables = itq.plan(len(x), 64)
+    assert sizes["survivors"] < 0.05 * tables * len(x)
+
+
+def test_itq_pairs_of_runs_in_any_slices(monkeypatch):
+    rng = np.random.default_rng(6)
+    n, bits, tables = 300, 4, 6
+    signs = rng.integers(0, 2, (n, 64)).astype(np.uint8)
+    rows = sorted((int(rng.integers(0, 3)), int(rng.integers(0, 4)), int(rng.integers(0, 2)), i) for i in range(n))
+    t, k, block, rid = (np.array(c, np.int32) for c in zip(*rows))
+    home, shared = rng.integers(0, 2, n).astype(np.int32), rng.integers(0, 2, n).astype(bool)
+    clump = rng.integers(-1, 2, n)
+    table = pa.table({"t": t, "k": k, "block": block, "rid": rid, "home": home, "shared": shared, "clump": clump,
+                      "code": [np.packbits(r).tobytes() for r in signs]})
+    keys = itq._table_keys(signs.astype(np.int64), 64, bits, tables)
+    want = {(i, j) for i in range(n) for j in range(i + 1, n)
+            if rows[i][:3] == rows[j][:3] and (signs[i] != signs[j]).sum() <= 32
+            and not (clump[i] == clump[j] >= 0) and not (shared[i] and shared[j] and home[i] != block[i])
+            and not (keys[i, :t[i]] == keys[j, :t[i]]).any()}
+    for pairs, held, batch in ((1 << 18, 1000, 300), (7, 1, 13), (50, 40, 1)):
+        monkeypatch.setattr(itq, "PAIRS", pairs)
+        got, base = set(), 0
+        for part, ends in itq._whole_runs(iter(table.to_batches(batch)), held):
+            for a, b in itq._close(part, ends, 64, bits, tables, 32):
+                got |= {(base + int(i), base + int(j)) for i, j in zip(a, b)}
+            base += len(part)
+        assert base == n and got == want
+
+
+def test_itq_roots_of_links():
+    rng = np.random.default_rng(7)
+    edges = rng.integers(0, 500, (400, 2))
+    root = np.arange(500)
+    for part in np.array_split(edges, 3):
+        itq._join(root, part[:, 0], part[:, 1])
+    want = brute.smallest_linked(range(500), edges.tolist())
+    assert all(root[i] == want[i] for i in want)
+
+
 # -- op3
 
 @pytest.mark.parametrize("block", [512, 2])
