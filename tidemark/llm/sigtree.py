@@ -26,7 +26,7 @@ for the links inside blocks alone.
 In the third round no sketch hash that more than ``BLOCK`` documents hold is a
 key.  Documents that hold ``SURE`` of those are joined by the exact prefix instead:
 each orders its shingles by how many of these documents hold them (those that few
-hold by hash), and takes the first quarter of its set plus one as keys.  A linked
+hold by hash; counted in the tasks first, the commonest ``RANKED`` told apart), and takes the first quarter of its set plus one as keys.  A linked
 pair has a key in common, and one that is in the first seventh plus one of its
 smaller set (``index``).  So a shingle that many share is a key only of documents
 that hold little else, and those mostly link.  Groups of such a key are parted by
@@ -63,8 +63,12 @@ FANOUT = 8
 #: a linked pair shares this many sketch hashes, but for 8e-15 of the pairs at the
 #: threshold; two sets of 400 shingles hold a collision of hashes as often
 SURE = 4
-#: shingles that fewer of the documents hold count as equally rare
-COMMON = 8
+#: shingles that fewer of the documents hold count as equally rare, as do all but this
+#: many of the commonest: what the tasks look counts up in is bounded, and any one order
+#: of all shingles gives exact prefixes
+COMMON, RANKED = 8, 1 << 20
+#: shingles counted at once in a task, and documents of one hot hash dealt to a task
+COUNTED, DEALT = 1 << 21, 8192
 PAIRS_AT_ONCE = 1 << 14
 
 
@@ -95,8 +99,57 @@ def _sets(words: int):
                 ends = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
                 flat = np.concatenate([*sets, np.zeros(0, np.int64)])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc"), part.column("comp"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))],
-                    ["doc", "comp", "set"])
+                    [part.column("doc"), part.column("comp"), part.column("deal"),
+                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))],
+                    ["doc", "comp", "deal", "set"])
+    return run
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many sets hold a shingle, of those that more than one at hand holds."""
+    held: list[np.ndarray] = []
+
+    def counted():
+        token, c = np.unique(np.concatenate(held), return_counts=True)
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(token[c > 1]), pa.array(c[c > 1])], ["token", "c"])
+
+    for batch in batches:
+        held.append(batch.column("set").flatten().to_numpy())
+        if sum(map(len, held)) >= COUNTED:
+            yield counted()
+    if held:
+        yield counted()
+
+
+def _prefixes(tokens: np.ndarray, counts: np.ndarray):
+    """The first shingles of each set, those of the smallest count first (``tokens``
+    ascend; others count as 0)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs, comps = batch.column("doc").to_numpy(), batch.column("comp").to_numpy()
+            ends = batch.column("set").offsets.to_numpy()
+            flat = batch.column("set").values.to_numpy()
+            count = np.zeros(len(flat), np.int64)
+            if len(tokens):
+                at = np.minimum(np.searchsorted(tokens, flat), len(tokens) - 1)
+                count = np.where(tokens[at] == flat, counts[at], 0)
+            picked, number, index = [], [], []
+            for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist()):
+                n = hi - lo
+                # n - ceil(share * n) + 1, where share is what a set must have in common
+                # with one that is larger, or not smaller
+                probe = n - (OF * n + PART - 1) // PART + 1 if n else 0
+                first = n - (2 * OF * n + PART + OF - 1) // (PART + OF) + 1
+                picked.append(flat[lo:hi][np.lexsort((flat[lo:hi], count[lo:hi]))[:probe]])
+                number.append(len(picked[-1]))
+                index.append(np.arange(number[-1]) < first)
+            if not sum(number):
+                continue
+            size = np.repeat(np.diff(ends).astype(np.int32), number)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(picked)), pa.array(np.repeat(docs, number)), pa.array(np.repeat(comps, number)),
+                 pa.array(size), pa.array(np.concatenate(index))], ["token", "doc", "comp", "n", "index"])
     return run
 
 
@@ -241,29 +294,30 @@ def _other_groups(reps: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
     sizes = tokens.groupBy("token").agg(
         F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), _who()).where("c > 1 AND lo < hi")
     sizes = staged(sizes.select("token", "c", "who"), "groups")
-    held = tokens.join(sizes.where(F.col("c") > block).select("token"), "token").groupBy("doc", "n").agg(F.count("*").alias("c"))
-    held = held.where(F.col("c") >= F.least(F.lit(SURE), F.ceil(F.col("n") * OF / PART))).select("doc").distinct()
+    held = tokens.join(sizes.where(F.col("c") > block).select("token", F.col("c").alias("by")), "token") \
+        .groupBy("doc", "n").agg(F.count("*").alias("c"), F.min(F.struct("token", "by")).alias("hot"))
+    held = held.where(F.col("c") >= F.least(F.lit(SURE), F.ceil(F.col("n") * OF / PART)))
+    # documents of one hot hash are dealt together, so many to a deal at most
+    deal = F.xxhash64("hot.token", F.pmod(F.xxhash64("doc"), F.ceil(F.col("hot.by") / DEALT)))
+    held = held.select("doc", deal.alias("deal"))
     return _whole(tokens, sizes.where(F.col("c") <= block)), held
 
 
 def _prefix_keys(held: DataFrame, texts: DataFrame, words: int, block: int) -> DataFrame:
     """``(token, doc, comp, n, index)``: the exact prefix of each document's set in the
     order of how many of these documents hold a shingle."""
-    sets = staged(held.join(texts, "doc").select("doc", "comp", "text")
-                  .mapInArrow(_sets(words), "doc long, comp long, set array<long>"), "sets-by-prefix")
-    common = staged(sets.select(F.explode("set").alias("token")).groupBy("token").agg(F.count("*").alias("c"))
-                    .where(F.col("c") >= COMMON), "common-shingles")
-    own = sets.select("doc", F.explode("set").alias("token")).join(common, "token") \
-        .groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("c", "token"))).alias("own"))
-    last = F.array_intersect(F.coalesce(F.col("own.token"), F.array().cast("array<long>")), F.col("set"))
-    ordered = sets.join(own, "doc", "left").select(
-        "doc", "comp", F.size("set").alias("n"), F.concat(F.array_except("set", last), last).alias("ordered"))
-    # n - ceil(share * n) + 1, where share is what a set must have in common with one that is larger, or not smaller
-    probe = F.col("n") - F.expr(f"({OF} * n + {PART - 1}) div {PART}").cast("int") + 1
-    index = F.col("n") - F.expr(f"({2 * OF} * n + {PART + OF - 1}) div {PART + OF}").cast("int") + 1
-    keys = ordered.select("doc", "comp", "n", F.posexplode(F.slice("ordered", F.lit(1), probe)).alias("pos", "token"))
-    return staged(keys.select(F.xxhash64(F.lit("prefix"), "token").alias("token"), "doc", "comp", "n", (F.col("pos") < index).alias("index")),
-                  "prefix-keys")
+    if "deal" not in held.columns:
+        held = held.withColumn("deal", F.xxhash64("doc"))
+    sets = staged(held.join(texts, "doc").select("doc", "comp", "deal", "text")
+                  .mapInArrow(_sets(words), "doc long, comp long, deal long, set array<long>").repartition("deal"), "sets-by-prefix")
+    # counted in the tasks first, where documents that share shingles lie together
+    common = sets.select("set").mapInArrow(_counts, "token long, c long").groupBy("token").agg(F.sum("c").alias("c")) \
+        .where(F.col("c") >= COMMON).orderBy(F.desc("c"), "token").limit(RANKED).toArrow()
+    tokens, counts = (common.column(c).to_numpy() for c in ("token", "c"))
+    order = np.argsort(tokens)
+    keys = sets.select("doc", "comp", "set").mapInArrow(
+        _prefixes(tokens[order], counts[order]), "token long, doc long, comp long, n int, index boolean")
+    return staged(keys.withColumn("token", F.xxhash64(F.lit("prefix"), "token")), "prefix-keys")
 
 
 def _prefix_groups(held: DataFrame, texts: DataFrame, words: int, block: int) -> DataFrame:
@@ -301,7 +355,7 @@ def link(docs: DataFrame, words: int = WORDS, block: int = BLOCK) -> DataFrame:
     groups, held = _other_groups(reps, block)
     reps = staged(_merged(reps, _search(groups, texts, words)), "reps")
     # staged, so that their size is known: small tables are then not joined by a shuffle of all texts
-    held = staged(reps.join(held, "doc").select("doc", "comp"), "held")
+    held = staged(reps.join(held, "doc").select("doc", "comp", "deal"), "held")
     groups = staged(_prefix_groups(held, texts, words, block), "members")
     reps = _merged(reps, _search(groups, texts, words))
     ids = staged(reps.select("n", "d1", "d2", "comp"), "components")
